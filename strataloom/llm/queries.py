@@ -6,13 +6,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, jaccard, jumphash, secretscan, winnow
+from . import bitplanes, cascade, jaccard, jumphash, secretscan, warc, winnow
+from .common import scratch_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(_read(spark, sf_dir, "pages"), path)
+    return warc.pages_of(warc.assemble(warc.read_records(spark, path)))
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.digest(winnow.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
@@ -38,7 +45,15 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_winnowing, op5_quality_cascade, op6_jump_hash, op7_secret_scan, op8_ngram_jaccard)}
+def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    documents, path = _read(spark, sf_dir, "documents"), scratch_path(spark, "ids")
+    bitplanes.write_ids(documents, public_tokenizers.path("byte_bpe_50k.json"), path)
+    return bitplanes.read_ids(spark, path, documents.schema["doc_id"].dataType.simpleString(), with_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op3_winnowing, op5_quality_cascade, op6_jump_hash, op7_secret_scan, op8_ngram_jaccard, op10_bit_planes)}
 
 #: SQL where it can express a query; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
