@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, cascade, jaccard, jumphash, secretscan, warc, winnow
+from . import bitplanes, cascade, jaccard, jumphash, runindex, secretscan, warc, winnow
 from .common import scratch_path
 
 
@@ -20,6 +20,10 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_of(warc.assemble(warc.read_records(spark, path)))
 
 
+def op2_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.digest(winnow.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
@@ -53,7 +57,7 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_ids(spark, path, documents.schema["doc_id"].dataType.simpleString(), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op3_winnowing, op5_quality_cascade, op6_jump_hash, op7_secret_scan, op8_ngram_jaccard, op10_bit_planes)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_run_index, op3_winnowing, op5_quality_cascade, op6_jump_hash, op7_secret_scan, op8_ngram_jaccard, op10_bit_planes)}
 
 #: SQL where it can express a query; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
