@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, cascade, jaccard, jumphash, runindex, secretscan, warc, winnow
+from . import bitplanes, cascade, jaccard, jumphash, maincontent, runindex, secretscan, warc, winnow
 from .common import scratch_path
 
 
@@ -49,6 +49,10 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(_read(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maincontent.main_text(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,7 +61,7 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_ids(spark, path, documents.schema["doc_id"].dataType.simpleString(), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_run_index, op3_winnowing, op5_quality_cascade, op6_jump_hash, op7_secret_scan, op8_ngram_jaccard, op10_bit_planes)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_run_index, op3_winnowing, op5_quality_cascade, op6_jump_hash, op7_secret_scan, op8_ngram_jaccard, op9_main_text, op10_bit_planes)}
 
 #: SQL where it can express a query; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
