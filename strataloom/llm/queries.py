@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, cascade, jaccard, jumphash, maincontent, runindex, secretscan, warc, winnow
+from . import bitplanes, cascade, jaccard, jumphash, lattice, maincontent, runindex, secretscan, warc, winnow
 from .common import scratch_path
 
 
@@ -28,6 +28,15 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.digest(winnow.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by count and checksum, and what decoding them gives back."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    back = lattice.decode(lattice.encode(_read(spark, sf_dir, "documents"), model), model)
+    return back.select("doc_id", "n_pieces", "ids_crc32", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return cascade.judge(_read(spark, sf_dir, "documents"), always=base)
@@ -61,7 +70,7 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_ids(spark, path, documents.schema["doc_id"].dataType.simpleString(), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_run_index, op3_winnowing, op5_quality_cascade, op6_jump_hash, op7_secret_scan, op8_ngram_jaccard, op9_main_text, op10_bit_planes)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_run_index, op3_winnowing, op4_sentencepiece, op5_quality_cascade, op6_jump_hash, op7_secret_scan, op8_ngram_jaccard, op9_main_text, op10_bit_planes)}
 
 #: SQL where it can express a query; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
