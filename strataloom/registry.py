@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .plans import blocks, layout, levels, manage, sections, tasks
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _area in (blocks, sections, levels, layout, tasks, manage):
+    QUERIES |= _area.REGISTER.queries
+    ORACLE_SQL |= _area.REGISTER.oracles
