@@ -29,6 +29,11 @@ def _prefix(c: Column, pattern: str, frm: str, to: str) -> Column:
     return F.concat(F.translate(head, frm, to), F.substring(c, F.length(head) + 1, F.length(c)))
 
 
+def let(c: Column, f) -> Column:
+    """``f`` of ``c``, which is evaluated once however often ``f`` uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def clean(c: Column) -> Column:
     """Plain digits and spaces, white space collapsed, misread ones in a leading section number repaired; null is empty."""
     c = _digits(F.coalesce(c, F.lit("")))
@@ -66,7 +71,10 @@ def normalize_trace(c: Column) -> Column:
 
 def heading_level(c: Column) -> Column:
     """0 for body text, else 1 to 6, from the numbering of a line of at most 80 characters."""
-    v = clean(c)
+    return let(clean(c), _numbered)
+
+
+def _numbered(v: Column) -> Column:
     dotted = F.regexp_extract(v, r"^(\d+(?:\.\d+){1,5})(?:[、.\s　]+|(?=\p{IsHan})).{0,80}$", 1)
     single = v.rlike(r"^\d+[、.\s　]+.{0,80}$")
     return (
@@ -121,7 +129,10 @@ def is_direct_definition(c: Column) -> Column:
 
 def is_overview(c: Column) -> Column:
     """A statement about several levels that is no activation condition."""
-    v = normalize(c)
+    return let(normalize(c), _overview)
+
+
+def _overview(v: Column) -> Column:
     return ~is_activation(v) & (F.regexp_count(v, F.lit(LEVEL_TOKEN + "级(?:应急)?响应")) >= 2) & v.rlike(OVERVIEW_PHRASES)
 
 

@@ -1,5 +1,160 @@
-"""Queries."""
+"""Queries over rules and sections."""
 
-from .register import Register
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..fixtures import Fixture
+from ..functions.html import html_blocks
+from ..operators import rules as R
+from ..operators import sections as S
+from .blocks import SQL_BLOCKS, _sql_normalize
+from .register import Register, table
 
 REGISTER = Register()
+query = REGISTER.query
+
+SEED = Fixture(R.RULE_SCHEMA, R.rule_rows())
+LATIN = Fixture(R.RULE_SCHEMA, R.rule_rows(R.LATIN))
+
+
+def _blocks(spark, sf_dir):
+    return html_blocks(table(spark, sf_dir, "pages"))
+
+
+def _latin(spark):
+    return R.rules_table(spark, R.LATIN)
+
+
+@query(f"SELECT rule_type, rule_code, count(*) AS n, min(alias_order) AS first_order FROM {SEED.sql()} WHERE enabled GROUP BY ALL")
+def rule_seed_counts(spark, sf_dir):
+    return R.rules_table(spark).where("enabled").groupBy("rule_type", "rule_code").agg(F.count("*").alias("n"), F.min("alias_order").alias("first_order"))
+
+
+@query(
+    f"""SELECT substr(sha256(string_agg(rule_type || '|' || rule_code || '|' || canonical_name || '|' || alias, chr(10) ORDER BY rule_type, group_order, rule_code, alias_order)), 1, 24) AS version, count(*) AS n_rules
+    FROM {SEED.sql()} WHERE enabled"""
+)
+def rule_snapshot_hash(spark, sf_dir):
+    return R.version(R.rules_table(spark))
+
+
+@query(
+    f"""SELECT rule_type, rule_code, min(group_order) AS group_order, min(canonical_name) AS canonical_name, string_agg(alias, ',' ORDER BY alias_order) AS aliases, count(DISTINCT canonical_name) = 1 AS one_name
+    FROM {SEED.sql()} WHERE enabled GROUP BY rule_type, rule_code"""
+)
+def rule_snapshot(spark, sf_dir):
+    return R.snapshot(R.rules_table(spark))
+
+
+BAD_RULES = Fixture(
+    "rule_index int, " + R.RULE_SCHEMA,
+    [(0, "COMMAND", "c", "C", "指挥", 10, 10, True), (1, "RESPONSE", "r", "R", "响应", 10, 10, True), (2, "RESPONSE", "r", "R", "响应", 10, 20, True), (3, "OTHER", "o", "O", "其他", 10, 10, True), (4, "TAIL", "t", " ", "附则", 10, 10, True), (5, "TAIL", "t", "T", "附件", 10, 20, False)],
+)
+
+
+@query(
+    f"""WITH r AS {BAD_RULES.sql()}, m AS (SELECT *, trim(coalesce(rule_type, '')) = '' OR trim(coalesce(rule_code, '')) = '' OR trim(coalesce(canonical_name, '')) = '' OR trim(coalesce(alias, '')) = '' AS bad FROM r)
+    SELECT CAST(rule_index AS BIGINT) AS rule_index, 'FIELD_MISSING' AS problem FROM m WHERE bad
+    UNION ALL SELECT rule_index, 'TYPE_UNSUPPORTED' FROM m WHERE NOT bad AND rule_type NOT IN ('COMMAND', 'RESPONSE', 'WARNING', 'SECTION', 'MARKER', 'TAIL')
+    UNION ALL SELECT rule_index, 'ALIAS_REPEATED' FROM (SELECT *, row_number() OVER (PARTITION BY rule_type, rule_code, alias ORDER BY rule_index) AS k FROM m WHERE NOT bad) WHERE k > 1
+    UNION ALL SELECT -1, 'GROUP_REQUIRED' WHERE (SELECT count(DISTINCT rule_type) FROM m WHERE NOT bad AND enabled AND rule_type IN ('COMMAND', 'RESPONSE', 'TAIL')) < 3"""
+)
+def rule_validate(spark, sf_dir):
+    return R.violations(BAD_RULES.frame(spark))
+
+
+REVISIONS = Fixture(
+    "code string, revision_id string, revision_number int, status string",
+    [("a", "a1", 1, "ARCHIVED"), ("a", "a2", 2, "PUBLISHED"), ("a", "a3", 3, "DRAFT"), ("b", "b1", 1, "PUBLISHED"), ("b", "b2", 2, "DRAFT"), ("c", "c1", 1, "DRAFT")],
+)
+
+
+@query(f"SELECT code, revision_id, CASE WHEN revision_id = 'a3' THEN 'PUBLISHED' WHEN code = 'a' AND status = 'PUBLISHED' THEN 'ARCHIVED' ELSE status END AS status FROM {REVISIONS.sql()}")
+def revision_publish(spark, sf_dir):
+    return R.publish(REVISIONS.frame(spark), "a3").select("code", "revision_id", "status")
+
+
+@query(
+    f"""SELECT code, revision_id, revision_number, CASE WHEN code = 'a' AND status = 'PUBLISHED' THEN 'ARCHIVED' ELSE status END AS status FROM {REVISIONS.sql()}
+    UNION ALL SELECT 'a', 'a4', 4, 'PUBLISHED'"""
+)
+def revision_rollback(spark, sf_dir):
+    return R.rollback(REVISIONS.frame(spark), "a1", "a4").select("code", "revision_id", "revision_number", "status")
+
+
+_SQL_CANDIDATES = f"""(SELECT doc_id, block_idx, rule_code, alias, text, heading_level, matched_by,
+    CAST(CASE matched_by WHEN 'HEADING' THEN 1 WHEN 'HEADING_ALIAS' THEN 1 WHEN 'TABLE_ROW' THEN 2 WHEN 'NUMBERED_SECTION' THEN 3 ELSE 10 END + least(length(text) // 20, 5) AS INTEGER) AS score
+  FROM (SELECT *, CASE WHEN is_table THEN 'TABLE_ROW' WHEN heading_level = 0 THEN 'CONTEXT_FALLBACK' WHEN contains(norm, first_alias) THEN 'HEADING' ELSE 'HEADING_ALIAS' END AS matched_by
+    FROM (SELECT doc_id, block_idx, rule_code, arg_min(r.alias, alias_order) AS alias, any_value(first_alias) AS first_alias, any_value(text) AS text, any_value(norm) AS norm, any_value(heading_level) AS heading_level, any_value(is_table) AS is_table
+      FROM (SELECT *, {_sql_normalize("text")} AS norm FROM {SQL_BLOCKS}) b
+      JOIN (SELECT rule_code, alias_order, upper(alias) AS alias, first_value(upper(alias)) OVER (PARTITION BY rule_code ORDER BY alias_order) AS first_alias FROM {LATIN.sql()} WHERE enabled) r ON contains(b.norm, r.alias)
+      GROUP BY doc_id, block_idx, rule_code)))"""
+_SQL_BEST = f"""(SELECT * FROM (SELECT *, sum(CASE WHEN matched_by <> 'CONTEXT_FALLBACK' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, rule_code) > 1 AS ambiguous,
+    row_number() OVER (PARTITION BY doc_id, rule_code ORDER BY score, block_idx) AS k FROM {_SQL_CANDIDATES}) WHERE k = 1)"""
+_SQL_ENDS = f"""(SELECT a.*, coalesce(min(h.block_idx), any_value(s.n)) AS end_idx FROM {_SQL_BEST} a
+    JOIN (SELECT doc_id, max(block_idx) + 1 AS n FROM {SQL_BLOCKS} GROUP BY doc_id) s USING (doc_id)
+    LEFT JOIN (SELECT doc_id, block_idx, heading_level FROM {SQL_BLOCKS} WHERE heading_level > 0) h
+    ON h.doc_id = a.doc_id AND h.block_idx > a.block_idx AND h.heading_level <= CASE WHEN a.heading_level > 0 THEN a.heading_level ELSE 2 END GROUP BY ALL)"""
+
+
+@query(f"SELECT doc_id, block_idx, rule_code, alias, matched_by, score FROM {_SQL_CANDIDATES}")
+def alias_candidates(spark, sf_dir):
+    return S.candidates(_blocks(spark, sf_dir), _latin(spark)).select("doc_id", "block_idx", "rule_code", "alias", "matched_by", "score")
+
+
+@query(f"SELECT doc_id, rule_code, matched_by, score, ambiguous, text AS title, block_idx, CAST(end_idx AS INTEGER) AS end_idx FROM {_SQL_ENDS}")
+def best_section(spark, sf_dir):
+    blocks = _blocks(spark, sf_dir)
+    found = S.section_ends(S.best_candidates(S.candidates(blocks, _latin(spark))), blocks)
+    return found.select("doc_id", "rule_code", "matched_by", "score", "ambiguous", F.col("text").alias("title"), "block_idx", "end_idx")
+
+
+@query(
+    f"""SELECT doc_id, rule_code, CAST(n_blocks AS BIGINT) AS n_blocks, sha256(substr(CASE WHEN n_blocks = 0 THEN title ELSE content END, 1, 8000)) AS content_sha256 FROM (
+      SELECT a.doc_id, a.rule_code, any_value(a.text) AS title, count(b.block_idx) AS n_blocks, string_agg(b.text, chr(10) ORDER BY b.block_idx) FILTER (WHERE b.k = 1) AS content
+      FROM {_SQL_ENDS} a LEFT JOIN LATERAL (SELECT block_idx, text, row_number() OVER (PARTITION BY text ORDER BY block_idx) AS k FROM {SQL_BLOCKS} x WHERE x.doc_id = a.doc_id AND x.block_idx > a.block_idx AND x.block_idx < a.end_idx) b ON TRUE
+      GROUP BY a.doc_id, a.rule_code)"""
+)
+def section_span(spark, sf_dir):
+    blocks = _blocks(spark, sf_dir)
+    ends = S.section_ends(S.best_candidates(S.candidates(blocks, _latin(spark))), blocks)
+    return S.section_texts(ends, blocks).select("doc_id", "rule_code", "n_blocks", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"))
+
+
+@query(
+    f"""SELECT doc_id, block_idx, last_value(CASE WHEN heading_level > 0 THEN text END IGNORE NULLS) OVER w AS heading, last_value(CASE WHEN heading_level > 0 THEN heading_level END IGNORE NULLS) OVER w AS under_level
+    FROM {SQL_BLOCKS} WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx ROWS BETWEEN 80 PRECEDING AND CURRENT ROW)"""
+)
+def nearest_heading(spark, sf_dir):
+    return S.nearest_heading(_blocks(spark, sf_dir)).select("doc_id", "block_idx", "heading", "under_level")
+
+
+@query(
+    f"""SELECT doc_id, block_idx FROM (SELECT *, min(CASE WHEN block_idx > hit_at AND heading_level > 0 AND heading_level <= lev THEN block_idx END) OVER (PARTITION BY doc_id) AS stop FROM (
+      SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS n, min(CASE WHEN hit THEN block_idx END) OVER (PARTITION BY doc_id) AS hit_at, min(CASE WHEN hit THEN greatest(heading_level, 1) END) OVER (PARTITION BY doc_id) AS lev
+      FROM (SELECT *, heading_level > 0 AS hit FROM {SQL_BLOCKS}))) WHERE n <> 1 OR (block_idx >= hit_at AND (stop IS NULL OR block_idx < stop))"""
+)
+def scope_slice(spark, sf_dir):
+    return S.scope(_blocks(spark, sf_dir), F.col("heading_level") > 0).select("doc_id", "block_idx")
+
+
+@query(f"SELECT doc_id, block_idx, CAST(t AS BIGINT) AS running_chars FROM (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY block_idx) AS t FROM {SQL_BLOCKS}) WHERE t <= 8000")
+def char_budget(spark, sf_dir):
+    return S.char_budget(_blocks(spark, sf_dir)).select("doc_id", "block_idx", "running_chars")
+
+
+@query("SELECT conv_id AS doc_id, string_agg(CAST(turn + 1 AS VARCHAR), ',' ORDER BY turn) AS pages FROM (SELECT DISTINCT conv_id, turn FROM conversations) GROUP BY conv_id")
+def pages_seen(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("block_idx"), (F.col("turn") + 1).alias("page"))
+    return S.pages_seen(turns)
+
+
+@query(
+    f"""SELECT doc_id, rule_code, candidate, block_idx, snippet, disposition FROM (SELECT doc_id, rule_code, block_idx, CAST(row_number() OVER w AS INTEGER) AS candidate,
+        CASE WHEN length(text) > 201 THEN substr(text, 1, 200) || '…' ELSE text END AS snippet, CASE WHEN max(heading_level) OVER (PARTITION BY doc_id, rule_code) > 0 THEN 'MATCHED' ELSE 'FALLBACK' END AS disposition
+      FROM (SELECT DISTINCT doc_id, rule_code, block_idx, text, heading_level FROM {SQL_BLOCKS} JOIN {LATIN.sql()} ON contains(lower(regexp_replace(text, '\\s+', '', 'g')), alias) WHERE enabled)
+      WINDOW w AS (PARTITION BY doc_id, rule_code ORDER BY block_idx)) WHERE candidate <= 10"""
+)
+def explain_trace(spark, sf_dir):
+    return S.trace(_blocks(spark, sf_dir), _latin(spark))
