@@ -6,11 +6,13 @@ they are fewer). Two documents link when 100 * |A and B| >= 80 * |A or B|.
 1. Documents with equal sets fall into one class before anything is joined.
 2. Shingles are ordered rare first: by a fixed-size table of counts over all documents, then
    by hash. Documents that link share a shingle among the first |A| - ceil(0.8 |A|) + 1.
-3. Prefix shingles that two classes or more share are kept. In each such group all classes
-   pair with the group's smallest; pairs pass the length, positional and suffix filters, and
-   each is verified once on the full sets. Connected components follow.
-4. Groups that still hold several components are joined across components only, so every
-   candidate pair that could still add a link between components is verified, once.
+3. Prefix shingles that two classes or more share are kept; a bitmap of them, also of fixed
+   size, lets most others go before rows are made. In each group of a shared shingle all
+   classes pair with the group's smallest; pairs pass the length, positional and suffix
+   filters, and each is verified once on the full sets. Connected components follow.
+4. Groups that still hold several components are joined across components only, by classes
+   of length and position first, so every candidate pair that could still add a link between
+   components is verified, once.
 
 Pairs inside a component are never formed: copies cost what a chain of links costs.
 
@@ -31,8 +33,11 @@ from . import common as C
 
 WORDS = 5
 PERCENT = 80
-#: Counters of the table that orders shingles; its size is fixed, so it may be broadcast.
-COUNTERS = 1 << 16
+#: Counters of the table that orders shingles (one byte each when broadcast), bits of the bitmap of shared
+#: shingles, and parts in which both are made. Their sizes are fixed, so they may be broadcast.
+COUNTERS = 1 << 24
+BITS = 1 << 27
+TABLE_PARTS = 64
 #: Parts of the hash range in which the suffix filter compares counts.
 PARTS = 48
 
@@ -66,16 +71,19 @@ def prefix_size(n):
 
 
 def _describe(documents: DataFrame) -> DataFrame:
-    """kind 0: (doc_id, n, high, low, parts) of a document; kind 1: (n = counter, high = count) over a partition."""
+    """part -1: (doc_id, n, high, low, blob: counts by part of the hash range) of a document; part 0 and above: (blob) counters of a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
-        names = ["kind", "doc_id", "n", "high", "low", "parts"]
+        import zstandard
+
+        counts = np.zeros(COUNTERS, np.uint32)
+        names = ["part", "doc_id", "n", "high", "low", "blob"]
         for whole in batches:
             for batch in C.slices(whole):
                 row, value = shingle_sets(*C.bytes_view(batch["text"]))
                 rows = batch.num_rows
-                counts += np.bincount((value >> np.uint64(48)).astype(np.int64), minlength=COUNTERS)
+                place, times = np.unique(_counter(value), return_counts=True)
+                counts[place] += times.astype(np.uint32)
                 n = np.bincount(row, minlength=rows)
                 edge = np.concatenate([[0], np.cumsum(n)])
                 sums = []
@@ -84,28 +92,95 @@ def _describe(documents: DataFrame) -> DataFrame:
                     sums.append((total[edge[1:]] - total[edge[:-1]]).view(np.int64))
                 part = ((value & np.uint64(0xFFFFFFFF)) * np.uint64(PARTS) >> np.uint64(32)).astype(np.int64)
                 parts = np.bincount(row * PARTS + part, minlength=rows * PARTS).astype("<u4").reshape(rows, PARTS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), batch["doc_id"], pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
-        some = np.flatnonzero(counts)
-        blank = pa.nulls(len(some), id_arrow)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), blank, pa.array(some), pa.array(counts[some]), pa.array(np.zeros(len(some), np.int64)), pa.nulls(len(some), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, -1, np.int32)), batch["doc_id"], pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+        press = zstandard.ZstdCompressor(level=1)
+        blobs = [press.compress(c.tobytes()) for c in np.split(counts, TABLE_PARTS)]
+        none = pa.nulls(TABLE_PARTS, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(TABLE_PARTS, dtype=np.int32)), none, none, none, none, pa.array(blobs, pa.binary())], names=names)
+
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "part int, doc_id bigint, n bigint, high bigint, low bigint, blob binary")
+
+
+def _counter(value: np.ndarray) -> np.ndarray:
+    return (value >> np.uint64(40)).astype(np.int64)
+
+
+def _bit(value: np.ndarray) -> np.ndarray:
+    return (value >> np.uint64(37)).astype(np.int64)
+
+
+def _rarity(described: DataFrame) -> np.ndarray:
+    """For each counter the logarithm of its count in eighths: COUNTERS bytes in all, whatever the corpus."""
+    import zstandard
+
+    def total(table: pa.Table) -> np.ndarray:
+        out = np.zeros(COUNTERS // TABLE_PARTS, np.uint64)
+        for blob in table["blob"]:
+            out += np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint32)
+        return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
+
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"part": table["part"][:1], "blob": pa.array([zstandard.ZstdCompressor(level=1).compress(total(table).tobytes())], pa.binary())})
+
+    def finish(table: pa.Table) -> pa.Table:
+        level = np.minimum(8 * np.log2(1.0 + total(table)), 255).astype(np.uint8)
+        return pa.table({"part": table["part"][:1], "blob": pa.array([level.tobytes()], pa.binary())})
+
+    counters = described.where("part >= 0").select("part", "blob", F.pmod(F.xxhash64("blob"), F.lit(32)).alias("some"))
+    some = counters.groupBy("part", "some").applyInArrow(add, "part int, blob binary")
+    parts = some.groupBy("part").applyInArrow(finish, "part int, blob binary").collect()
+    return _joined(parts, COUNTERS)
+
+
+def _joined(parts: list, size: int) -> np.ndarray:
+    """A table from its parts; a table without documents has none and is all zero."""
+    return np.concatenate([np.frombuffer(r["blob"], np.uint8) for r in sorted(parts, key=lambda r: r["part"])]) if parts else np.zeros(size, np.uint8)
+
+
+def _bitmap(prints: DataFrame) -> np.ndarray:
+    """BITS bits, as bytes, with those of the given prints set."""
+    size = BITS // TABLE_PARTS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        packed = np.zeros(BITS // 8, np.uint8)
+        for batch in batches:
+            at = _bit(batch["print"].to_numpy().view(np.uint64))
+            np.bitwise_or.at(packed, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        press = zstandard.ZstdCompressor(level=1)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(np.arange(TABLE_PARTS), pa.int32()), "blob": pa.array([press.compress(p.tobytes()) for p in np.split(packed, TABLE_PARTS)], pa.binary())})
+
+    def join(table: pa.Table) -> pa.Table:
+        import zstandard
+
+        out = np.zeros(size // 8, np.uint8)
+        for blob in table["blob"]:
+            out |= np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint8)
+        return pa.table({"part": table["part"][:1], "blob": pa.array([out.tobytes()], pa.binary())})
 
-    id_arrow = pa.int64()
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id bigint, n bigint, high bigint, low bigint, parts binary")
+    marked = prints.select("print").mapInArrow(mark, "part int, blob binary")
+    parts = marked.groupBy("part").applyInArrow(join, "part int, blob binary").collect()
+    return _joined(parts, BITS // 8)
 
 
-def _prefixes(documents: DataFrame, rank) -> DataFrame:
-    """(print, doc_id, n, pos): the rare-first prefix of each document's set. rank: broadcast counts of COUNTERS."""
+def _prefixes(documents: DataFrame, rank, bitmap=None) -> DataFrame:
+    """(print, doc_id, n, pos): the rare-first prefix of each document's set. rank: broadcast of _rarity; bitmap: of _bitmap, then only prints in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value if bitmap is not None else None
         for whole in batches:
             for batch in C.slices(whole):
                 row, value = shingle_sets(*C.bytes_view(batch["text"]))
                 n = np.bincount(row, minlength=batch.num_rows)
-                weight = rank.value[(value >> np.uint64(48)).astype(np.int64)].astype(np.uint64)
-                order = C.by_row_and_value(row, (weight << np.uint64(32)) | (value & np.uint64(0xFFFFFFFF)))
+                weight = rank.value[_counter(value)].astype(np.uint64)
+                order = C.by_row_and_value(row, (weight << np.uint64(56)) | (C.mix(value) >> np.uint64(8)))
                 row, value = row[order], value[order]
                 pos = np.arange(len(row)) - np.concatenate([[0], np.cumsum(n)])[row]
                 keep = pos < prefix_size(n)[row]
+                if bits is not None:
+                    at = _bit(value)
+                    keep &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
                 owner = row[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), batch["doc_id"].take(pa.array(owner)), pa.array(n[owner].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], names=["print", "doc_id", "n", "pos"])
 
@@ -132,7 +207,7 @@ def _may_link(n: Column, m: Column, common: Column) -> Column:
 
 def _verify(pairs: DataFrame, documents: DataFrame, described: DataFrame) -> DataFrame:
     """The distinct (a, b) of ``pairs`` that link. Suffix filter first, on counts by part of the hash range."""
-    parts = described.select("doc_id", "parts", "n")
+    parts = described.select("doc_id", "blob", "n")
     some = pairs.join(parts.toDF("a", "parts_a", "n_a"), "a").join(parts.toDF("b", "parts_b", "n_b"), "b")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +259,9 @@ def classes(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     documents = C.only(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     described = C.materialise(_describe(documents), "described")
-    counts = described.where("kind = 1").groupBy("n").agg(F.sum("high").alias("count"))
-    rank = np.zeros(COUNTERS, np.int64)
-    for r in counts.collect():  # COUNTERS rows at most
-        rank[r["n"]] = r["count"]
-    rank = spark.sparkContext.broadcast(np.minimum(rank, (1 << 31) - 1))
+    rank = spark.sparkContext.broadcast(_rarity(described))
 
-    docs = described.where("kind = 0").drop("kind")
+    docs = described.where("part < 0").drop("part")
     filled = docs.where("n > 0 and doc_id is not null")
     smallest = C.materialise(filled.groupBy("n", "high", "low").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("copies")), "classes")
     copied = smallest.where("copies > 1").select("n", "high", "low", "class")
@@ -198,29 +269,36 @@ def classes(documents: DataFrame) -> DataFrame:
     extra = member.where("doc_id <> class").select("doc_id").distinct()
     single = documents.where("doc_id is not null").join(C.checked_broadcast(extra), "doc_id", "left_anti")
 
-    prints = C.materialise(_prefixes(single, rank), "prefixes")
-    shared = prints.groupBy("print").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "n", "pos")).alias("hub")).where("size > 1").select("print", "hub")
-    shared = C.materialise(prints.join(C.checked_broadcast(C.materialise(shared, "shared")), "print"), "groups")
+    times = _prefixes(single, rank).groupBy("print").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("print")
+    shared = C.materialise(times, "shared")
+    bitmap = spark.sparkContext.broadcast(_bitmap(shared))
+    groups = C.materialise(_prefixes(single, rank, bitmap).join(C.checked_broadcast(shared), "print"), "groups")
+    hubs = groups.groupBy("print").agg(F.min(F.struct("doc_id", "n", "pos")).alias("hub"))
 
     def ahead(n: Column, i: Column, m: Column, j: Column) -> Column:
         """Length and positional filter for a common shingle at positions i and j."""
         n, m = n.cast("bigint"), m.cast("bigint")
         return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT) & _may_link(n, m, 1 + F.least(n - i - 1, m - j - 1))
 
-    stars = shared.where(F.col("doc_id") != F.col("hub.doc_id")).where(ahead(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
+    stars = groups.join(C.checked_broadcast(C.materialise(hubs, "hubs")), "print").where(F.col("doc_id") != F.col("hub.doc_id")).where(ahead(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
     stars = C.materialise(stars.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
     links = C.materialise(_verify(stars, documents, docs), "links")
     labels = C.materialise(components(links), "labels")
 
     # What is left: groups whose members are in several components, and pairs between these.
-    placed = shared.drop("hub").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    placed = groups.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     mixed = placed.groupBy("print").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("print")
     placed = C.materialise(placed.join(mixed, "print"), "mixed")
-    # Labels meet first, so members of one component are never compared, however many they are.
-    kinds = placed.select("print", "label").distinct()
-    meet = kinds.toDF("print", "label_a").join(kinds.toDF("print", "label_b"), "print").where("label_a < label_b")
-    left, right = (placed.select("print", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "pos", "label")]) for s in ("a", "b"))
-    across = left.join(meet, ["print", "label_a"]).join(right, ["print", "label_b"]).where(ahead(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b")))
+    # Classes of alike rows meet first: members of one component are never compared, however
+    # many they are, and those whose lengths or positions rule each other out are not either.
+    placed = placed.withColumn("kind", F.concat_ws(":", "label", F.floor(F.log("n") * 12), F.floor(F.col("pos") * 24 / F.col("n"))))
+    kinds = placed.groupBy("print", "kind").agg(F.min("label").alias("label"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    kinds = C.materialise(kinds, "kinds")
+    one, two = (kinds.select("print", *[F.col(c).alias(f"{c}_{s}") for c in ("kind", "label", "low", "high", "rest")]) for s in ("a", "b"))
+    meet = one.join(two, "print").where("label_a < label_b").where((F.col("high_a") * 100 >= F.col("low_b") * PERCENT) & (F.col("high_b") * 100 >= F.col("low_a") * PERCENT))
+    meet = meet.where(_may_link(F.col("low_a").cast("bigint"), F.col("low_b").cast("bigint"), F.least("rest_a", "rest_b").cast("bigint"))).select("print", "kind_a", "kind_b")
+    left, right = (placed.select("print", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "pos", "kind")]) for s in ("a", "b"))
+    across = left.join(meet, ["print", "kind_a"]).join(right, ["print", "kind_b"]).where(ahead(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b")))
     across = across.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = C.materialise(_verify(across, documents, docs), "links")
     if not more.isEmpty():
