@@ -167,7 +167,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
 def assemble(records: DataFrame) -> DataFrame:
     """capture_id, response (struct; a revisit's has its length and digest from the response it refers to), requests and metadata (arrays of structs)."""
     root = F.col("type").isin(*CAPTURES)
-    named = records.where(~root).select("record_id", F.col("concurrent_to")[0].alias("next")).where("next is not null")
+    named = records.where(~root).select("record_id", F.get("concurrent_to", F.lit(0)).alias("next")).where("next is not null")
     back = records.where(root).select(F.explode("concurrent_to").alias("record_id"), F.col("record_id").alias("next"))
     nexts = named.union(back).groupBy("record_id").agg(F.min("next").alias("next"))
     others = records.where(~root).join(nexts, "record_id", "left")
