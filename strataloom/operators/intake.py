@@ -64,7 +64,7 @@ def url_file_name(url: Column) -> Column:
 def ip_blocked(ip: Column) -> Column:
     """Whether an IPv4 address is not public."""
     octets = F.split(ip, r"\.")
-    first, second = octets[0].cast("int"), octets[1].cast("int")
+    first, second = F.get(octets, F.lit(0)).try_cast("int"), F.get(octets, F.lit(1)).try_cast("int")
     blocked = first >= 224
     for a, low, high in BLOCKED_RANGES:
         blocked = blocked | ((first == a) & second.between(low, high))
