@@ -38,7 +38,7 @@ BLOCK = 1 << 16
 #: Id put after each document.
 END = 0
 #: Words whose ids an encoder remembers; when full it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 MAGIC = b"PLANES01"
 
 
@@ -144,47 +144,110 @@ class Reader:
 
 # --- encoding -----------------------------------------------------------------------------
 
-_CUT = re.compile("[ \n\t\r\f\v]*[^ \n\t\r\f\v]+|[ \n\t\r\f\v]+")
-#: Where white space is not single spaces and line ends, texts are cut by the pattern above. Fixed values.
-_RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\f", "\v", "\0")
-#: Characters that count as white space in some libraries only or outside ASCII: such texts are encoded whole. Fixed values.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Bytes of which no two may follow one another in a text that is cut into words, and bytes such a text may not hold. Fixed values.
+_SPACES = C.table(lambda b: b in (10, 32))
+_NEVER = C.table(lambda b: b < 32 and b != 10)
+#: Lead bytes under which white space outside ASCII is encoded, and that white space; such texts are encoded whole. Fixed values.
+_LEADS = C.table(lambda b: b in (0xC2, 0xE1, 0xE2, 0xE3, 0xEF))
+_ODD = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+_LETTERS = C.table(lambda b: 65 <= b <= 90 or 97 <= b <= 122)
+_STOPS = C.table(lambda b: b in b",.")
 
 
 class Encoder:
     """The tokenizer file's ids of whole texts.
 
-    The tokenizer never joins what stands before white space with it, so a text is the
-    concatenation of its words with the white space before them; each distinct word is encoded
-    by the tokenizer once and remembered."""
+    The tokenizer never joins what stands before white space with it, nor a letter with a
+    comma or full stop, so a text is the concatenation of its words with the one space or line
+    end before them, single stops apart. Each distinct word is encoded by the tokenizer once
+    and remembered under a 64-bit hash; texts with other white space are encoded whole."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
-        self.known: dict[str, bytes] = {}
-
-    def cut(self, text: str) -> list[str]:
-        if _ODD.search(text):
-            return [text]
-        if any(r in text for r in _RUNS):
-            return _CUT.findall(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text and the end id, as little-endian 32-bit words."""
-        cut = [self.cut(t) for t in texts]
+        self.known: dict[int, bytes] = {}
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.encode_bytes(*C.bytes_view(pa.array(texts, pa.large_string())))
+
+    def encode_bytes(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text and the end id."""
+        n = len(off) - 1
+        simple = self._simple(data, off)
+        mark = _SPACES[data]
+        mark[1:-1] |= _STOPS[data[1:-1]] & _LETTERS[data[:-2]] & _SPACES[data[2:]]
+        filled = np.flatnonzero(off[1:] > off[:-1])
+        mark[off[filled]] = True
+        begin = np.flatnonzero(mark)
+        end = np.append(begin[1:], len(data))[: len(begin)]
+        row = np.searchsorted(off, begin, "right") - 1
+        keep = simple[row]
+        begin, end, row = begin[keep], end[keep], row[keep]
+        hashes, first, place = np.unique(C.span_hashes(data, begin, end, C.byte_codes(False)), return_index=True, return_inverse=True)
+        found = self._look_up(hashes.tolist(), lambda i: data[begin[first[i]] : end[first[i]]].tobytes().decode())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        length = size[place]
+        before = np.cumsum(length) - length
+        ids = flat[np.repeat((np.cumsum(size) - size)[place] - before, length) + np.arange(int(length.sum()))]
+        edge = np.concatenate([[0], np.cumsum(np.bincount(row, weights=length, minlength=n).astype(np.int64))])
+        out = [np.append(ids[a:b], np.uint32(END)).astype("<u4") for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        whole = np.flatnonzero(~simple).tolist()
+        texts = [data[off[i] : off[i + 1]].tobytes().decode() for i in whole]
+        for i, e in zip(whole, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            out[i] = np.array([*e.ids, END], "<u4")
+        return out
+
+    def _simple(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Which texts have single spaces and line ends as their only white space."""
+        bad = _NEVER[data]
+        space = _SPACES[data]
+        bad[1:] |= space[1:] & space[:-1]
+        odd = _LEADS[data]
+        count = lambda m: np.diff(np.concatenate([[0], np.cumsum(m, dtype=np.int64)])[off])
+        simple = count(bad) == 0
+        for i in np.flatnonzero(simple & (count(odd) > 0)).tolist():
+            simple[i] = not _ODD.search(data[off[i] : off[i + 1]].tobytes().decode())
+        return simple
+
+    def _look_up(self, hashes: list[int], word_at) -> list[bytes]:
+        """The ids of words by hash, those not known encoded first."""
         if len(self.known) > self.remembered:
             self.known = {}
         known = self.known
-        new = list({w for words in cut for w in words if w not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        end = struct.pack("<I", END)
-        return [b"".join(map(known.__getitem__, words)) + end for words in cut]
+        new = [i for i, h in enumerate(hashes) if h not in known]
+        words = [word_at(i) for i in new]
+        for i, ids in zip(new, self._encode_words(words), strict=True):
+            known[hashes[i]] = ids
+        return [known[h] for h in hashes]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, many in one call: parted by line ends, each a token of its own. A word's own line end is put back before it."""
+        out: list[bytes] = []
+        lead = struct.pack("<I", self.line_end)
+        for at in range(0, len(words), 1024):
+            part = words[at : at + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(w.lstrip("\n") for w in part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(ids == self.line_end) * 4).tolist() + [len(ids) * 4]
+            raw = ids.tobytes()
+            if len(ends) == len(part) and all(w not in ("\n", " ") for w in part):
+                out += [lead + raw[a:b] if w[0] == "\n" else raw[a:b] for w, a, b in zip(part, [0, *[e + 4 for e in ends[:-1]]], ends, strict=True)]
+            else:
+                out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return out
+
+
+#: Encoders of this process by file, so that tasks that follow one another share what was learned.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def write_ids(documents: DataFrame, tokenizer_path: str, path: str, planes: str = "byte", block: int = BLOCK) -> DataFrame:
@@ -194,18 +257,18 @@ def write_ids(documents: DataFrame, tokenizer_path: str, path: str, planes: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder = writer = None
+        coder = writer = None
         fs, root = pa.fs.FileSystem.from_uri(path)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.planes"
         for whole in batches:
             for batch in C.slices(whole):
                 if writer is None:
                     fs.create_dir(root, recursive=True)
-                    encoder, out = Encoder(tokenizer_path), fs.open_output_stream(f"{root}/{name}")
+                    coder, out = encoder(tokenizer_path), fs.open_output_stream(f"{root}/{name}")
                     writer = Writer(out, planes, block)
-                encoded = encoder.encode([t or "" for t in batch["text"].to_pylist()])
+                encoded = coder.encode_bytes(*C.bytes_view(batch["text"]))
                 for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoded, strict=True):
-                    writer.add(doc_id, np.frombuffer(ids, "<u4"))
+                    writer.add(doc_id, ids)
         if writer is not None:
             n_docs, n_ids = writer.close()
             out.close()
