@@ -72,5 +72,33 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_run_index, op3_winnowing, op4_sentencepiece, op5_quality_cascade, op6_jump_hash, op7_secret_scan, op8_ngram_jaccard, op9_main_text, op10_bit_planes)}
 
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"regexp_extract_all({_ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
+
 #: SQL where it can express a query; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_transactions": """SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN least_id < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN least_id < page_id THEN least_id END AS refers_to
+      FROM (SELECT page_id, h, CASE WHEN strlen(h) >= 100 THEN min(page_id) OVER (PARTITION BY h) END AS least_id FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))""",
+    "op3_winnowing": f"""WITH d AS (SELECT doc_id, {_TERMS} AS l FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_TERMS} AS l FROM benchmark),
+      w AS (SELECT DISTINCT item, n, array_to_string(list_slice(l, i, i + n - 1), ' ') AS g FROM (SELECT item, l, least(10, len(l)) AS n, unnest(range(1, len(l) - least(10, len(l)) + 2)) AS i FROM b WHERE len(l) > 0)),
+      s AS (SELECT DISTINCT n FROM w),
+      x AS (SELECT doc_id, n, i, array_to_string(list_slice(l, i, i + n - 1), ' ') AS g FROM (SELECT doc_id, l, n, unnest(range(1, len(l) - n + 2)) AS i FROM d, s WHERE len(l) >= n)),
+      h AS (SELECT doc_id, item, x.n, i FROM x JOIN w ON x.n = w.n AND x.g = w.g),
+      p AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY doc_id),
+      t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY doc_id)
+      SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op5_quality_cascade": f"""WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS l, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols FROM documents),
+      g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS times FROM (SELECT doc_id, i, array_to_string(list_slice(l, i, i + 7), ' ') AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) - 6)) AS i FROM d WHERE len(l) >= 8))),
+      r AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM g WHERE times > 1) GROUP BY doc_id),
+      f AS (SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(length(array_to_string(l, '')) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines FROM d LEFT JOIN r USING (doc_id))
+      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 25 * n_words OR (n_dup_lines >= 3 AND 2 * n_dup_lines > n_lines) OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept FROM f""",
+    "op8_ngram_jaccard": f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_ASCII_LOWER)} AS l FROM documents),
+      s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(l, i, i + least(5, len(l)) - 1), ' ') AS g FROM (SELECT doc_id, l, unnest(range(1, len(l) - least(5, len(l)) + 2)) AS i FROM d WHERE len(l) > 0)),
+      c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+      p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+      e AS (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+      r AS (SELECT doc_id, doc_id AS o FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.o = e.a)
+      SELECT d.doc_id, coalesce(any_value(c.n), 0) AS n_shingles, min(r.o) AS component_id FROM d LEFT JOIN c USING (doc_id) JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id""",
+}
