@@ -46,9 +46,12 @@ def fenced(events: DataFrame) -> DataFrame:
     """Events that count: those of a worker only while its claim is the latest and the task has not ended since."""
     w = Window.partitionBy("task_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     claim = F.last(F.when(F.col("event") == "CLAIM", F.col("token")), ignorenulls=True).over(w)
-    last = F.last(F.when(F.col("event").isin("CLAIM", "REQUEUE", "COMPLETE", "FAIL", "CANCEL"), F.col("event")), ignorenulls=True).over(w)
+    e = events.withColumn("_claim", claim)
+    # An end reported under an older claim is no step: it must not hide the end that the holder reports.
+    step = F.col("event").isin("CLAIM", "REQUEUE", "CANCEL") | (F.col("event").isin("COMPLETE", "FAIL") & (F.col("token") == F.col("_claim")))
+    last = F.last(F.when(step, F.col("event")), ignorenulls=True).over(w)
     of_worker = F.col("event").isin("HEARTBEAT", "PROGRESS", "COMPLETE", "FAIL")
-    return events.withColumn("_ok", ~of_worker | ((F.col("token") == claim) & (last == "CLAIM"))).where("_ok").drop("_ok")
+    return e.withColumn("_ok", ~of_worker | ((F.col("token") == F.col("_claim")) & (last == "CLAIM"))).where("_ok").drop("_ok", "_claim")
 
 
 def state(events: DataFrame) -> DataFrame:

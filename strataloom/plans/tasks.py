@@ -27,8 +27,8 @@ def _log(spark):
     return LOG.frame(spark).withColumn("ts", F.col("moment").cast("timestamp_ntz"))
 
 
-_LAST = """(SELECT *, lag(CASE WHEN event = 'CLAIM' THEN token END IGNORE NULLS) OVER w AS claim, lag(CASE WHEN event IN ('CLAIM', 'REQUEUE', 'COMPLETE', 'FAIL', 'CANCEL') THEN event END IGNORE NULLS) OVER w AS last_step
-    FROM (SELECT *, CAST(moment AS TIMESTAMP) AS ts FROM {0}) WINDOW w AS (PARTITION BY task_id ORDER BY ts, event_id))""".format(LOG.sql())
+_LAST = """(SELECT *, lag(CASE WHEN event IN ('CLAIM', 'REQUEUE', 'CANCEL') OR (event IN ('COMPLETE', 'FAIL') AND token = claim) THEN event END IGNORE NULLS) OVER (PARTITION BY task_id ORDER BY ts, event_id) AS last_step
+    FROM (SELECT *, lag(CASE WHEN event = 'CLAIM' THEN token END IGNORE NULLS) OVER (PARTITION BY task_id ORDER BY ts, event_id) AS claim FROM (SELECT *, CAST(moment AS TIMESTAMP) AS ts FROM {0})))""".format(LOG.sql())
 _COUNTS = f"(SELECT * FROM {_LAST} WHERE event NOT IN ('HEARTBEAT', 'PROGRESS', 'COMPLETE', 'FAIL') OR (token = claim AND last_step = 'CLAIM'))"
 _STATE = f"""(SELECT task_id, CASE arg_max(event, event_id) WHEN 'ENQUEUE' THEN 'QUEUED' WHEN 'REQUEUE' THEN 'QUEUED' WHEN 'COMPLETE' THEN 'COMPLETED' WHEN 'FAIL' THEN 'FAILED' WHEN 'CANCEL' THEN 'CANCELLED' ELSE 'RUNNING' END AS status,
     count(*) FILTER (WHERE event = 'CLAIM') AS attempt, arg_max(token, event_id) FILTER (WHERE event = 'CLAIM') AS token, max(ts) AS updated_at FROM {_COUNTS} GROUP BY task_id)"""

@@ -31,6 +31,11 @@ def fold(rows: list[dict], state: dict | None) -> dict | None:
 
 
 class TaskFold(StatefulProcessor):
+    """``lease``: put a running task back when it shows no sign of life for so many seconds (0: never)."""
+
+    def __init__(self, lease: int) -> None:
+        self.lease = lease
+
     def init(self, handle) -> None:
         self.handle = handle
         self.state = handle.getValueState("task", _STATE)
@@ -41,8 +46,8 @@ class TaskFold(StatefulProcessor):
         new = fold(events, dict(zip(("status", "attempt", "token", "updated_at"), old, strict=True)) if old else None)
         if new is not None:
             self.state.update((new["status"], int(new["attempt"]), new["token"], new["updated_at"]))
-            if new["status"] == "RUNNING":
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + LEASE_SECONDS * 1000)
+            if self.lease and new["status"] == "RUNNING":
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.lease * 1000)
             yield pd.DataFrame({"task_id": [key[0]], **{k: [v] for k, v in new.items()}})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -55,9 +60,9 @@ class TaskFold(StatefulProcessor):
         pass
 
 
-def stateful(events: DataFrame) -> DataFrame:
-    """States after each batch of a stream of task events."""
-    return events.groupBy("task_id").transformWithStateInPandas(TaskFold(), OUT, "Update", "ProcessingTime")
+def stateful(events: DataFrame, lease: int = LEASE_SECONDS) -> DataFrame:
+    """States after each batch of a stream of task events. Leases need a running clock: use 0 where a stream ends with its input."""
+    return events.groupBy("task_id").transformWithStateInPandas(TaskFold(lease), OUT, "Update", "ProcessingTime" if lease else "None")
 
 
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
