@@ -49,9 +49,18 @@ class Texts:
         return self.done[name]
 
     def subset(self, rows: np.ndarray) -> Texts:
+        """Only the given texts (ascending), with what is known of them."""
         parts = [self.data[self.off[r] : self.off[r + 1]] for r in rows]
         out = Texts(np.concatenate(parts) if parts else np.zeros(0, np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64))
         out.done = {k: v[rows] for k, v in self.done.items()}
+        if self._words is not None:
+            start, end, row, hashes = self._words
+            place = np.full(self.n, -1)
+            place[rows] = np.arange(len(rows))
+            keep = place[row] >= 0
+            row, new = row[keep], place[row[keep]]
+            shift = self.off[row] - out.off[new]
+            out._words = (start[keep] - shift, end[keep] - shift, new, hashes[keep])
         return out
 
 
@@ -173,15 +182,9 @@ def run_cascade(t: Texts, rules: list[Rule]) -> np.ndarray:
             break
         bad = rule.test(*[live.feature(f) for f in rule.features])
         verdict[rows[bad]] = k
-        if bad.mean() > 0.25:
+        if bad.any():
             keep = np.flatnonzero(~bad)
             rows, live = rows[keep], live.subset(keep)
-        elif bad.any():  # too few to be worth copying the others: only their verdicts are set aside
-            rest = [r for r in rules[k + 1 :]]
-            for j, later in enumerate(rest, k + 1):
-                hit = later.test(*[live.feature(f) for f in later.features]) & (verdict[rows] < 0)
-                verdict[rows[hit]] = j
-            return verdict
     return verdict
 
 
