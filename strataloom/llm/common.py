@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Rows up to which a side of a join is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 #: Bytes of text that are turned into arrays at a time; a longer document is a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

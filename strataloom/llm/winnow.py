@@ -134,7 +134,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     # One row per run: hits on the same diagonal of a document and an item extend to the same runs.
     hits = C.materialise(hits.groupBy("doc_id", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.sort_array(F.collect_set("pos")).alias("pos")), "hits")
     texts = items.select("item", "item_id", F.col("text").alias("item_text"))
-    in_items = hits.join(C.checked_broadcast(texts), "item")
+    in_items = hits.join(C.checked_broadcast(texts, 5_000), "item")
     # Only documents with hits meet item texts; hits of a document are few, being runs shared with items.
     grouped = in_items.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("item_id").cast("string").alias("item_id"), "item", "shift", "pos", "item_text")).alias("hits"))
     joined = C.only(documents, "doc_id", "text").join(C.checked_broadcast(grouped, 20_000), "doc_id", "left")
