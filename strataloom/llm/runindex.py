@@ -292,4 +292,4 @@ def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text]
-    return texts.join(C.checked_broadcast(spans, 20_000), "row", "left").select("doc_id", "data", "spans").mapInArrow(run, f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text)
+    return texts.join(spans, "row", "left").select("doc_id", "data", "spans").mapInArrow(run, f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text)
