@@ -7,9 +7,9 @@ they are fewer). Two documents link when 100 * |A and B| >= 80 * |A or B|.
 2. Shingles are ordered rare first: by a fixed-size table of counts over all documents, then
    by hash. Documents that link share a shingle among the first |A| - ceil(0.8 |A|) + 1.
 3. Prefix shingles that two classes or more share are kept; a bitmap of them, also of fixed
-   size, lets most others go before rows are made. In each group of a shared shingle all
-   classes pair with the group's smallest; pairs pass the length, positional and suffix
-   filters, and each is verified once on the full sets. Connected components follow.
+   size, lets most others go before rows are made. Each class pairs with the smallest class
+   of its groups that the length and positional filters admit; pairs pass the suffix filter,
+   and each is verified once on the full sets. Connected components follow.
 4. Groups that still hold several components are joined across components only, by classes
    of length and position first, so every candidate pair that could still add a link between
    components is verified, once.
@@ -272,7 +272,7 @@ def classes(documents: DataFrame) -> DataFrame:
     times = _prefixes(single, rank).groupBy("print").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("print")
     shared = C.materialise(times, "shared")
     bitmap = spark.sparkContext.broadcast(_bitmap(shared))
-    groups = C.materialise(_prefixes(single, rank, bitmap).join(C.checked_broadcast(shared), "print"), "groups")
+    groups = C.materialise(_prefixes(single, rank, bitmap).join(shared, "print"), "groups")
     hubs = groups.groupBy("print").agg(F.min(F.struct("doc_id", "n", "pos")).alias("hub"))
 
     def ahead(n: Column, i: Column, m: Column, j: Column) -> Column:
@@ -280,8 +280,9 @@ def classes(documents: DataFrame) -> DataFrame:
         n, m = n.cast("bigint"), m.cast("bigint")
         return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT) & _may_link(n, m, 1 + F.least(n - i - 1, m - j - 1))
 
-    stars = groups.join(C.checked_broadcast(C.materialise(hubs, "hubs")), "print").where(F.col("doc_id") != F.col("hub.doc_id")).where(ahead(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
-    stars = C.materialise(stars.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
+    stars = groups.join(hubs, "print").where(F.col("doc_id") != F.col("hub.doc_id")).where(ahead(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
+    # One pair for each class comes first, with the smallest of all its hubs; what this leaves apart is paired below.
+    stars = C.materialise(stars.groupBy(F.col("doc_id").alias("b")).agg(F.min("hub.doc_id").alias("a")).select("a", "b"), "stars")
     links = C.materialise(_verify(stars, documents, docs), "links")
     labels = C.materialise(components(links), "labels")
 
