@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitplanes, cascade, jaccard, jumphash, lattice, maincontent, runindex, secretscan, warc, winnow
-from .common import scratch_path
+from .common import materialise, scratch_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,7 +17,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(_read(spark, sf_dir, "pages"), path)
-    return warc.pages_of(warc.assemble(warc.read_records(spark, path)))
+    records = materialise(warc.read_records(spark, path), "records")  # archives are parsed once
+    return warc.pages_of(warc.assemble(records))
 
 
 def op2_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
