@@ -43,6 +43,8 @@ FREQUENT = 1 << 16
 CHUNK_BYTES = 1 << 23
 #: Partitions whose chunks a word's row lists together, so that the list is bounded.
 PARTITIONS_TOGETHER = 256
+#: Partitions of words for each partition of documents.
+SPREAD = 8
 #: Cost of a byte piece in millionths of a log unit. A fixed value, beyond any piece.
 BYTE_COST = 20_000_000
 
@@ -54,48 +56,52 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(" " + text) if text else []
 
 
-def load_pieces(model_path: str) -> tuple[list[tuple[str, int]], int]:
-    """(piece with a plain space, id) of all ordinary pieces of a model, and the id of byte 0."""
+def runs_of(text: str | None) -> list[str]:
+    """What stands between the spaces of a text. A space starts a word, so the words of a text are those of each run with a space before it."""
+    return text.split(" ") if text else []
+
+
+def load_pieces(model_path: str) -> tuple[list[tuple[str, int]], int, int]:
+    """(piece with a plain space, id) of all ordinary pieces of a model, the id of byte 0, and the number of ids."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     n = model.get_piece_size()
     ordinary = [(model.id_to_piece(i).replace("▁", " "), i) for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return ordinary, next((i for i in range(n) if model.is_byte(i)), n)
+    return ordinary, next((i for i in range(n) if model.is_byte(i)), n), n
 
 
 def segment(words: DataFrame, pieces: DataFrame, longest: int, first_byte: int, carried: list[str]) -> DataFrame:
-    """``word``, the columns ``carried`` and ``ids``: the best path through each word's lattice. words: one row for each (word, carried[0])."""
+    """``word``, the columns ``carried`` and ``ids`` (two bytes each): the best path through each word's lattice. words: one row for each (word, carried[0])."""
     n = F.length("word")
-    ends = lambda s: F.transform(F.sequence(s, F.least(s + F.lit(longest - 1), n)), lambda e: F.struct(s.alias("start"), e.alias("end"), F.substring(F.col("word"), s, e - s + 1).alias("piece")))
-    parts = words.select("word", *carried, F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n), ends))).alias("p"))
-    edges = parts.select("word", *carried, (F.col("p.start") - 1).alias("start"), F.col("p.end").alias("end"), F.col("p.piece").alias("piece"))
-    edges = edges.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
+    starts = words.select("word", *carried, F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    spans = starts.select("word", *carried, "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, n))).alias("end"))
+    parts = spans.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start")))
+    edges = parts.join(F.broadcast(pieces), "piece", "left").where(F.col("code").isNotNull() | (F.col("end") == F.col("start") + 1))
+    # What no piece covers: the byte pieces of one character.
     raw = F.hex(F.col("piece").cast("binary"))
-    as_bytes = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2 - 1).cast("int")), lambda i: F.conv(F.substring(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + first_byte)
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(as_bytes)
-    cost = F.when(F.col("id").isNotNull(), F.col("cost")).otherwise(F.length(raw).cast("bigint") * (BYTE_COST // 2))
-    edge = F.struct(F.col("end"), F.col("start"), cost.alias("cost"), ids.alias("ids"))
+    as_bytes = F.array_join(F.transform(F.sequence(F.lit(0), (F.length(raw) / 2 - 1).cast("int")), lambda i: F.lpad(F.hex(F.conv(F.substring(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + first_byte), 4, "0")), "")
+    cost = F.coalesce("cost", F.length(raw).cast("bigint") * (BYTE_COST // 2))
+    edge = F.struct(F.col("end"), F.col("start"), cost.alias("cost"), F.when(F.col("code").isNull(), as_bytes).otherwise(F.col("code")).alias("code"))
     lattice = edges.groupBy("word", *carried[:1]).agg(F.sort_array(F.collect_list(edge)).alias("edges"), *[F.first(c).alias(c) for c in carried[1:]])
     # best[k] is the best path to position k; edges come by end, so best grows at its tail only.
-    start = F.array(F.struct(F.lit(0).cast("bigint").alias("cost"), F.array().cast("array<int>").alias("ids")))
+    start = F.array(F.struct(F.lit(0).cast("bigint").alias("cost"), F.lit("").alias("code")))
 
     def step(best: Column, e: Column) -> Column:
-        to = F.struct((F.get(best, e["start"])["cost"] + e["cost"]).alias("cost"), F.concat(F.get(best, e["start"])["ids"], e["ids"]).alias("ids"))
-        return (
-            F.when(F.size(best) <= e["end"], F.concat(best, F.array(to)))
-            .when(F.get(best, e["end"])["cost"] > to["cost"], F.concat(F.slice(best, F.lit(1), e["end"]), F.array(to)))
-            .otherwise(best)
-        )
+        cost = F.get(best, e["start"])["cost"] + e["cost"]
+        to = F.array(F.struct(cost.alias("cost"), F.concat(F.get(best, e["start"])["code"], e["code"]).alias("code")))
+        return F.when(F.size(best) <= e["end"], F.concat(best, to)).when(F.get(best, e["end"])["cost"] > cost, F.concat(F.slice(best, F.lit(1), e["end"]), to)).otherwise(best)
 
-    path = F.aggregate("edges", start, step, lambda best: F.element_at(best, -1)["ids"])
-    return lattice.select("word", *carried, path.alias("ids"))
+    path = F.aggregate("edges", start, step, lambda best: F.element_at(best, -1)["code"])
+    return lattice.select("word", *carried, F.unhex(path).alias("ids"))
 
 
 def piece_table(spark: SparkSession, model_path: str) -> tuple[DataFrame, int, int]:
-    """(piece, id, cost), the longest piece in characters, and the id of byte 0. Its size is that of the vocabulary file."""
-    ordinary, first_byte = load_pieces(model_path)
-    rows = pa.table({"piece": [p for p, _ in ordinary], "id": pa.array([i for _, i in ordinary], pa.int32()), "cost": pa.array(np.rint(1e6 * np.log1p([i for _, i in ordinary])).astype(np.int64))})
+    """(piece, code, cost), the longest piece in characters, and the id of byte 0. Its size is that of the vocabulary file. Code: the id as four hex digits."""
+    ordinary, first_byte, size = load_pieces(model_path)
+    if size > 1 << 16:
+        raise ValueError("ids of more than two bytes")
+    rows = pa.table({"piece": [p for p, _ in ordinary], "code": [f"{i:04X}" for _, i in ordinary], "cost": pa.array(np.rint(1e6 * np.log1p([i for _, i in ordinary])).astype(np.int64))})
     return spark.createDataFrame(rows), max(len(p) for p, _ in ordinary), first_byte
 
 
@@ -124,27 +130,53 @@ def encode(documents: DataFrame, model_path: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = Counter()
+            seen, runs = Counter(), Counter()
             for text in batch["text"].to_pylist():
-                seen.update(words_of(text))
+                runs.update(runs_of(text))
+            for run, n in runs.items():
+                for w in words_of(run) or [" "]:
+                    seen[w] += n
             yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    top = documents.limit(SAMPLE_ROWS).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", F.lit(0).alias("set"))
-    common = segment(top.repartition("word", "set"), pieces, longest, first_byte, ["set"]).toPandas()  # FREQUENT rows at most
-    frequent = spark.sparkContext.broadcast({w: np.asarray(i, "<i4").tobytes() for w, i in zip(common["word"], common["ids"], strict=True)})
+    share = min(1.0, SAMPLE_ROWS / max(1, documents.count()))
+    top = documents.sample(share, seed=1).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", F.lit(0).alias("set"))
+    common = segment(top.repartition(SPREAD * 4, "word", "set"), pieces, longest, first_byte, ["set"]).select("word", "ids").toPandas()  # FREQUENT rows at most
+    frequent = spark.sparkContext.broadcast({w: bytes(i) for w, i in zip(common["word"], common["ids"], strict=True)})
+
+    def unknown(parts: list[pa.RecordBatch]) -> list[str]:
+        """The words of a chunk that are not frequent, in order: a word is named by its place here."""
+        runs: set[str] = set()
+        for batch in parts:
+            runs.update(*map(runs_of, batch["text"].to_pylist()))
+        return sorted({w for run in runs for w in words_of(run) or [" "]} - frequent.value.keys())
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent.value.keys()
         for chunk, parts in _chunks(batches):
-            new: set[str] = set()
-            for batch in parts:
-                for text in batch["text"].to_pylist():
-                    new.update(words_of(text))
-                new -= known
-            yield pa.RecordBatch.from_pydict({"word": pa.array(list(new), pa.string()), "chunk": pa.array(np.full(len(new), chunk)), "set": pa.array(np.full(len(new), (chunk >> 24) // PARTITIONS_TOGETHER))})
-
-    named = documents.mapInArrow(rare, "word string, chunk bigint, set bigint").groupBy("word", "set").agg(F.collect_list("chunk").alias("chunks"))
-    solved = segment(named, pieces, longest, first_byte, ["set", "chunks"]).select(F.explode("chunks").alias("chunk"), "word", "ids")
+            new = unknown(parts)
+            for at in range(0, len(new), 1 << 16):
+                n = len(new[at : at + (1 << 16)])
+                yield pa.RecordBatch.from_pydict({"word": pa.array(new[at : at + n], pa.string()), "chunk": pa.array(np.full(n, chunk)), "place": pa.array(np.arange(at, at + n, dtype=np.int32)), "set": pa.array(np.full(n, (chunk >> 24) // PARTITIONS_TOGETHER))})
+
+    # Each word becomes some twenty edges, so words are dealt over many more partitions than texts.
+    dealt = documents.mapInArrow(rare, "word string, chunk bigint, place int, set bigint").repartition(documents.rdd.getNumPartitions() * SPREAD, "word", "set")
+    named = dealt.groupBy("word", "set").agg(F.collect_list(F.struct("chunk", "place")).alias("spots"))
+    solved = segment(named, pieces, longest, first_byte, ["set", "spots"]).select(F.explode("spots").alias("spot"), "ids").select("spot.chunk", "spot.place", "ids")
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The places and ids of a partition's words, one compressed blob for each chunk."""
+        table = pa.Table.from_batches(list(batches))
+        if not table.num_rows:
+            return
+        press = zstandard.ZstdCompressor(level=3)
+        order = np.lexsort((table["place"].to_numpy(), table["chunk"].to_numpy()))
+        table = table.take(pa.array(order))
+        chunk, place = table["chunk"].to_numpy(), table["place"].to_numpy().astype("<u4")
+        ids, off = C.bytes_view(table["ids"])
+        size = np.diff(off).astype("<u2")
+        head = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+        for a, b in zip(head.tolist(), [*head[1:].tolist(), len(chunk)], strict=True):
+            raw = np.array([b - a], "<u4").tobytes() + np.diff(place[a:b], prepend=np.uint32(0)).tobytes() + size[a:b].tobytes() + ids[off[a] : off[b]].tobytes()
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([int(chunk[a])]), "texts": pa.array([None], pa.binary()), "words": pa.array([press.compress(raw)], pa.binary())})
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
@@ -153,23 +185,32 @@ def encode(documents: DataFrame, model_path: str) -> DataFrame:
             with pa.ipc.new_stream(sink, parts[0].schema) as out:
                 for batch in parts:
                     out.write_batch(batch)
-            yield pa.RecordBatch.from_pydict({"chunk": [chunk], "texts": [press.compress(sink.getvalue())]})
+            yield pa.RecordBatch.from_pydict({"chunk": [chunk], "texts": [press.compress(sink.getvalue())], "words": pa.array([None], pa.binary())})
 
-    packed = documents.mapInArrow(pack, "chunk bigint, texts binary")
-    both = packed.select("chunk", F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<int>").alias("ids"), "texts").unionAll(solved.select("chunk", "word", "ids", F.lit(None).cast("binary").alias("texts")))
+    blobs = "chunk bigint, texts binary, words binary"
+    both = documents.mapInArrow(pack, blobs).unionAll(solved.mapInArrow(bundle, blobs))
 
     def run(table: pa.Table) -> pa.Table:
-        own, words = table["ids"].combine_chunks(), table["word"].to_pylist()
-        flat, at = own.values.to_numpy(zero_copy_only=False).astype("<i4"), own.offsets.to_numpy()
-        ids = {w: flat[a:b].tobytes() for w, a, b in zip(words, at[:-1].tolist(), at[1:].tolist(), strict=True) if w is not None}
+        undo = zstandard.ZstdDecompressor()
+        at: dict[int, bytes] = {}
+        for blob in table["words"].drop_null().to_pylist():
+            raw = undo.decompress(blob)
+            n = int(np.frombuffer(raw, "<u4", 1)[0])
+            place = np.cumsum(np.frombuffer(raw, "<u4", n, 4)).tolist()
+            end = 4 + 6 * n + np.cumsum(np.frombuffer(raw, "<u2", n, 4 + 4 * n), dtype=np.int64)
+            at.update(zip(place, (raw[a:b] for a, b in zip([4 + 6 * n, *end[:-1].tolist()], end.tolist(), strict=True)), strict=True))
+        texts = [batch for blob in table["texts"].drop_null().to_pylist() for batch in pa.ipc.open_stream(undo.decompress(blob))]
+        ids = {w: at[k] for k, w in enumerate(unknown(texts))}
         known, doc_ids, out = frequent.value, [], []
-        for blob in table["texts"].drop_null().to_pylist():
-            for batch in pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)):
-                doc_ids.append(batch["doc_id"])
-                for text in batch["text"].to_pylist():
-                    out.append(b"".join([known[w] if w in known else ids[w] for w in words_of(text)]))
-        ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4")))
+        runs: dict[str, bytes] = {}
+        for batch in texts:
+            doc_ids.append(batch["doc_id"])
+            cut = [runs_of(t) for t in batch["text"].to_pylist()]
+            for run in set().union(*cut) - runs.keys():
+                runs[run] = b"".join([known[w] if w in known else ids[w] for w in words_of(run) or [" "]])
+            out += [b"".join(map(runs.__getitem__, c)) for c in cut]
+        ends = np.concatenate([[0], np.cumsum([len(x) // 2 for x in out])])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), ">u2").astype("<i4")))
         return pa.table({"doc_id": pa.chunked_array(doc_ids), "ids": lists})
 
     return both.groupBy("chunk").applyInArrow(run, f"doc_id {id_type}, ids array<int>")
@@ -179,7 +220,7 @@ class Decoder:
     """Ids back to text."""
 
     def __init__(self, model_path: str):
-        ordinary, first_byte = load_pieces(model_path)
+        ordinary, first_byte, _ = load_pieces(model_path)
         self.raw = {i: p.encode() for p, i in ordinary} | {first_byte + b: bytes([b]) for b in range(256)}
 
     def text(self, ids) -> str:
