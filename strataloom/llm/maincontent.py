@@ -6,7 +6,11 @@ sample that mark their article themselves with an article or main element. A lin
 the contiguous stretch with the largest total; the innermost sectioning element around it is
 the content, or the stretch alone where only the body holds it. Menus, headers, footers, side
 bars, adverts, notices, forms and reader comments inside are left out by element and by the
-words of their class, id and role.
+words of their class, id and role, unless the element so marked wraps the content: it holds the
+leading main or article element, or at least half of the words outside links (of the leading
+element, or of a page without one). Comments, notices about cookies, adverts and links to other
+pages are no wrappers by their share of words as long as words remain outside them. What is
+marked and holds less is left out, also where an author gave such a name to a part of the text.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks
 are trimmed and joined in page order by a line end; empty blocks vanish.
@@ -23,6 +27,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 SAMPLE_PAGES = 300
 
 # Elements by what they mean for text.
-RAW = ("script", "style", "noscript", "template", "textarea", "svg", "select", "iframe", "object", "canvas", "math", "title")
+RAW = ("script", "style", "noscript", "template", "textarea", "svg", "select", "iframe", "object", "canvas", "annotation-xml", "annotation", "title")
 SKIPPED = ("nav", "footer", "aside", "form", "button", "dialog", "menu")
 SECTIONS = ("html", "body", "main", "article", "section", "div", "td", "center")
 BLOCKS = (
@@ -47,32 +52,99 @@ NOT_ARTICLE = frozenset(
     "disqus footer masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted promotion recommended "
     "related replies share sharing sidebar signup sitenav social sponsor sponsored subscribe toolbar widget header topbar complementary search alert".split()
 )
+#: Those of them that name layouts as well, and elements that can wrap a page: marked so, an element that holds most words is content.
+LAYOUT = frozenset("banner breadcrumb breadcrumbs footer header masthead menu nav navbar navigation notice notification alert search sidebar sitenav social toolbar topbar widget".split())
+WRAPPERS = ("form", "header", "dialog")
+#: Words that say that an element only has such a part, and words before ``header`` that make it the article's own.
+QUALIFIERS = frozenset("has with without no".split())
+HEADED = frozenset("entry post article story".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?![a-zA-Z0-9:-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<tag>/?[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>?|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_MAIN_ROLE = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
 _PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
-def named_parts(rest: str) -> set[str]:
-    """The words in an element's class, id and role."""
-    return {p.lower() for m in _NAMED.finditer(rest) for p in _PART.findall(m[2] or m[3] or m[4] or "")}
+def marks(rest: str, in_article: bool) -> set[str]:
+    """The words of NOT_ARTICLE that mark an element by its class, id and role."""
+    out: set[str] = set()
+    for m in _NAMED.finditer(rest):
+        for name in (m[2] or m[3] or m[4] or "").split():
+            parts = {p.lower() for p in _PART.findall(name)}
+            if parts & QUALIFIERS:
+                continue
+            found = parts & NOT_ARTICLE
+            out |= found - {"header"} if in_article or parts & HEADED else found
+    return out
+
+
+@dataclass
+class Element:
+    """An element of the stack. ``mark``: empty, ``layout`` or ``closed``; ``words``: those outside links, within it."""
+
+    name: str
+    around: int
+    mark: str
+    leads: bool
+    in_article: bool
+    words: int = 0
+
+
+def wrappers(elements: list[Element]) -> set[int]:
+    """The marked elements that hold the content and are therefore no reason to leave it out."""
+    for e in reversed(elements):
+        if e.around >= 0:
+            elements[e.around].words += e.words
+
+    closed, inside = [False] * len(elements), [False] * len(elements)
+    for k, e in enumerate(elements):
+        closed[k] = e.mark == "closed" or (e.around >= 0 and closed[e.around])
+    leading = [k for k, e in enumerate(elements) if e.leads and not e.in_article and e.words]
+    # A main element leads before an article, and an article outside reader comments and the like before one inside.
+    lead = max(leading, key=lambda k: (elements[k].name != "article", elements[k].name != "article" or not closed[k], elements[k].words), default=-1)
+    for k, e in enumerate(elements):
+        inside[k] = lead < 0 or k == lead or (e.around >= 0 and inside[e.around])
+    total = elements[max(lead, 0)].words
+    most = {k for k, e in enumerate(elements) if e.mark and inside[k] and 0 < total <= 2 * e.words}
+    holds = {k for k in most if elements[k].mark == "layout"}
+    while lead >= 0:
+        holds.add(lead)
+        lead = elements[lead].around
+    return holds if _words_left(elements, holds) else holds | most
+
+
+def _words_left(elements: list[Element], holds: set[int]) -> int:
+    """Words outside links in elements that are not left out; ``words`` are totals."""
+    own = [e.words for e in elements]
+    for e in elements:
+        if e.around >= 0:
+            own[e.around] -= e.words
+    out = [False] * len(elements)
+    for k, e in enumerate(elements):
+        out[k] = (e.around >= 0 and out[e.around]) or (bool(e.mark) and k not in holds)
+    return sum(n for n, o in zip(own, out, strict=True) if not o)
 
 
 def parse(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[int, int]]:
     """(kind, value, skipped, section) of every token: kind ``open``, ``close`` or ``text``; and the section around each section.
 
     ``section`` numbers the innermost sectioning element by the index of its opening token (-1: none)."""
-    out: list[tuple[str, str, bool, int]] = []
+    out: list[tuple[str, str, int, int]] = []  # with the element in the place of skipped
     around: dict[int, int] = {}
-    stack: list[tuple[str, bool, int]] = []  # name, skipped, section
+    # The first element is the page.
+    elements = [Element("", -1, "", False, False)]
+    stack: list[tuple[str, int, int]] = []  # name, element, section
+    link = -1  # the depth of the stack at which a link opened
     for m in _TOKEN.finditer(page):
-        skipped, section = (stack[-1][1], stack[-1][2]) if stack else (False, -1)
+        inner, section = (stack[-1][1], stack[-1][2]) if stack else (0, -1)
         if m["text"] is not None:
-            out.append(("text", m["text"], skipped, section))
+            out.append(("text", m["text"], inner, section))
+            if link < 0:
+                elements[inner].words += len(m["text"].split())
             continue
         if not m["tag"]:
             continue
@@ -83,25 +155,42 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[int, int]]:
                 if stack[k][0] == name:
                     del stack[k:]
                     break
-            out.append(("close", name, skipped, section))
+            if name == "a" or len(stack) < link:
+                link = -1
+            out.append(("close", name, inner, section))
             continue
-        parts = named_parts(m["rest"]) if "=" in m["rest"] else set()
-        in_article = any(s[0] in ("article", "main") for s in stack)
-        odd = name in SKIPPED or (name == "header" and not in_article) or (name not in ("html", "body", "article", "main") and bool(parts & NOT_ARTICLE))
+        named = "=" in m["rest"]
+        in_article = elements[inner].in_article or elements[inner].leads
+        found = marks(m["rest"], in_article) if named else set()
+        leads = name in ("article", "main") or (named and bool(_MAIN_ROLE.search(m["rest"])))
+        mark = ""
+        if name in SKIPPED or (name == "header" and not in_article):
+            mark = "layout" if name in WRAPPERS and not found - LAYOUT else "closed"
+        elif found and name not in ("html", "body", "article", "main") and not leads:
+            mark = "layout" if found <= LAYOUT else "closed"
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             _close_open(stack, name)
-            skipped, section = (stack[-1][1], stack[-1][2]) if stack else (False, -1)
+            inner, section = (stack[-1][1], stack[-1][2]) if stack else (0, -1)
+            if len(stack) < link:
+                link = -1
         own = section
         if name in SECTIONS:
             own = len(out)
             around[own] = section
-        out.append(("open", name, skipped or odd, own))
-        if name not in VOID and (name in BLOCKS or name in SECTIONS or name in CELLS or odd) and not m["rest"].endswith("/"):
-            stack.append((name, skipped or odd, own))
-    return out, around
+        elements.append(Element(name, inner, mark, leads and not (found - LAYOUT), elements[inner].in_article or elements[inner].leads))
+        out.append(("open", name, len(elements) - 1, own))
+        if name == "a":
+            link = len(stack)
+        if name not in VOID and (name in BLOCKS or name in SECTIONS or name in CELLS or mark) and not m["rest"].endswith("/"):
+            stack.append((name, len(elements) - 1, own))
+    holds = wrappers(elements)
+    skipped = [False] * len(elements)
+    for k, e in enumerate(elements[1:], 1):
+        skipped[k] = skipped[e.around] or (bool(e.mark) and k not in holds)
+    return [(kind, value, skipped[e], s) for kind, value, e, s in out], around
 
 
-def _close_open(stack: list[tuple[str, bool, int]], name: str) -> None:
+def _close_open(stack: list[tuple[str, int, int]], name: str) -> None:
     """An element that the next one of its kind ends, if none but its own kind's containers lie between."""
     stops = {"li": ("ul", "ol", "menu"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("dl",), "dd": ("dl",)}.get(name, SECTIONS)
     for k in range(len(stack) - 1, -1, -1):
