@@ -6,6 +6,9 @@ subset construction followed by partition-refinement minimisation gives transiti
 A scan reads each byte once, for all rules together: texts are cut at bytes on which the
 automaton always restarts, and all pieces of a slice step through the arrays in lockstep.
 Pieces in which a rule's detector accepts are then matched exactly, which gives the spans.
+A rule with a ``tail`` has its head found so; the span then runs on in the whole text, past
+line ends and whatever else cuts pieces. A private key's runs through its END line if one comes
+before the next BEGIN line, or else to the end of its base64 block.
 
 Defined cases: a null text is empty and has no spans; texts of any length are scanned whole;
 repeated rows give repeated results; empty tables give none; extra columns are ignored.
@@ -14,7 +17,7 @@ repeated rows give repeated results; empty tables give none; extra columns are i
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +30,7 @@ from . import common as C
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` matches leftmost and without overlaps; a match counts if its ``group`` has ``least`` characters.
+    ``tail`` gives the end of the secret in the whole text from the end of the match; without it, that is its end.
     ``detector``: matched by some stretch of every match that counts; no match crosses a byte no rule can hold.
     A detector stops after the first byte of a value: counting far through overlapping alphabets multiplies states."""
 
@@ -36,6 +40,22 @@ class Rule:
     group: int = 0
     least: int = 0
     base: bool = False
+    tail: Callable[[bytes, int], int] | None = None
+
+
+_KEY_END = re.compile(rb"-----END [A-Z ]*PRIVATE KEY-----")
+#: What may stand between the lines of a key: white space, escaped line ends, quotes and marks of comments, citations and joined strings.
+_GAP = rb"(?:[\s\"'`,;>|*#+]|\\+[nrt]|//)*+"
+_KEY_BODY = re.compile(rb"(?:" + _GAP + rb"[A-Za-z][A-Za-z-]*+: [^\n\\]*+)*+(" + _GAP + rb"[A-Za-z0-9+/=]{16,}+)*+(?:[ \t\"'`,;+]*+(?:\r?\n|(?:\\+r)?\\+n)(?:[ \t\"'`>|*#+]|//)*+[A-Za-z0-9+/=]++(?=[\s\"'`,;\\]|\Z))?+")
+
+
+def key_end(text: bytes, at: int) -> int:
+    """The end of the private key whose BEGIN line ends at ``at``: that of its END line, or of its base64 block if it has none."""
+    following = text.find(b"-----BEGIN", at)
+    if end := _KEY_END.search(text, at, following if following >= 0 else len(text)):
+        return end.end()
+    body = _KEY_BODY.match(text, at)
+    return body.end() if body and (body[1] or body.end() == len(text)) else at  # a first line that the text's end cuts is short
 
 
 _ASSIGN = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?"
@@ -47,7 +67,7 @@ RULES = (
     Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{24}", 0, 24, True),
     Rule("repo_token", r"gh[pousr]_[A-Za-z0-9]+", r"gh[pousr]_[A-Za-z0-9]", 0, 34),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", r"xox[abprs]-[A-Za-z0-9-]", 0, 15),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"PRIVATE KEY-----", tail=key_end),
 )
 
 
@@ -287,9 +307,14 @@ def find_secrets(auto: Automaton, rules, data: np.ndarray, off: np.ndarray) -> l
     if not len(begin):
         return out
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
+    held, text = -1, b""
     for b, e, r, x in zip(begin.tolist(), end.tolist(), row.tolist(), bits.tolist(), strict=True):
         base = points[off[r]]
         for s, k, t in _spans(rules, data[b:e].tobytes(), x):
+            if rules[k].tail:
+                if held != r:
+                    held, text = r, data[off[r] : off[r + 1]].tobytes()
+                t = rules[k].tail(text, int(b + t - off[r])) - int(b - off[r])
             out[r].append((int(points[b + s] - base), k, int(points[b + t] - base)))
     for spans in out:
         spans.sort()
