@@ -7,15 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Levels of nesting that a difference looks into.
-DEPTH = 6
+def nesting(c: Column) -> Column:
+    """How many containers of a JSON text lie within each other at most; those in strings do not count."""
+    marks = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\\.", ""), '"[^"]*"', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(at: Column, mark: Column) -> Column:
+        now = at["now"] + F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    return F.aggregate(F.split(marks, ""), start, step, lambda at: at["most"])
 
 
 def flatten(results: DataFrame, id_column: str = "result_id", json: str = "result") -> DataFrame:
-    """(id, path, value) of every value of a JSON result, containers with null values: fields by name, elements of keyed lists by their ``key``; other lists are values."""
+    """(id, path, value) of every value of a JSON result, containers with null values: fields by name, elements of keyed lists by their ``key``; other lists are values. As many levels as the deepest result has; one job finds how many."""
+    depth = results.select(F.max(nesting(F.col(json)))).first()[0] or 0
     v = results.select(F.col(id_column).alias("id"), F.parse_json(json).alias("v"), F.lit("").alias("path"))
     out = None
-    for _ in range(DEPTH):
+    for _ in range(depth + 1):
         kind = F.schema_of_variant("v")
         held = v.withColumn("kind", kind)
         keyed = F.try_variant_get("v", "$", "array<variant>")
@@ -34,15 +43,15 @@ def flatten(results: DataFrame, id_column: str = "result_id", json: str = "resul
 
 
 def difference(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(path, change_type, before, after): ADDED, REMOVED or MODIFIED values. A subtree that is there on one side only is one change, at its top."""
-    b, a = (flatten(df).select("path", F.col("value").alias(n), F.col("container").alias("c_" + n)) for df, n in ((before, "before"), (after, "after")))
-    both = b.join(a, "path", "full_outer")
+    """(id, path, change_type, before, after): ADDED, REMOVED or MODIFIED values between the results with one id, which is unique on each side. A subtree that is there on one side only is one change, at its top."""
+    b, a = (flatten(df).select("id", "path", F.col("value").alias(n), F.col("container").alias("c_" + n)) for df, n in ((before, "before"), (after, "after")))
+    both = b.join(a, ["id", "path"], "full_outer")
     has_b, has_a = F.col("c_before").isNotNull(), F.col("c_after").isNotNull()
     kind = F.when(~has_b, "ADDED").when(~has_a, "REMOVED").when((F.col("c_before") != F.col("c_after")) | ~F.col("before").eqNullSafe(F.col("after")), "MODIFIED")
     changed = both.withColumn("change_type", kind).where("change_type is not null")
-    tops = changed.where(F.col("change_type").isin("ADDED", "REMOVED") | (F.col("c_before") != F.col("c_after"))).select(F.col("path").alias("_top"))
-    below = changed.join(tops, F.expr("path <> _top and startswith(path, concat(_top, '.'))"), "left_anti")
-    return below.select(F.when(F.col("path") == "", "$").otherwise(F.col("path")).alias("path"), "change_type", "before", "after")
+    tops = changed.where(F.col("change_type").isin("ADDED", "REMOVED") | (F.col("c_before") != F.col("c_after"))).select(F.col("id").alias("_id"), F.col("path").alias("_top"))
+    below = changed.join(tops, F.expr("id = _id and path <> _top and (_top = '' or startswith(path, concat(_top, '.')))"), "left_anti")
+    return below.select("id", F.when(F.col("path") == "", "$").otherwise(F.col("path")).alias("path"), "change_type", "before", "after")
 
 
 def export_rows(changes: DataFrame) -> DataFrame:

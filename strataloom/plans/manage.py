@@ -21,7 +21,7 @@ AFTER = '{"title": "a", "n": 2, "actionGroups": [{"key": "rescue", "responsibili
 )
 def json_keyed_diff(spark, sf_dir):
     frame = lambda text: spark.createDataFrame([(1, text)], "result_id long, result string")
-    return M.difference(frame(BEFORE), frame(AFTER))
+    return M.difference(frame(BEFORE), frame(AFTER)).drop("id")
 
 
 @query("SELECT doc_id, length(text) > 2000 AS cut, CASE WHEN length(text) > 2000 THEN substr(text, 1, 1997) || '...' ELSE text END AS shown FROM documents")
