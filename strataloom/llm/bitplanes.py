@@ -160,14 +160,14 @@ class Encoder:
     The tokenizer never joins what stands before white space with it, nor a letter with a
     comma or full stop, so a text is the concatenation of its words with the one space or line
     end before them, single stops apart. Each distinct word is encoded by the tokenizer once
-    and remembered under a 64-bit hash; texts with other white space are encoded whole."""
+    and remembered under its bytes; texts with other white space are encoded whole."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
-        self.known: dict[int, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -186,8 +186,9 @@ class Encoder:
         row = np.searchsorted(off, begin, "right") - 1
         keep = simple[row]
         begin, end, row = begin[keep], end[keep], row[keep]
-        hashes, first, place = np.unique(C.span_hashes(data, begin, end, C.byte_codes(False)), return_index=True, return_inverse=True)
-        found = self._look_up(hashes.tolist(), lambda i: data[begin[first[i]] : end[first[i]]].tobytes().decode())
+        first, place = C.distinct_spans(data, begin, end)
+        raw = data.tobytes()
+        found = self._look_up([raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)])
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), "<u4")
         length = size[place]
@@ -213,16 +214,14 @@ class Encoder:
             simple[i] = not _ODD.search(data[off[i] : off[i + 1]].tobytes().decode())
         return simple
 
-    def _look_up(self, hashes: list[int], word_at) -> list[bytes]:
-        """The ids of words by hash, those not known encoded first."""
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words, those not known encoded first."""
         if len(self.known) > self.remembered:
             self.known = {}
         known = self.known
-        new = [i for i, h in enumerate(hashes) if h not in known]
-        words = [word_at(i) for i in new]
-        for i, ids in zip(new, self._encode_words(words), strict=True):
-            known[hashes[i]] = ids
-        return [known[h] for h in hashes]
+        new = [w for w in words if w not in known]
+        known.update(zip(new, self._encode_words([w.decode() for w in new]), strict=True))
+        return [known[w] for w in words]
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of words, many in one call: parted by line ends, each a token of its own. A word's own line end is put back before it."""
@@ -250,6 +249,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def store(path: str):
+    """The file system of a path and the path in it. Tasks open files of the shared folder by it; s3a and s3n are s3 here."""
+    return pa.fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
+
+
 def write_ids(documents: DataFrame, tokenizer_path: str, path: str, planes: str = "byte", block: int = BLOCK) -> DataFrame:
     """Write the ids of all documents in ascending doc_id order; returns the manifest: part, file, n_docs, n_ids."""
     spark = documents.sparkSession
@@ -258,7 +262,7 @@ def write_ids(documents: DataFrame, tokenizer_path: str, path: str, planes: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         coder = writer = None
-        fs, root = pa.fs.FileSystem.from_uri(path)
+        fs, root = store(path)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.planes"
         for whole in batches:
             for batch in C.slices(whole):
@@ -287,7 +291,7 @@ def read_ids(spark: SparkSession, path: str, id_type: str = "bigint", with_ids:
     files = files.withColumn("before", before).repartition(max(1, files.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pa.fs.FileSystem.from_uri(path)
+        fs, root = store(path)
         for batch in batches:
             for name, base in zip(batch["file"].to_pylist(), batch["before"].to_pylist(), strict=True):
                 with fs.open_input_file(f"{root}/{name}") as file:

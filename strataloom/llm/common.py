@@ -3,6 +3,7 @@ broadcast joins, and NumPy views of Arrow text columns."""
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,9 +21,11 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); only where it is unset, as in tests, a local one."""
+    """The folder all executors share (``spark.checkpoint.dir``); only where it is unset and the master is local, as in tests, one of this machine."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="strataloom-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir() or path
@@ -81,7 +84,14 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
 # --- words as 64-bit hashes ---------------------------------------------------------------
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
+_BASE = 0xD6E8FEB86659FD93  # odd: multiplies word hashes of short windows
+#: Spans of bytes are hashed by a polynomial modulo this prime; its base is a fixed value without any structure.
+_PRIME = (1 << 61) - 1
+_POINT = 0x0B5F4F3C2D96A1E7
+_P, _LOW30, _LOW31 = np.uint64(_PRIME), np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
+#: Longer spans would overflow the sums and are hashed one by one.
+_LONG_SPAN = 1 << 23
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -93,8 +103,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _reduce(x: np.ndarray) -> np.ndarray:
+    """64-bit values modulo the prime."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of values below it."""
+    ah, al, bh, bl = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    mid = ah * bl + al * bh
+    return _reduce(((ah * bh) << np.uint64(1)) + (mid >> _30) + ((mid & _LOW30) << _31) + al * bl)
+
+
 class Powers:
-    """Powers of the base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of the point and of its inverse modulo the prime, grown on demand."""
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
@@ -102,10 +125,11 @@ class Powers:
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             n = max(n, SLICE_BYTES + (1 << 16))
-            for name, factor in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                factors = np.full(n, factor, np.uint64)
-                factors[0] = 1
-                setattr(self, name, np.cumprod(factors, dtype=np.uint64))
+            for name, factor in (("up", _POINT), ("down", pow(_POINT, -1, _PRIME))):
+                have = getattr(self, name)
+                while len(have) < n:
+                    have = np.concatenate([have, mulmod(have[: n - len(have)], np.uint64(pow(factor, len(have), _PRIME)))])
+                setattr(self, name, have)
         return self.up, self.down
 
 
@@ -113,8 +137,8 @@ POWERS = Powers()
 
 
 def byte_codes(lower: bool) -> np.ndarray:
-    """A random 64-bit code for each byte; with ``lower`` A-Z share the codes of a-z."""
-    codes = mix((np.arange(1, 257, dtype=np.uint64)) * _MULT)
+    """A number for each byte, none zero; with ``lower`` A-Z share those of a-z."""
+    codes = np.arange(1, 257, dtype=np.uint64)
     if lower:
         codes[65:91] = codes[97:123]
     return codes
@@ -148,14 +172,59 @@ def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return start, end, np.searchsorted(off, start, "right") - 1
 
 
+class Sums:
+    """Prefix sums of a polynomial over bytes, from which the hash of any span follows."""
+
+    def __init__(self, data: np.ndarray, codes: np.ndarray):
+        n = len(data)
+        up, self.down = POWERS.to(n + 1)
+        code = codes[data]
+        self.low, self.high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(code * (up[:n] & _LOW31), out=self.low[1:])
+        np.cumsum(code * (up[:n] >> _31), out=self.high[1:])
+
+    def hashes(self, start, end, length) -> np.ndarray:
+        """Of the spans from each start to each end (arrays or slices), which depend on their bytes and length alone."""
+        high = _reduce(self.high[end] - self.high[start])
+        total = _reduce(_reduce(self.low[end] - self.low[start]) + (high >> _30) + ((high & _LOW30) << _31))
+        return mix(mulmod(total, self.down[start]) + length * _MULT)
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from prefix sums of a polynomial modulo 2**64."""
+    """A 64-bit hash of each span of bytes."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    up, down = POWERS.to(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes[data] * up[: len(data)], out=total[1:], dtype=np.uint64)
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _MULT)
+    length = end - start
+    out = Sums(data, codes).hashes(start, end, length.astype(np.uint64))
+    for i in np.flatnonzero(length > _LONG_SPAN).tolist():
+        raw = codes[data[start[i] : end[i]]].astype("<u2").tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+    return out
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the ``length`` bytes from each a and b are equal."""
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    same, at, live = np.ones(len(a), bool), 0, np.flatnonzero((length > 0) & (a != b))
+    while len(live):
+        x, y = (np.ascontiguousarray(eight[p[live] + at]).view("<u8").ravel() for p in (a, b))
+        left = np.minimum(length[live] - at, 8).astype(np.uint64)
+        differ = (x ^ y) << ((np.uint64(8) - left) << np.uint64(3))
+        same[live[differ != 0]] = False
+        at += 8
+        live = live[(differ == 0) & (length[live] > at)]
+    return same
+
+
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each set of equal spans of bytes, and for each span its place among these. Equality is that of the bytes; hashes only sort."""
+    _, first, place = np.unique(span_hashes(data, start, end, byte_codes(False)), return_index=True, return_inverse=True)
+    length, of = end - start, first[place]
+    if len(start) and not ((length == length[of]).all() and same_bytes(data, start, start[of], length).all()):
+        seen: dict[bytes, int] = {}
+        place = np.array([seen.setdefault(data[a:b].tobytes(), len(seen)) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        first = np.unique(place, return_index=True)[1]
+    return first, place
 
 
 def words_of(data: np.ndarray, off: np.ndarray, inside: np.ndarray, lower: bool):

@@ -53,10 +53,8 @@ def cut(data: np.ndarray, off: np.ndarray, gram: int) -> tuple[np.ndarray, ...]:
     n = len(data)
     if n < LEAST:
         return z, z, z, z, z, z.astype(bool)
-    up, down = C.POWERS.to(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(C.byte_codes(False)[data] * up[:n], out=total[1:], dtype=np.uint64)
-    low = grams = C.mix((total[gram:] - total[:-gram]) * down[: n - gram + 1] + np.uint64(gram))
+    sums = C.Sums(data, C.byte_codes(False))
+    low = grams = sums.hashes(slice(0, n - gram + 1), slice(gram, n + 1), np.full(1, gram, np.uint64))
     width, have = LEAST - gram + 1, 1
     while have * 2 <= width:
         low = np.minimum(low[:-have], low[have:])
@@ -78,7 +76,7 @@ def cut(data: np.ndarray, off: np.ndarray, gram: int) -> tuple[np.ndarray, ...]:
     head = np.flatnonzero(new)
     start = at[head]
     end = at[np.append(head[1:], len(at)) - 1] + LEAST
-    value = C.mix((total[end] - total[start]) * down[start] + np.uint64(7))
+    value = sums.hashes(start, end, (end - start).astype(np.uint64))
     spread = end - start - gram + 1  # grams in the piece
     to = np.cumsum(spread)
     inner = np.arange(to[-1]) + np.repeat(start - to + spread, spread)
