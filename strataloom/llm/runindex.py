@@ -14,10 +14,14 @@ so equal windows always meet under one key, whatever document they are in.
   windows whose longest match has LEAST bytes are marked.
 * A key with more than ``HOT`` pieces is cut again with longer k-grams, up to whole windows,
   where equal windows are equal pieces and counting decides. So no bucket is unbounded.
-
-Defined cases: a null or empty text has no bytes; texts shorter than LEAST lose nothing;
-repeated rows repeat each other (all their windows are removed); an empty table gives none;
-extra columns are ignored.
+* The spans found in a piece are merged to maximal runs there, moved to each occurrence in one
+  row, and merged again per document.
+
+Defined cases: a null or empty text has no bytes; texts shorter than LEAST lose nothing; a null
+doc_id is an id like any other; repeated rows (same doc_id and text) repeat each other, so all
+their windows are removed, and each gives a row; documents that share a doc_id are judged apart;
+texts of any length are cut into bounded pieces; an empty table gives none; extra columns, also
+those named like the operator's own, are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +39,7 @@ from . import common as C
 
 LEAST = 400
 #: Gram lengths of the successive cuts; the last is a whole window.
-GRAMS = (32, 256, LEAST)
+GRAMS = (32, 256, 368, LEAST)
 #: Windows in a piece at most, so a long periodic stretch is many bounded pieces.
 PIECE_WINDOWS = 512
 #: Distinct pieces under one key beyond which it is cut again.
@@ -210,64 +215,100 @@ def _cut_table(texts: DataFrame, gram: int) -> DataFrame:
     return texts.mapInArrow(run, "row bigint, start bigint, length bigint, key bigint, hash bigint, twice boolean")
 
 
+def merge_spans(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal runs that the spans of each row cover, by row and start; spans that touch are one run."""
+    if not len(row):
+        return row, start, end
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    base = row * (int(end.max()) + 1)  # so that the furthest end never carries over to the next row
+    far = np.maximum.accumulate(base + end) - base
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] > far[:-1])
+    head = np.flatnonzero(new)
+    return row[head], start[head], far[np.append(head[1:], len(row)) - 1]
+
+
+def _span_lists(row: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> pa.Array:
+    """The spans of rows 0 to n - 1, which come by row, as a list for each."""
+    off = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["start", "end"]))
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """(row, spans): what all the lists of spans of a row cover, as maximal runs. A list is gathered once however often a row repeats, so a row holds no more than its own pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["lists"]
+            inner = pc.list_flatten(lists)
+            owner = pc.list_parent_indices(lists).to_numpy().astype(np.int64)[pc.list_parent_indices(inner).to_numpy().astype(np.int64)]
+            flat = pc.list_flatten(inner)
+            row, start, end = merge_spans(owner, flat.field("start").to_numpy(), flat.field("end").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch["row"], _span_lists(row, start, end, batch.num_rows)], names=["row", "spans"])
+
+    return spans.groupBy("row").agg(F.collect_set("spans").alias("lists")).mapInArrow(run, f"row bigint, spans {_SPANS}")
+
+
 def _fetch(texts: DataFrame, pieces: DataFrame) -> DataFrame:
-    """The bytes of each piece (key, hash, length; row and start of one occurrence)."""
-    wanted = pieces.groupBy("row").agg(F.collect_list(F.struct(*_ID, "start")).alias("wanted"))
-    joined = texts.join(wanted, "row")
+    """The bytes of each piece (key, hash, length, hot; row and start of one occurrence), from one pass over the texts."""
+    wanted = pieces.groupBy("row").agg(F.collect_list(F.struct(*_ID, "hot", "start")).alias("wanted"))
+    joined = texts.groupBy("row").agg(F.first("data").alias("data")).join(wanted, "row")  # repeated rows give each piece once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in C.slices(whole, "data"):
                 out: list[tuple] = []
                 for data, some in zip(batch["data"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
-                    out += [(w["key"], w["hash"], w["length"], data[w["start"] : w["start"] + w["length"]]) for w in some]
-                key, value, length, raw = zip(*out, strict=True) if out else ([], [], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(value, pa.int64()), pa.array(length, pa.int64()), pa.array(raw, pa.binary())], names=[*_ID, "data"])
+                    out += [(w["key"], w["hash"], w["hot"], data[w["start"] : w["start"] + w["length"]]) for w in some]
+                key, value, hot, raw = zip(*out, strict=True) if out else ([], [], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(value, pa.int64()), pa.array(hot, pa.bool_()), pa.array(raw, pa.binary())], names=["key", "hash", "hot", "data"])
 
-    return joined.mapInArrow(run, "key bigint, hash bigint, length bigint, data binary")
+    return joined.mapInArrow(run, "key bigint, hash bigint, hot boolean, data binary")
 
 
 def _index_buckets(pieces: DataFrame, buckets: int) -> DataFrame:
-    """(key, hash, length, spans) of every piece with repeats, from one index for each bucket of keys."""
+    """(key, hash, spans) of every piece with repeats, from one index for each bucket of keys."""
 
     def run(table: pa.Table) -> pa.Table:
         spans = RunIndex(table["data"].to_pylist()).repeats()
         some = [i for i, s in enumerate(spans) if s]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return table.select(_ID).take(pa.array(some, pa.int64())).append_column("spans", pa.array([[{"start": a, "end": b} for a, b in spans[i]] for i in some], kind))
+        return table.select(["key", "hash"]).take(pa.array(some, pa.int64())).append_column("spans", pa.array([[{"start": a, "end": b} for a, b in spans[i]] for i in some], kind))
 
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(run, f"key bigint, hash bigint, length bigint, spans {_SPANS}")
+    dealt = pieces.select("key", "hash", "data").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInArrow(run, f"key bigint, hash bigint, spans {_SPANS}")
 
 
 def repeats(texts: DataFrame, level: int = 0) -> DataFrame:
-    """(row, start, end): stretches of ``data`` covered by windows that occur elsewhere; texts has ``row`` and ``data``."""
+    """(row, spans): the stretches of ``data`` covered by windows that occur elsewhere, as maximal runs; texts has ``row`` and ``data``."""
+    last = level == len(GRAMS) - 1
     occurrences = C.materialise(_cut_table(texts, GRAMS[level]), "pieces")
     pieces = occurrences.groupBy(*_ID).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "start")).alias("at"), F.max("twice").alias("twice"))
     kinds = C.materialise(pieces.select(*_ID, "times", "at.row", "at.start", "twice"), "kinds")
     several = C.materialise(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("twice")).where("kinds > 1 or twice").drop("twice"), "several")
-    mixed = C.materialise(kinds.join(C.checked_broadcast(several), "key"), "mixed")
-    found = kinds.where("times > 1").select(*_ID, F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("length").alias("end"))).alias("spans"))
-    hot = mixed.where(F.col("kinds") > HOT)
-    cold = mixed.where(F.col("kinds") <= HOT) if level < len(GRAMS) - 1 else mixed
-    size = cold.agg(F.sum("length")).first()[0] or 0
+    mixed = kinds.join(C.checked_broadcast(several), "key").withColumn("hot", F.lit(not last) & (F.col("kinds") > HOT))
+    mixed = C.materialise(_fetch(texts, mixed.select(*_ID, "hot", "row", "start")), "mixed")
+    found = kinds.where("times > 1").select("key", "hash", F.lit(None).cast(_SPANS).alias("spans"))  # as wholes
+    size = mixed.where("not hot").agg(F.sum(F.octet_length("data"))).first()[0] or 0
     if size:
-        marked = _index_buckets(_fetch(texts, cold.select(*_ID, "row", "start")), max(1, size // BUCKET_BYTES))
-        found = found.union(C.materialise(marked, "marked"))
-    if level < len(GRAMS) - 1 and not hot.isEmpty():
-        named = C.materialise(_fetch(texts, hot.select(*_ID, "row", "start")).withColumn("row", F.xxhash64(*_ID)), "hot")
-        inner = repeats(named.select("row", "data"), level + 1)
-        spans = inner.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-        found = found.union(named.drop("data").join(spans, "row").select(*_ID, "spans"))
-    spread = occurrences.join(found, _ID).select("row", F.col("start").alias("base"), F.explode("spans").alias("s"))
-    return spread.select("row", (F.col("base") + F.col("s.start")).alias("start"), (F.col("base") + F.col("s.end")).alias("end"))
+        found = found.union(C.materialise(_index_buckets(mixed.where("not hot"), max(1, size // BUCKET_BYTES)), "marked"))
+    hot = mixed.where("hot")
+    if not last and not hot.isEmpty():
+        named = hot.select(F.xxhash64("key", "hash").alias("row"), "key", "hash", "data")
+        inner = C.materialise(repeats(named.select("row", "data"), level + 1), "inner")
+        found = found.union(named.drop("data").join(inner, "row").select("key", "hash", "spans"))
+    # One row for each occurrence of a piece, whatever its spans.
+    own = F.coalesce("spans", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("length").alias("end"))))
+    moved = F.transform(own, lambda s: F.struct((s["start"] + F.col("base")).alias("start"), (s["end"] + F.col("base")).alias("end")))
+    placed = occurrences.withColumnRenamed("start", "base").join(found, ["key", "hash"])
+    return _merged(placed.select("row", moved.alias("spans")))
 
 
 def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, ``kept`` (the remaining bytes) per document."""
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("data"))
-    spans = repeats(texts.select("row", "data").where(F.octet_length("data") >= LEAST))
-    spans = C.materialise(spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    spans = C.materialise(repeats(texts.select("row", "data").where(F.octet_length("data") >= LEAST)), "spans")
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,16 +316,13 @@ def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
             for batch in C.slices(whole, "data"):
                 out = []
                 for doc_id, data, marks in zip(batch["doc_id"].to_pylist(), batch["data"].to_pylist(), batch["spans"].to_pylist(), strict=True):
-                    kept, at, removed, n = [], 0, 0, 0
-                    for s in sorted(marks or (), key=lambda s: (s["start"], s["end"])):
-                        if s["start"] > at or not n:
-                            kept.append(data[at : s["start"]])
-                            n += 1
-                            at = s["start"]
-                        removed += max(0, s["end"] - at)
-                        at = max(at, s["end"])
+                    kept, at, removed = [], 0, 0
+                    for m in marks or ():
+                        kept.append(data[at : m["start"]])
+                        removed += m["end"] - m["start"]
+                        at = m["end"]
                     rest = b"".join([*kept, data[at:]])
-                    out.append((doc_id, len(data), removed, n, hashlib.sha256(rest).hexdigest(), rest))
+                    out.append((doc_id, len(data), removed, len(kept), hashlib.sha256(rest).hexdigest(), rest))
                 cols = list(zip(*out, strict=True))
                 types = [batch["doc_id"].type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 5 + with_text]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=names)
