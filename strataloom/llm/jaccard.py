@@ -7,17 +7,23 @@ they are fewer). Two documents link when 100 * |A and B| >= 80 * |A or B|.
 2. Shingles are ordered rare first: by a fixed-size table of counts over all documents, then
    by hash. Documents that link share a shingle among the first |A| - ceil(0.8 |A|) + 1.
 3. Prefix shingles that two classes or more share are kept; a bitmap of them, also of fixed
-   size, lets most others go before rows are made. Each class pairs with the smallest class
-   of its groups that the length and positional filters admit; pairs pass the suffix filter,
-   and each is verified once on the full sets. Connected components follow.
-4. Groups that still hold several components are joined across components only, by classes
-   of length and position first, so every candidate pair that could still add a link between
-   components is verified, once.
+   size, lets most others go before rows are made. A group of two is one pair; in a larger one
+   each class pairs with the smallest class of its groups that the length and positional
+   filters admit. Pairs pass the suffix filter, and each is verified once on the full sets.
+   Connected components follow.
+4. Groups of three and more that still hold several components are joined across components
+   only, by classes of length and position first, so every candidate pair that could still add
+   a link between components is verified, once.
 
 Pairs inside a component are never formed: copies cost what a chain of links costs.
 
-Defined cases: null, empty or wordless texts have empty sets and link with nothing; repeated
-rows are one document; a null doc_id links with nothing; an empty table gives none; extra columns are ignored.
+Defined cases: null, empty or wordless texts have empty sets and link with nothing; a null
+doc_id is no id: its row links like any other, but a component takes the smallest id that is not
+null (null if there is none); ids may be of any type with an order; rows with one doc_id and
+different texts are documents of their own; rows that repeat doc_id and text give a row each,
+and ``drop_near_copies`` keeps one of them; equal smallest ids are told apart by a hash of the
+text; an empty table gives none; extra columns, also those named like the operator's own, are
+kept by ``drop_near_copies`` and else ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +44,8 @@ PERCENT = 80
 COUNTERS = 1 << 24
 BITS = 1 << 27
 TABLE_PARTS = 64
+#: Bits of a key that hold a hash of the text; those before them hold the id.
+ID_SHIFT = 20
 #: Parts of the hash range in which the suffix filter compares counts.
 PARTS = 48
 
@@ -70,18 +78,19 @@ def prefix_size(n):
     return n - -(-PERCENT * n // 100) + 1
 
 
-def _describe(documents: DataFrame) -> DataFrame:
-    """part -1: (doc_id, n, high, low, blob: counts by part of the hash range) of a document; part 0 and above: (blob) counters of a partition."""
+def _describe(keyed: DataFrame) -> DataFrame:
+    """part -1: (key, doc_id, n, high, low, blob: counts by part of the hash range) of a document; part 0 and above: (blob) counters of a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         counts = np.zeros(COUNTERS, np.uint32)
-        names = ["part", "doc_id", "n", "high", "low", "blob"]
+        names = ["part", "key", "doc_id", "n", "high", "low", "blob"]
+        id_kind = None
         for whole in batches:
             for batch in C.slices(whole):
                 row, value = shingle_sets(*C.bytes_view(batch["text"]))
-                rows = batch.num_rows
+                rows, id_kind = batch.num_rows, batch["doc_id"].type
                 place, times = np.unique(_counter(value), return_counts=True)
                 counts[place] += times.astype(np.uint32)
                 n = np.bincount(row, minlength=rows)
@@ -92,13 +101,16 @@ def _describe(documents: DataFrame) -> DataFrame:
                     sums.append((total[edge[1:]] - total[edge[:-1]]).view(np.int64))
                 part = ((value & np.uint64(0xFFFFFFFF)) * np.uint64(PARTS) >> np.uint64(32)).astype(np.int64)
                 parts = np.bincount(row * PARTS + part, minlength=rows * PARTS).astype("<u4").reshape(rows, PARTS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, -1, np.int32)), batch["doc_id"], pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, -1, np.int32)), batch["key"], batch["doc_id"], pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+        if id_kind is None:  # a partition without rows has nothing to count
+            return
         press = zstandard.ZstdCompressor(level=1)
         blobs = [press.compress(c.tobytes()) for c in np.split(counts, TABLE_PARTS)]
         none = pa.nulls(TABLE_PARTS, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(TABLE_PARTS, dtype=np.int32)), none, none, none, none, pa.array(blobs, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(TABLE_PARTS, dtype=np.int32)), none, pa.nulls(TABLE_PARTS, id_kind), none, none, none, pa.array(blobs, pa.binary())], names=names)
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "part int, doc_id bigint, n bigint, high bigint, low bigint, blob binary")
+    id_type = keyed.schema["doc_id"].dataType.simpleString()
+    return keyed.select("key", "doc_id", "text").mapInArrow(run, f"part int, key bigint, doc_id {id_type}, n bigint, high bigint, low bigint, blob binary")
 
 
 def _counter(value: np.ndarray) -> np.ndarray:
@@ -164,8 +176,8 @@ def _bitmap(prints: DataFrame) -> np.ndarray:
     return _joined(parts, BITS // 8)
 
 
-def _prefixes(documents: DataFrame, rank, bitmap=None) -> DataFrame:
-    """(print, doc_id, n, pos): the rare-first prefix of each document's set. rank: broadcast of _rarity; bitmap: of _bitmap, then only prints in it."""
+def _prefixes(keyed: DataFrame, rank, bitmap=None) -> DataFrame:
+    """(print, key, n, pos): the rare-first prefix of each document's set. rank: broadcast of _rarity; bitmap: of _bitmap, then only prints in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value if bitmap is not None else None
@@ -182,22 +194,9 @@ def _prefixes(documents: DataFrame, rank, bitmap=None) -> DataFrame:
                     at = _bit(value)
                     keep &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
                 owner = row[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), batch["doc_id"].take(pa.array(owner)), pa.array(n[owner].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], names=["print", "doc_id", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), batch["key"].take(pa.array(owner)), pa.array(n[owner].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], names=["print", "key", "n", "pos"])
 
-    return documents.mapInArrow(run, "print bigint, doc_id bigint, n int, pos int")
-
-
-def _sets(documents: DataFrame) -> DataFrame:
-    """(doc_id, shingles): the sorted hashes of each document's set, eight bytes each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in C.slices(whole):
-                row, value = shingle_sets(*C.bytes_view(batch["text"]))
-                edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([value[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
-
-    return documents.mapInArrow(run, "doc_id bigint, shingles binary")
+    return keyed.select("key", "text").mapInArrow(run, "print bigint, key bigint, n int, pos int")
 
 
 def _may_link(n: Column, m: Column, common: Column) -> Column:
@@ -205,9 +204,9 @@ def _may_link(n: Column, m: Column, common: Column) -> Column:
     return common * (100 + PERCENT) >= (n + m) * PERCENT
 
 
-def _verify(pairs: DataFrame, documents: DataFrame, described: DataFrame) -> DataFrame:
-    """The distinct (a, b) of ``pairs`` that link. Suffix filter first, on counts by part of the hash range."""
-    parts = described.select("doc_id", "blob", "n")
+def _verify(pairs: DataFrame, keyed: DataFrame, described: DataFrame) -> DataFrame:
+    """The distinct (a, b) of ``pairs`` that link. Suffix filter first, on counts by part of the hash range; texts, which are smaller than their sets, then travel to the pairs."""
+    parts = described.groupBy("key").agg(F.first("blob").alias("blob"), F.first("n").alias("n"))
     some = pairs.join(parts.toDF("a", "parts_a", "n_a"), "a").join(parts.toDF("b", "parts_b", "n_b"), "b")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,75 +218,95 @@ def _verify(pairs: DataFrame, documents: DataFrame, described: DataFrame) -> Dat
                 yield batch.filter(pa.array(common * (100 + PERCENT) >= total * PERCENT)).select(["a", "b"])
 
     some = C.materialise(some.mapInArrow(close, "a bigint, b bigint"), "pairs")
-    wanted = C.checked_broadcast(some.select("a").union(some.select("b")).distinct().toDF("doc_id"))
-    sets = C.materialise(_sets(documents.join(wanted, "doc_id", "left_semi")), "sets")
+    wanted = C.checked_broadcast(some.select("a").union(some.select("b")).distinct().toDF("key"))
+    texts = keyed.select("key", "text").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))  # repeated rows once
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
-
-    both = some.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+        for whole in batches:
+            for batch in C.slices(whole, "text_a"):
+                (row_a, a), (row_b, b) = (shingle_sets(*C.bytes_view(batch[c])) for c in ("text_a", "text_b"))
+                row, value = np.concatenate([row_a, row_b]), np.concatenate([a, b])
+                order = C.by_row_and_value(row, value)
+                row, value = row[order], value[order]
+                common = np.bincount(row[1:][(row[1:] == row[:-1]) & (value[1:] == value[:-1])], minlength=batch.num_rows)
+                total = np.bincount(row, minlength=batch.num_rows)
+                yield batch.filter(pa.array(100 * common >= PERCENT * (total - common))).select(["a", "b"])
+
+    both = some.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     return both.mapInArrow(link, "a bigint, b bigint")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(doc_id, label): for each vertex of ``edges`` (a, b) the smallest vertex it is connected with.
+    """(key, label): for each vertex of ``edges`` (a, b) the smallest vertex it is connected with.
 
     Each round gives a vertex the smallest label among its neighbours and then that label's
     own label; rounds end when no label changes. Labels are tables, never on the driver."""
     both = C.materialise(edges.union(edges.select("b", "a")).distinct(), name)
-    labels = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("doc_id"), F.least("a", "low").alias("label"))
+    labels = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("key"), F.least("a", "low").alias("label"))
     labels = C.materialise(labels, name)
     while True:
         near = both.join(labels.toDF("b", "near"), "b").groupBy("a").agg(F.min("near").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "doc_id"), "doc_id").select("doc_id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        step = labels.join(near.withColumnRenamed("a", "key"), "key").select("key", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         step = C.materialise(step, name)
-        jump = step.join(step.select(F.col("doc_id").alias("label"), F.col("label").alias("further")), "label", "left")
-        new = C.materialise(jump.select("doc_id", "old", F.coalesce("further", "label").alias("label")), name)
+        jump = step.join(step.select(F.col("key").alias("label"), F.col("label").alias("further")), "label", "left")
+        new = C.materialise(jump.select("key", "old", F.coalesce("further", "label").alias("label")), name)
         if new.where("old <> label").isEmpty():
-            return new.select("doc_id", "label")
-        labels = new.select("doc_id", "label")
+            return new.select("key", "label")
+        labels = new.select("key", "label")
 
 
-def classes(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def _keyed(documents: DataFrame, name: str = "key") -> DataFrame:
+    """The documents with a number by which rows are told apart, a function of doc_id and text. Whole ids that are not negative come in their own order (originals
+    mostly before copies, so that the smallest member of a group links with most) with a hash of the text in the last bits; all others are hashes, after them."""
+    hashed = F.xxhash64("doc_id", "text")
+    key = hashed.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    if documents.schema["doc_id"].dataType.typeName() in ("long", "integer", "short", "byte"):
+        own = F.shiftleft(F.col("doc_id").cast("bigint"), ID_SHIFT).bitwiseOR(hashed.bitwiseAND(F.lit((1 << ID_SHIFT) - 1)))
+        key = F.when(F.col("doc_id").between(0, (1 << (62 - ID_SHIFT)) - 1), own).otherwise(key)
+    return documents.withColumn(name, key)
+
+
+def _ahead(n: Column, i: Column, m: Column, j: Column) -> Column:
+    """Length and positional filter for a common shingle at positions i and j."""
+    n, m = n.cast("bigint"), m.cast("bigint")
+    return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT) & _may_link(n, m, 1 + F.least(n - i - 1, m - j - 1))
+
+
+def _labelled(documents: DataFrame) -> DataFrame:
+    """(key, doc_id, n, label) of every row; rows whose texts link, directly or over others, share a label; it is null for rows that link with none."""
     spark = documents.sparkSession
-    documents = C.only(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    described = C.materialise(_describe(documents), "described")
+    keyed = _keyed(C.only(documents, "doc_id", "text"))
+    described = C.materialise(_describe(keyed), "described")
     rank = spark.sparkContext.broadcast(_rarity(described))
 
     docs = described.where("part < 0").drop("part")
-    filled = docs.where("n > 0 and doc_id is not null")
-    smallest = C.materialise(filled.groupBy("n", "high", "low").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("copies")), "classes")
-    copied = smallest.where("copies > 1").select("n", "high", "low", "class")
-    member = C.materialise(filled.select("doc_id", "n", "high", "low").join(C.checked_broadcast(copied), ["n", "high", "low"]).select("doc_id", "class"), "members")
-    extra = member.where("doc_id <> class").select("doc_id").distinct()
-    single = documents.where("doc_id is not null").join(C.checked_broadcast(extra), "doc_id", "left_anti")
+    filled = docs.where("n > 0")
+    same = C.materialise(filled.groupBy("n", "high", "low").agg(F.min("key").alias("class"), F.count(F.lit(1)).alias("copies")), "classes")
+    copied = same.where("copies > 1").select("n", "high", "low", "class")
+    member = filled.select("key", "n", "high", "low").join(C.checked_broadcast(copied), ["n", "high", "low"]).groupBy("key").agg(F.min("class").alias("class"))
+    member = C.materialise(member, "members")
+    single = keyed.join(C.checked_broadcast(member.where("key <> class").select("key")), "key", "left_anti")
 
     times = _prefixes(single, rank).groupBy("print").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("print")
     shared = C.materialise(times, "shared")
     bitmap = spark.sparkContext.broadcast(_bitmap(shared))
     groups = C.materialise(_prefixes(single, rank, bitmap).join(shared, "print"), "groups")
-    hubs = groups.groupBy("print").agg(F.min(F.struct("doc_id", "n", "pos")).alias("hub"))
-
-    def ahead(n: Column, i: Column, m: Column, j: Column) -> Column:
-        """Length and positional filter for a common shingle at positions i and j."""
-        n, m = n.cast("bigint"), m.cast("bigint")
-        return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT) & _may_link(n, m, 1 + F.least(n - i - 1, m - j - 1))
-
-    stars = groups.join(hubs, "print").where(F.col("doc_id") != F.col("hub.doc_id")).where(ahead(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
+    # The smallest and largest class of each group. Of two classes they are the pair; larger groups keep their rows.
+    place = F.struct("key", "n", "pos")
+    hubs = groups.groupBy("print").agg(F.min(place).alias("hub"), F.max(place).alias("last"), F.count(F.lit(1)).alias("size"))
+    able = _ahead(F.col("hub.n"), F.col("hub.pos"), F.col("last.n"), F.col("last.pos")) & (F.col("hub.key") < F.col("last.key"))
+    hubs = C.materialise(hubs.where((F.col("size") > 2) | able), "hubs")
+    twins = hubs.where("size = 2").select(F.col("hub.key").alias("a"), F.col("last.key").alias("b"))
+    groups = C.materialise(groups.join(hubs.where("size > 2").select("print", "hub"), "print"), "large")
+    stars = groups.where(F.col("key") != F.col("hub.key")).where(_ahead(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
     # One pair for each class comes first, with the smallest of all its hubs; what this leaves apart is paired below.
-    stars = C.materialise(stars.groupBy(F.col("doc_id").alias("b")).agg(F.min("hub.doc_id").alias("a")).select("a", "b"), "stars")
-    links = C.materialise(_verify(stars, documents, docs), "links")
+    stars = stars.groupBy(F.col("key").alias("b")).agg(F.min("hub.key").alias("a")).select("a", "b")
+    stars = C.materialise(stars.union(twins).distinct(), "stars")
+    links = C.materialise(_verify(stars, keyed, filled), "links")
     labels = C.materialise(components(links), "labels")
 
     # What is left: groups whose members are in several components, and pairs between these.
-    placed = groups.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    placed = groups.drop("hub").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     mixed = placed.groupBy("print").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("print")
     placed = C.materialise(placed.join(mixed, "print"), "mixed")
     # Classes of alike rows meet first: members of one component are never compared, however
@@ -298,18 +317,38 @@ def classes(documents: DataFrame) -> DataFrame:
     one, two = (kinds.select("print", *[F.col(c).alias(f"{c}_{s}") for c in ("kind", "label", "low", "high", "rest")]) for s in ("a", "b"))
     meet = one.join(two, "print").where("label_a < label_b").where((F.col("high_a") * 100 >= F.col("low_b") * PERCENT) & (F.col("high_b") * 100 >= F.col("low_a") * PERCENT))
     meet = meet.where(_may_link(F.col("low_a").cast("bigint"), F.col("low_b").cast("bigint"), F.least("rest_a", "rest_b").cast("bigint"))).select("print", "kind_a", "kind_b")
-    left, right = (placed.select("print", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "pos", "kind")]) for s in ("a", "b"))
-    across = left.join(meet, ["print", "kind_a"]).join(right, ["print", "kind_b"]).where(ahead(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b")))
-    across = across.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = C.materialise(_verify(across, documents, docs), "links")
+    left, right = (placed.select("print", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "pos", "kind")]) for s in ("a", "b"))
+    across = left.join(meet, ["print", "kind_a"]).join(right, ["print", "kind_b"]).where(_ahead(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b")))
+    across = across.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = C.materialise(_verify(across, keyed, filled), "links")
     if not more.isEmpty():
-        labels = components(links.union(more).union(labels.select("doc_id", "label").where("doc_id <> label").toDF("a", "b")))
-    found = docs.select("doc_id", F.col("n").alias("n_shingles")).join(member, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
-    found = found.join(labels.toDF("class", "label"), "class", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("label", "class").alias("component_id")).distinct()
+        labels = components(links.union(more).union(labels.where("key <> label").toDF("a", "b")))
+    found = docs.select("key", "doc_id", "n").join(member, "key", "left").withColumn("class", F.coalesce("class", F.when(F.col("n") > 0, F.col("key"))))
+    found = found.join(labels.toDF("class", "label"), "class", "left").join(copied.select("class", F.lit(True).alias("copied")), "class", "left")
+    return C.materialise(found.select("key", "doc_id", "n", F.coalesce("label", F.when(F.col("copied"), F.col("class"))).alias("label")), "labelled")
+
+
+def classes(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    found = _labelled(documents)
+    least = found.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    both = found.join(least, "label", "left")
+    return both.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def drop_near_copies(documents: DataFrame) -> DataFrame:
-    """Of each class of linked documents the one with the smallest doc_id."""
-    gone = C.materialise(classes(documents).where("doc_id <> component_id").select("doc_id"), "copies")
-    return documents.join(C.checked_broadcast(gone), "doc_id", "left_anti").select(*documents.columns)
+    """Of each class of linked documents the row with the smallest doc_id (null last); rows without words all stay."""
+    found = _labelled(documents)
+    linked = found.where("label is not null")
+    stays = linked.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("stays"))
+    gone = C.materialise(linked.join(stays, "label").where(F.col("key") != F.col("stays.key")).select("key").distinct(), "copies")
+    again = C.materialise(linked.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key"), "again")
+    name = "key_of_row"
+    while name in documents.columns:
+        name += "_"
+    keyed = _keyed(documents, name)
+    kept = keyed.join(C.checked_broadcast(gone.toDF(name)), name, "left_anti")
+    if not again.isEmpty():
+        again = C.checked_broadcast(again.toDF(name))
+        kept = kept.join(again, name, "left_anti").unionByName(kept.join(again, name, "left_semi").dropDuplicates([name]))
+    return kept.select(*documents.columns)
