@@ -71,8 +71,9 @@ def legacy_levels(levels: DataFrame) -> DataFrame:
 
 
 def layout_table(cells: DataFrame) -> DataFrame:
-    """table_id and whether the table only lays paragraphs out: one column, or one row of long cells."""
-    return cells.groupBy("table_id").agg(((F.max("column") == 0) | ((F.max("row") == 0) & (F.max(F.length("text")) > 100))).alias("is_layout"))
+    """table_id and whether the table only lays paragraphs out: at most one column with three paragraphs or more, or one cell with two or more. A cell's paragraphs are its lines that are not blank."""
+    paragraphs = F.sum(F.size(T.split_lines(F.col("text"))))
+    return cells.groupBy("table_id").agg((((F.max("column") <= 0) & (paragraphs >= 3)) | ((F.count("*") == 1) & (paragraphs >= 2))).alias("is_layout"))
 
 
 def active_first(samples: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ MAX_PAGES = 50
 IMAGE_SUFFIXES = r"(?i)\.(jpg|jpeg|png|bmp|tif|tiff|webp)$"
 RESERVED = r'[\\/:*?"<>|]'
 #: IPv4 ranges that are not public, as (first octet, lowest second, highest second). Fixed values.
-BLOCKED_RANGES = ((0, 0, 255), (10, 0, 255), (127, 0, 255), (100, 64, 127), (169, 254, 254), (172, 16, 31), (192, 168, 168), (198, 18, 19))
+BLOCKED_RANGES = ((0, 0, 255), (10, 0, 255), (127, 0, 255), (100, 64, 127), (169, 254, 254), (172, 16, 31), (192, 168, 168))
+#: Masks and values of the first 16 bits of IPv6 addresses that are not public: unique local, link local, site local, multicast. Fixed values.
+BLOCKED_PREFIXES = ((0xFE00, 0xFC00), (0xFFC0, 0xFE80), (0xFFC0, 0xFEC0), (0xFF00, 0xFF00))
 
 
 def sniff(head: Column, entries: Column) -> Column:
@@ -62,13 +64,18 @@ def url_file_name(url: Column) -> Column:
 
 
 def ip_blocked(ip: Column) -> Column:
-    """Whether an IPv4 address is not public."""
-    octets = F.split(ip, r"\.")
+    """Whether an IPv4 or IPv6 address is not public; IPv4 addresses inside IPv6 ones are judged as such."""
+    plain = F.regexp_replace(F.lower(ip), "^::ffff:(?=[0-9]+[.])", "")
+    octets = F.split(plain, r"\.")
     first, second = F.get(octets, F.lit(0)).try_cast("int"), F.get(octets, F.lit(1)).try_cast("int")
     blocked = first >= 224
     for a, low, high in BLOCKED_RANGES:
         blocked = blocked | ((first == a) & second.between(low, high))
-    return blocked
+    head = F.coalesce(F.conv(F.nullif(F.regexp_extract(plain, "^([0-9a-f]{0,4}):", 1), F.lit("")), 16, 10).cast("int"), F.lit(0))
+    six = plain.rlike("^[0:]*:0*1?$")  # unspecified, or the machine itself
+    for mask, value in BLOCKED_PREFIXES:
+        six = six | (head.bitwiseAND(F.lit(mask)) == value)
+    return F.when(plain.contains(":"), six).otherwise(blocked)
 
 
 def page_modes(pages: DataFrame) -> DataFrame:

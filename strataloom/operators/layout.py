@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Gaps in pixels that end a value to the right, and how far left of an anchor's end a value may begin.
+# Gaps in pixels that end a value to the right, and how far left of an anchor's end a value may begin; the
+# gap that ends a value below: so many heights of its label, and pixels at least.
 RIGHT_GAP = 320
 OVERLAP = 20
-LINE_GAP = 80
+LINE_GAP_HEIGHTS, LINE_GAP = 2.5, 80.0
+
+
+def line_gap() -> Column:
+    """The widest gap between lines of a value, by the height of its label's line."""
+    return F.greatest((F.col("y_max") - F.col("y_min")) * LINE_GAP_HEIGHTS, F.lit(LINE_GAP))
 
 
 def reading_order(lines: DataFrame) -> DataFrame:
@@ -51,14 +57,14 @@ def collect_right(anchors: DataFrame, lines: DataFrame, stops: DataFrame) -> Dat
 
 
 def collect_below(anchors: DataFrame, lines: DataFrame, labels: DataFrame) -> DataFrame:
-    """(image_id, field, value): texts below the anchor in reading order, up to one that holds any label or a gap of LINE_GAP."""
+    """(image_id, field, value): texts that begin lower than the anchor, in reading order, up to one that holds any label or a gap of more than ``line_gap``."""
     known = labels.select(T.normalize_field(F.col("label")).alias("_label")).distinct()
     other = lines.select(F.col("image_id").alias("_image"), F.col("line_idx").alias("_line"), F.col("text").alias("_text"), F.col("y_min").alias("_top"), F.col("y_max").alias("_bottom"), F.col("x_min").alias("_left"))
-    marked = other.join(F.broadcast(known), F.expr("contains(_text, _label)"), "left").groupBy(*other.columns).agg(F.max(F.col("_label").isNotNull()).alias("_ends"))
-    near = anchors.join(marked, (F.col("image_id") == F.col("_image")) & (F.col("_top") >= F.col("y_max")))
+    marked = other.join(F.broadcast(known), F.contains(T.normalize_field(F.col("_text")), F.col("_label")), "left").groupBy(*other.columns).agg(F.max(F.col("_label").isNotNull()).alias("_ends"))
+    near = anchors.join(marked, (F.col("image_id") == F.col("_image")) & (F.col("_top") > F.col("y_min")) & (F.col("line_idx") != F.col("_line")))
     w = Window.partitionBy("image_id", "field").orderBy("_top", "_left", "_line")
-    edge = F.coalesce(F.max("_bottom").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("y_max"))
-    near = near.withColumn("_broken", F.sum((F.col("_ends") | (F.col("_top") - edge > LINE_GAP)).cast("int")).over(w)).where("_broken = 0")
+    edge = F.greatest(F.coalesce(F.max("_bottom").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("y_max")), F.col("y_max"))
+    near = near.withColumn("_broken", F.sum((F.col("_ends") | (F.col("_top") - edge > line_gap())).cast("int")).over(w)).where("_broken = 0")
     parts = F.transform(F.sort_array(F.collect_list(F.struct("_top", "_left", "_line", "_text"))), lambda x: x["_text"])
     return near.groupBy("image_id", "field").agg(F.regexp_replace(F.array_join(parts, ""), r"\s+", "").alias("value"))
 
@@ -97,6 +103,21 @@ def date_range(c: Column) -> Column:
     return T.let(repair_date(c), lambda v: F.when(F.size(dates(v)) >= 2, F.concat(dates(v)[0], F.lit("至"), dates(v)[1])).otherwise(v))
 
 
+# Misread months, and a date of which the month may be missing, with the month that then holds.
+MISREAD_MONTHS = (("每月", "02月"), ("第2月", "02月"), ("第2", "02"))
+PARTIAL_DATE = r"(\d{4}).*?(\d{1,2})?月(\d{1,2})日"
+DEFAULT_MONTH = "02"
+
+
+def single_date(c: Column) -> Column:
+    """The first date of the repaired text; of a partial one the year and day with its month or the default; else the text."""
+    for old, new in MISREAD_MONTHS:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    part = lambda v, k: F.regexp_extract(v, PARTIAL_DATE, k)
+    whole = lambda v: F.concat(part(v, 1), F.lit("年"), F.lpad(F.coalesce(F.nullif(part(v, 2), F.lit("")), F.lit(DEFAULT_MONTH)), 2, "0"), F.lit("月"), F.lpad(part(v, 3), 2, "0"), F.lit("日"))
+    return T.let(c, lambda v: F.coalesce(F.get(dates(v), F.lit(0)), F.when(v.rlike(PARTIAL_DATE), whole(v)), v))
+
+
 def licence_number(c: Column) -> Column:
     return F.nullif(F.regexp_extract(F.regexp_replace(c, r"\s+", ""), LICENCE, 0), F.lit(""))
 

@@ -184,12 +184,14 @@ def url_safety(spark, sf_dir):
     return URLS.frame(spark).select("url", intake.url_verdict(c, ["docs.example.com", "*.files.example.org"], [80, 443]).alias("verdict"), intake.url_file_name(c).alias("file_name"))
 
 
-ADDRESSES = Fixture("ip string", [(x,) for x in ("127.0.0.1", "10.1.2.3", "172.16.0.9", "172.32.0.1", "192.168.1.1", "169.254.169.254", "100.64.0.1", "0.0.0.0", "224.0.0.1", "8.8.8.8", "198.18.0.5", "203.0.114.1", "255.255.255.255")])
+ADDRESSES = Fixture("ip string", [(x,) for x in ("127.0.0.1", "10.1.2.3", "172.16.0.9", "172.32.0.1", "192.168.1.1", "169.254.169.254", "100.64.0.1", "0.0.0.0", "224.0.0.1", "8.8.8.8", "198.18.0.5", "203.0.114.1", "255.255.255.255", "::1", "::", "0:0:0:0:0:0:0:1", "1::", "fe80::1", "febf::2", "fec0::1", "fc00::1", "fdff:1::2", "ff02::1", "2001:db8::1", "::ffff:10.0.0.1", "::ffff:8.8.8.8")])
 
 
 @query(
-    f"""SELECT ip, a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 198 AND b IN (18, 19)) AS blocked
-    FROM (SELECT ip, CAST(split_part(ip, '.', 1) AS INT) AS a, CAST(split_part(ip, '.', 2) AS INT) AS b FROM {ADDRESSES.sql()})"""
+    f"""SELECT ip, CASE WHEN contains(p, ':') THEN regexp_matches(p, '^[0:]*:0*1?$') OR (h & 65024) = 64512 OR (h & 65472) IN (65152, 65216) OR (h & 65280) = 65280
+      ELSE a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) END AS blocked
+    FROM (SELECT ip, p, coalesce(TRY_CAST('0x' || nullif(split_part(p, ':', 1), '') AS INT), 0) AS h, TRY_CAST(split_part(p, '.', 1) AS INT) AS a, TRY_CAST(split_part(p, '.', 2) AS INT) AS b
+      FROM (SELECT ip, regexp_replace(ip, '^::ffff:([0-9]+[.])', '\\1') AS p FROM {ADDRESSES.sql()}))"""
 )
 def ip_blocked(spark, sf_dir):
     return ADDRESSES.frame(spark).select("ip", intake.ip_blocked(F.col("ip")).alias("blocked"))

@@ -87,10 +87,17 @@ def disposition_name(spark, sf_dir):
     return HEADERS.frame(spark).select("id", X.disposition_name(F.col("header")).alias("name"))
 
 
-TABLES = Fixture("table_id long, row int, column int, text string", [(1, 0, 0, "a"), (1, 1, 0, "b"), (2, 0, 0, "a"), (2, 0, 1, "b"), (3, 0, 0, "x" * 120), (3, 0, 1, "y")])
+TABLES = Fixture(
+    "table_id long, row int, column int, text string",
+    [(1, 0, 0, "a"), (1, 1, 0, "b"), (2, 0, 0, "a"), (2, 0, 1, "b\nc\nd"), (3, 0, 0, "x" * 120), (3, 0, 1, "y"), (4, 0, 0, "a\n \nb"), (5, 0, 0, "a\n\n"), (6, 0, 0, "a"), (6, 1, 0, "b\nc"), (7, 0, 0, None)],
+)
 
 
-@query('SELECT table_id, max("column") = 0 OR (max("row") = 0 AND max(length(text)) > 100) AS is_layout FROM ' + TABLES.sql().replace("v(table_id, row, column, text)", 'v(table_id, "row", "column", text)') + " GROUP BY table_id")
+@query(
+    """SELECT table_id, (max("column") <= 0 AND sum(n) >= 3) OR (count(*) = 1 AND sum(n) >= 2) AS is_layout FROM (SELECT *, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')) AS n FROM """
+    + TABLES.sql().replace("v(table_id, row, column, text)", 'v(table_id, "row", "column", text)')
+    + ") GROUP BY table_id"
+)
 def layout_tables(spark, sf_dir):
     return X.layout_table(TABLES.frame(spark))
 

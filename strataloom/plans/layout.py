@@ -15,7 +15,7 @@ LINES = Fixture(
     "image_id long, line_idx int, text string, confidence double, x_min double, y_min double, x_max double, y_max double",
     [
         (1, 0, "企业名称：", 0.95, 100.0, 100.0, 220.0, 130.0), (1, 1, "某某化工", 0.9, 230.0, 102.0, 400.0, 131.0), (1, 2, "有限公", 0.7, 410.0, 99.0, 520.0, 129.0), (1, 3, "印章", 0.5, 900.0, 101.0, 960.0, 130.0),
-        (1, 4, "有效期：2020年1月2日", 0.92, 100.0, 200.0, 420.0, 230.0), (1, 5, "至2023年1月1日", 0.88, 430.0, 203.0, 700.0, 232.0), (1, 6, "许可范围", 0.9, 100.0, 300.0, 220.0, 330.0), (1, 7, "甲醇", 0.6, 110.0, 345.0, 200.0, 370.0), (1, 8, "乙醇", 0.8, 110.0, 380.0, 200.0, 405.0), (1, 9, "远处", 0.8, 110.0, 700.0, 200.0, 730.0),
+        (1, 4, "有效期：2020年1月2日", 0.92, 100.0, 200.0, 420.0, 230.0), (1, 5, "至2023年1月1日", 0.88, 430.0, 203.0, 700.0, 232.0), (1, 6, "许可范围", 0.9, 100.0, 300.0, 220.0, 330.0), (1, 7, "甲醇", 0.6, 110.0, 345.0, 200.0, 370.0), (1, 8, "乙醇", 0.8, 110.0, 380.0, 200.0, 405.0), (1, 9, "远处", 0.8, 110.0, 490.0, 200.0, 730.0),
         (2, 0, "乙公司", 0.99, 300.0, 50.0, 400.0, 80.0), (2, 1, "企业名称", 0.99, 100.0, 50.0, 220.0, 80.0), (2, 2, "有效期", 0.9, 405.0, 52.0, 500.0, 81.0), (2, 3, None, None, None, None, None, None),
     ],
 )
@@ -53,10 +53,10 @@ def collect_right(spark, sf_dir):
 
 @query(
     f"""SELECT image_id, field, string_agg(text2, '' ORDER BY top2, left2, line2) AS value FROM (
-      SELECT *, sum(CASE WHEN ends OR top2 - edge > 80 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, field ORDER BY top2, left2, line2) AS broken FROM (
-        SELECT h.image_id, h.field, o.line_idx AS line2, o.text AS text2, o.y_min AS top2, o.x_min AS left2, EXISTS (SELECT 1 FROM {LABELS.sql()} s WHERE contains(o.text, s.label)) AS ends,
-          coalesce(max(o.y_max) OVER (PARTITION BY h.image_id, h.field ORDER BY o.y_min, o.x_min, o.line_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), h.y_max) AS edge
-        FROM {_HITS} h JOIN {LINES.sql()} o ON o.image_id = h.image_id AND o.y_min >= h.y_max)) WHERE broken = 0 GROUP BY image_id, field"""
+      SELECT *, sum(CASE WHEN ends OR top2 - edge > greatest(2.5 * height, 80) THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, field ORDER BY top2, left2, line2) AS broken FROM (
+        SELECT h.image_id, h.field, h.y_max - h.y_min AS height, o.line_idx AS line2, o.text AS text2, o.y_min AS top2, o.x_min AS left2, EXISTS (SELECT 1 FROM {LABELS.sql()} s WHERE contains({_NORM.format("o.text")}, s.label)) AS ends,
+          greatest(h.y_max, coalesce(max(o.y_max) OVER (PARTITION BY h.image_id, h.field ORDER BY o.y_min, o.x_min, o.line_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), h.y_max)) AS edge
+        FROM {_HITS} h JOIN {LINES.sql()} o ON o.image_id = h.image_id AND o.line_idx <> h.line_idx AND o.y_min > h.y_min)) WHERE broken = 0 GROUP BY image_id, field"""
 )
 def collect_below(spark, sf_dir):
     lines = LINES.frame(spark)
