@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import blocks, extras, layout, levels, manage, sections, tasks
+from .plans import blocks, extras, fields, layout, levels, manage, sections, tasks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _area in (blocks, sections, levels, layout, tasks, manage, extras):
+for _area in (blocks, sections, levels, layout, fields, tasks, manage, extras):
     QUERIES |= _area.REGISTER.queries
     ORACLE_SQL |= _area.REGISTER.oracles
