@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import Fixture
 from ..functions import text as T
 from ..operators import levels as L
+from ..operators import response as R
 from .blocks import _sql_normalize
 from .register import Register
 
@@ -91,15 +92,30 @@ def classification_best_match(spark, sf_dir):
     return L.best_classification(L.bridges(blocks), L.classifications(blocks))
 
 
+TAILS = ["后期处置", "附则"]
+
+
+def _plan(spark):
+    return _frame(spark).withColumn("is_table", F.lit(False))
+
+
 @query()
 def level_window_classify(spark, sf_dir):
-    return L.windows(_frame(spark), ["后期处置", "附则"])
+    """What every block of a level's window is; tested by golden cases."""
+    known = R.described(_plan(spark), TAILS)
+    anchors = R.mentions(known).where("role = 'ANCHOR'")
+    return R.classified(R.windows(known, anchors)).select("doc_id", "key", "block_idx", "kind", "structured", "text")
 
 
 @query()
 def level_segments(spark, sf_dir):
-    blocks = _frame(spark)
-    return L.segments(L.windows(blocks, ["后期处置", "附则"]), L.best_classification(L.bridges(blocks), L.classifications(blocks)), blocks)
+    """Eight rows a document; tested by golden cases."""
+    return R.segments(_plan(spark), TAILS).withColumn("inherits", F.array_join("inherits", ","))
+
+
+@query()
+def level_complaints(spark, sf_dir):
+    return R.complaints(R.segments(_plan(spark), TAILS))
 
 
 MEASURES = Fixture(
