@@ -7,8 +7,10 @@ rejects is not shown to the later ones. The order changes the work, never the ve
 document is kept if no rule rejects it.
 
 Defined cases: a null or empty text has zero for every count and is rejected by the length
-rule; line and window repeats are counted within one text; repeated rows are judged alike;
-an empty table gives an empty result; extra columns are ignored.
+rule; line and window repeats are counted within one text, whole however long; a null doc_id is
+an id like any other; repeated rows are judged alike and each gives a row; rules with equal gain
+run by name; an empty table gives an empty result; extra columns, also those named like the
+operator's own, are kept by ``keep_documents`` and else ignored.
 
 What clean tables, lists and scripts show is no reason to reject: the pipes of a table's line
 (two or more, and it starts with one or is of three or more lines with as many), the mark before
@@ -26,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common as C
 
@@ -266,15 +269,21 @@ EXTRA_RULES = (
 RULES = BASE_RULES + EXTRA_RULES
 
 
-def measure(sample: list[str], rules=RULES) -> list[tuple[str, float, float]]:
-    """(rule, seconds a document, share rejected), each rule on its own."""
-    data, off = C.bytes_view(pa.array(sample, pa.string()))
-    out = []
-    for rule in rules:
-        t, began = Texts(data, off), time.perf_counter()
-        rejected = rule.test(*[t.feature(f) for f in rule.features])
-        out.append((rule.name, (time.perf_counter() - began) / max(1, t.n), float(np.mean(rejected)) if t.n else 0.0))
-    return out
+def measure(sample: DataFrame, rules=RULES) -> list[tuple[str, float, float]]:
+    """(rule, seconds a document, share rejected), each rule on its own. The sample's texts stay in the tasks; only these figures come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in C.slices(whole):
+                data, off = C.bytes_view(batch["text"])
+                for k, rule in enumerate(rules):
+                    t, began = Texts(data, off), time.perf_counter()
+                    rejected = int(rule.test(*[t.feature(f) for f in rule.features]).sum())
+                    yield pa.RecordBatch.from_pydict({"rule": pa.array([k], pa.int32()), "seconds": [time.perf_counter() - began], "texts": pa.array([t.n], pa.int64()), "rejected": pa.array([rejected], pa.int64())})
+
+    rows = sample.select("text").mapInArrow(run, "rule int, seconds double, texts bigint, rejected bigint").groupBy("rule").agg(F.sum("seconds"), F.sum("texts"), F.sum("rejected")).collect()
+    found = {r[0]: (r[1] / max(1, r[2]), r[3] / max(1, r[2])) for r in rows}
+    return [(rule.name, *found.get(k, (0.0, 0.0))) for k, rule in enumerate(rules)]
 
 
 def order_rules(stats: list[tuple[str, float, float]], rules=RULES) -> list[Rule]:
@@ -297,37 +306,37 @@ def run_cascade(t: Texts, rules: list[Rule]) -> np.ndarray:
     return verdict
 
 
-def judge(documents: DataFrame, rules=RULES, always: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS, keep_text: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ``always`` (features given for every document), base_failed, kept, and the columns in ``keep_text``."""
-    sample = [r[0] for r in documents.select("text").limit(sample_rows).collect()]
-    ordered = order_rules(measure(sample, rules), rules)
-    base = {r.name for r in BASE_RULES}
-    carried = [f for f in documents.schema.fields if f.name in keep_text]
-    schema = ", ".join(["doc_id " + documents.schema["doc_id"].dataType.simpleString(), *[f"{a} bigint" for a in always], "base_failed boolean", "kept boolean", *[f"`{f.name}` {f.dataType.simpleString()}" for f in carried if f.name != "doc_id"]])
-    names = [f.name for f in carried if f.name != "doc_id"]
+def _ordered(documents: DataFrame, rules, sample_rows: int) -> list[Rule]:
+    return order_rules(measure(documents.select("text").limit(sample_rows), rules), rules)
+
+
+def judge(documents: DataFrame, rules=RULES, always: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, ``always`` (features given for every document), base_failed and kept. The features of the base rules are computed for every document, since base_failed tells of these rules alone; those of the others only until a rule rejects."""
+    ordered = _ordered(documents, rules, sample_rows)
+    schema = ", ".join(["doc_id " + documents.schema["doc_id"].dataType.simpleString(), *[f"{a} bigint" for a in always], "base_failed boolean", "kept boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in C.slices(whole):
                 t = Texts(*C.bytes_view(batch["text"]))
                 given = [t.feature(a) for a in always]
-                verdict = run_cascade(t, ordered)
                 failed = np.zeros(t.n, bool)
-                if always:
-                    for rule in BASE_RULES:
-                        failed |= rule.test(*[t.feature(f) for f in rule.features])
-                else:
-                    failed = np.array([v >= 0 and ordered[v].name in base for v in verdict], bool)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], *[pa.array(g, pa.int64()) for g in given], pa.array(failed), pa.array(verdict < 0), *[batch[n] for n in names]],
-                    names=["doc_id", *always, "base_failed", "kept", *names],
-                )
-
-    return C.only(documents, *dict.fromkeys(["doc_id", "text", *names])).mapInArrow(run, schema)
-
-
-def keep_documents(documents: DataFrame) -> DataFrame:
-    """The documents that no rule rejects, with their own columns."""
-    names = documents.columns
-    out = judge(documents, keep_text=tuple(names))
-    return out.where("kept").select(*names)
+                for rule in BASE_RULES:
+                    failed |= rule.test(*[t.feature(f) for f in rule.features])
+                kept = ~failed
+                kept[kept] = run_cascade(t.subset(np.flatnonzero(kept)), ordered) < 0
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(g, pa.int64()) for g in given], pa.array(failed), pa.array(kept)], names=["doc_id", *always, "base_failed", "kept"])
+
+    return C.only(documents, "doc_id", "text").mapInArrow(run, schema)
+
+
+def keep_documents(documents: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents that no rule rejects, with their own columns; no rule sees what an earlier one has rejected."""
+    ordered = _ordered(documents, rules, sample_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in C.slices(whole):
+                yield batch.filter(pa.array(run_cascade(Texts(*C.bytes_view(batch["text"])), ordered) < 0))
+
+    return documents.mapInArrow(run, documents.schema)
