@@ -1,17 +1,23 @@
 """Secret scans with one deterministic automaton for all rules.
 
-Every rule's *detector* (a regular expression over bytes that every reportable secret of the
-rule contains at its head) is parsed, all are joined in one nondeterministic automaton, and
-subset construction followed by partition-refinement minimisation gives transition arrays.
-A scan reads each byte once, for all rules together: texts are cut at bytes on which the
-automaton always restarts, and all pieces of a slice step through the arrays in lockstep.
-Pieces in which a rule's detector accepts are then matched exactly, which gives the spans.
-A rule with a ``tail`` has its head found so; the span then runs on in the whole text, past
-line ends and whatever else cuts pieces. A private key's runs through its END line if one comes
-before the next BEGIN line, or else to the end of its base64 block.
-
-Defined cases: a null text is empty and has no spans; texts of any length are scanned whole;
-repeated rows give repeated results; empty tables give none; extra columns are ignored.
+A rule is a ``head`` (a regular expression over bytes) and a ``body`` (a class of bytes that runs
+on as far as it can). All rules, each up to the byte of its body at which it is certain, are
+joined in one nondeterministic automaton; subset construction followed by partition-refinement
+minimisation gives transition arrays. A scan reads each byte once, for all rules together: texts
+are cut at bytes on which the automaton always restarts, and all pieces of a slice step through
+the arrays in lockstep. In pieces where a rule accepts, the positions at which it accepts give
+the spans: the automaton of the reversed rule runs back to the leftmost start, and the body runs
+on to the end. Spans of a rule that begin inside an earlier one of it are none; a span whose
+value is shorter than the rule asks for takes its place but is dropped.
+
+A rule with a ``tail`` runs on in the whole text, past line ends and whatever else cuts pieces.
+A private key's runs through its END line if one comes before the next BEGIN line, or else to the
+end of its base64 block.
+
+Defined cases: a null text is empty and has no spans; texts of any length are scanned whole; a
+null doc_id is an id like any other; repeated rows give repeated results; spans with one start
+come in the order of the rules; empty tables give none; extra columns, also those named like the
+operator's own, are kept by ``redact`` and else ignored.
 """
 
 from __future__ import annotations
@@ -29,19 +35,24 @@ from . import common as C
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` matches leftmost and without overlaps; a match counts if its ``group`` has ``least`` characters.
-    ``tail`` gives the end of the secret in the whole text from the end of the match; without it, that is its end.
-    ``detector``: matched by some stretch of every match that counts; no match crosses a byte no rule can hold.
-    A detector stops after the first byte of a value: counting far through overlapping alphabets multiplies states."""
+    """Matches leftmost and without overlaps: ``head``, then ``body`` once or more, as often as it can. It is certain after ``sure`` bytes of
+    body; a match counts if its value, the body or with ``whole`` all of it, has ``least`` bytes. ``tail`` gives the end of the secret in the
+    whole text from the end of the match; without it, that is its end. A large ``sure`` where bodies share an alphabet multiplies states."""
 
     kind: str
-    pattern: str
-    detector: str
-    group: int = 0
+    head: str
+    body: str = ""
+    sure: int = 1
     least: int = 0
+    whole: bool = True
     base: bool = False
     tail: Callable[[bytes, int], int] | None = None
 
+    @property
+    def pattern(self) -> str:
+        """What the automaton accepts."""
+        return self.head + (f"{self.body}{{{self.sure}}}" if self.body else "")
+
 
 _KEY_END = re.compile(rb"-----END [A-Z ]*PRIVATE KEY-----")
 #: What may stand between the lines of a key: white space, escaped line ends, quotes and marks of comments, citations and joined strings.
@@ -62,12 +73,12 @@ _ASSIGN = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][
 
 #: Base rules first, in the order in which kinds are listed.
 RULES = (
-    Rule("assign", _ASSIGN + r"([A-Za-z0-9+/_.=-]+)", _ASSIGN + r"[A-Za-z0-9+/_.=-]", 2, 6, True),
-    Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]", 0, 20, True),
-    Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{24}", 0, 24, True),
-    Rule("repo_token", r"gh[pousr]_[A-Za-z0-9]+", r"gh[pousr]_[A-Za-z0-9]", 0, 34),
-    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", r"xox[abprs]-[A-Za-z0-9-]", 0, 15),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"PRIVATE KEY-----", tail=key_end),
+    Rule("assign", _ASSIGN, r"[A-Za-z0-9+/_.=-]", least=6, whole=False, base=True),
+    Rule("access", "AKIA", "[A-Z0-9]", least=20, base=True),
+    Rule("hex", "", "[0-9a-f]", sure=24, least=24, base=True),
+    Rule("repo_token", r"gh[pousr]_", "[A-Za-z0-9]", least=34),
+    Rule("chat_token", r"xox[abprs]-", "[A-Za-z0-9-]", least=15),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", tail=key_end),
 )
 
 
@@ -88,7 +99,7 @@ class Nfa:
 
 
 class Parser:
-    """The subset of byte regular expressions that detectors use: literals, escapes, classes, groups, | ? * + {n}."""
+    """The subset of byte regular expressions that rules use: literals, escapes, classes, groups, | ? * + {n}."""
 
     def __init__(self, text: str, nfa: Nfa):
         self.text, self.at, self.nfa = text, 0, nfa
@@ -198,17 +209,28 @@ class Automaton:
     restarts: np.ndarray  # bytes that lead to state 0 from every state
 
 
-def compile_rules(rules=RULES) -> Automaton:
-    """One minimal automaton that accepts, after any prefix, wherever some rule's detector ends."""
-    nfa = Nfa()
-    first, final = nfa.state(), {}
-    for k, rule in enumerate(rules):
-        parser = Parser(rule.detector, nfa)
-        a, b = parser.either()
-        if parser.at != len(rule.detector):
-            raise ValueError(f"unbalanced pattern: {rule.detector}")
-        nfa.free[first].append(a)
-        final[b] = 1 << k
+def _parsed(rule: Rule, nfa: Nfa) -> tuple[int, int]:
+    """The first and last state of a rule's pattern."""
+    parser = Parser(rule.pattern, nfa)
+    ends = parser.either()
+    if parser.at != len(rule.pattern):
+        raise ValueError(f"unbalanced pattern: {rule.pattern}")
+    return ends
+
+
+def _reversed(nfa: Nfa) -> Nfa:
+    out = Nfa()
+    out.moves, out.free = [[] for _ in nfa.moves], [[] for _ in nfa.free]
+    for s, moves in enumerate(nfa.moves):
+        for mask, t in moves:
+            out.moves[t].append((mask, s))
+        for t in nfa.free[s]:
+            out.free[t].append(s)
+    return out
+
+
+def _deterministic(nfa: Nfa, first: int, final: dict[int, int], anywhere: bool) -> Automaton:
+    """The minimal automaton. ``anywhere``: it accepts after any prefix, else the empty set of states is one that is never left."""
     masks = sorted({m for moves in nfa.moves for m, _ in moves})
     signature: dict[tuple, int] = {}
     classes = np.zeros(256, np.int64)
@@ -232,7 +254,7 @@ def compile_rules(rules=RULES) -> Automaton:
         row = []
         for c in range(n):
             b = one_of[c]
-            target = closure([first, *(t for s in subset for m, t in nfa.moves[s] if m >> b & 1)])
+            target = closure([*([first] if anywhere else []), *(t for s in subset for m, t in nfa.moves[s] if m >> b & 1)])
             if target not in number:
                 number[target] = len(order)
                 order.append(target)
@@ -256,6 +278,38 @@ def compile_rules(rules=RULES) -> Automaton:
     return Automaton(classes.astype(np.uint8), n, small.ravel().astype(np.int32), accepts[keep].astype(np.int64), dead[classes])
 
 
+@dataclass
+class Compiled:
+    """The automaton of all rules, and for each rule that of its reversed pattern and the bytes of its body."""
+
+    forward: Automaton
+    backward: list[Automaton]
+    body: list[np.ndarray]
+
+    @property
+    def accepts(self) -> np.ndarray:
+        return self.forward.accepts
+
+
+def compile_rules(rules=RULES) -> Compiled:
+    """One minimal automaton that accepts, after any prefix, wherever some rule is certain; and what finds the ends of its spans."""
+    nfa, final, back, body = Nfa(), {}, [], []
+    first = nfa.state()
+    for k, rule in enumerate(rules):
+        a, b = _parsed(rule, nfa)
+        nfa.free[first].append(a)
+        final[b] = 1 << k
+        alone = Nfa()
+        a, b = _parsed(rule, alone)
+        back.append(_deterministic(_reversed(alone), b, {a: 1}, False))
+        inside = np.zeros(256, bool)
+        if rule.body:
+            mask = Parser(rule.body[1:], nfa).members()
+            inside = C.table(lambda b, m=mask: m >> b & 1)
+        body.append(inside)
+    return Compiled(_deterministic(nfa, first, final, True), back, body)
+
+
 def scan_slice(auto: Automaton, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, row and accepted rules of the pieces between restart bytes in which a rule accepts."""
     start, end, row = C.runs(~auto.restarts[data], off)
@@ -289,28 +343,62 @@ def scan_slice(auto: Automaton, data: np.ndarray, off: np.ndarray) -> tuple[np.n
     return begin[some], begin[some] + length[some], row[order[some]], found[some]
 
 
-def _spans(rules, piece: bytes, bits: int) -> list[tuple[int, int, int]]:
-    """(start, rule, end) within a piece, exactly as each rule's own pattern matches."""
-    out = []
-    for k, rule in enumerate(rules):
-        if bits >> k & 1:
-            for m in re.finditer(rule.pattern.encode(), piece):
-                if len(m[rule.group]) >= rule.least:
-                    out.append((m.start(), k, m.end()))
+def _accepted(auto: Automaton, piece: bytes) -> list[tuple[int, int]]:
+    """(end, accepted rules) at every position of a piece where some rule accepts."""
+    moves, accepts, kinds = auto.moves.tolist(), auto.accepts.tolist(), auto.classes.tolist()
+    state, out = 0, []
+    for i, b in enumerate(piece):
+        state = moves[state * auto.n_classes + kinds[b]]
+        if accepts[state]:
+            out.append((i + 1, accepts[state]))
+    return out
+
+
+def _start(auto: Automaton, piece: bytes, end: int, least: int) -> int:
+    """The leftmost start, from ``least`` on, of a match that ends at ``end``."""
+    state, best = 0, -1
+    for i in range(end - 1, least - 1, -1):
+        state = int(auto.moves[state * auto.n_classes + int(auto.classes[piece[i]])])
+        if auto.accepts[state]:
+            best = i
+        elif auto.moves[state * auto.n_classes : (state + 1) * auto.n_classes].tolist() == [state] * auto.n_classes:
+            break  # nothing leads on
+    return best
+
+
+def _spans(compiled: Compiled, rules, piece: bytes) -> list[tuple[int, int, int]]:
+    """(start, rule, end) within a piece: leftmost, as long as the body runs, without overlaps."""
+    out, done = [], [0] * len(rules)
+    raw = np.frombuffer(piece, np.uint8)
+    for end, bits in _accepted(compiled.forward, piece):
+        for k, rule in enumerate(rules):
+            if not bits >> k & 1 or end <= done[k]:
+                continue
+            start = _start(compiled.backward[k], piece, end, done[k])
+            if start < 0:  # it would begin inside the span before
+                continue
+            value = start if rule.whole else end - rule.sure
+            stop = end
+            if rule.body:
+                after = np.flatnonzero(~compiled.body[k][raw[end:]])
+                stop = end + int(after[0]) if len(after) else len(piece)
+            done[k] = stop
+            if stop - value >= rule.least:
+                out.append((start, k, stop))
     return out
 
 
-def find_secrets(auto: Automaton, rules, data: np.ndarray, off: np.ndarray) -> list[list[tuple[int, int, int]]]:
+def find_secrets(compiled: Compiled, rules, data: np.ndarray, off: np.ndarray) -> list[list[tuple[int, int, int]]]:
     """For each text its (start, rule, end) in code points, sorted."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(off) - 1)]
-    begin, end, row, bits = scan_slice(auto, data, off)
+    begin, end, row, _ = scan_slice(compiled.forward, data, off)
     if not len(begin):
         return out
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
     held, text = -1, b""
-    for b, e, r, x in zip(begin.tolist(), end.tolist(), row.tolist(), bits.tolist(), strict=True):
+    for b, e, r in zip(begin.tolist(), end.tolist(), row.tolist(), strict=True):
         base = points[off[r]]
-        for s, k, t in _spans(rules, data[b:e].tobytes(), x):
+        for s, k, t in _spans(compiled, rules, data[b:e].tobytes()):
             if rules[k].tail:
                 if held != r:
                     held, text = r, data[off[r] : off[r + 1]].tobytes()
