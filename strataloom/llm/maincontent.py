@@ -1,8 +1,9 @@
 """Main text of web pages by maximum-scoring subsequence.
 
 A page is a sequence of tokens: words score above zero, tags below. The weights are log odds
-of a token lying in the article or outside, learned from labelled pages: those of a bounded
-sample that mark their article themselves with an article or main element. A linear scan finds
+of a token lying in the article or outside, learned from labelled pages: those that mark their
+article themselves with an article or main element, the SAMPLE_PAGES of them with the smallest
+hashes; they are counted in the tasks, and only the counts come to the driver. A linear scan finds
 the contiguous stretch with the largest total; the innermost sectioning element around it is
 the content, or the stretch alone where only the body holds it. Menus, headers, footers, side
 bars, adverts, notices, forms and reader comments inside are left out by element and by the
@@ -15,9 +16,14 @@ marked and holds less is left out, also where an author gave such a name to a pa
 Text: character references are decoded, white space inside a block becomes one space, blocks
 are trimmed and joined in page order by a line end; empty blocks vanish.
 
+Every step is linear in the page: tags are read once, a stray closing tag is known by a count of
+open elements, and the element around the stretch is the least deep one between its ends.
+
 Defined cases: a null or empty page, and a page without words, give an empty text; unclosed
-and stray tags are tolerated; an unclosed script or comment runs to the end of the page;
-repeated pages give repeated rows; an empty table gives none; extra columns are ignored.
+and stray tags are tolerated; an unclosed script or comment runs to the end of the page; of
+stretches with one total the first is taken; null page_ids and urls are kept as they are;
+repeated pages give repeated rows; an empty table gives none; extra columns, also those named
+like the operator's own, are ignored.
 """
 
 from __future__ import annotations
@@ -52,18 +58,22 @@ NOT_ARTICLE = frozenset(
     "disqus footer masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted promotion recommended "
     "related replies share sharing sidebar signup sitenav social sponsor sponsored subscribe toolbar widget header topbar complementary search alert".split()
 )
-#: Those of them that name layouts as well, and elements that can wrap a page: marked so, an element that holds most words is content.
-LAYOUT = frozenset("banner breadcrumb breadcrumbs footer header masthead menu nav navbar navigation notice notification alert search sidebar sitenav social toolbar topbar widget".split())
+#: Those of them that never name what holds an article; marked by others only, an element that holds most words is content.
+CLOSED = frozenset("ad ads adv advert adverts advertisement advertising comment comments commentlist consent cookie cookies disqus modal popup replies".split())
+LAYOUT = NOT_ARTICLE - CLOSED
 WRAPPERS = ("form", "header", "dialog")
 #: Words that say that an element only has such a part, and words before ``header`` that make it the article's own.
 QUALIFIERS = frozenset("has with without no".split())
 HEADED = frozenset("entry post article story".split())
 
+_ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?![a-zA-Z0-9:-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<tag>/?[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>?|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + rf")(?![a-zA-Z0-9:-]){_ATTRIBUTES}>.*?(?:</(?P=raw)\s*+>|\Z)"
+    rf"|<(?P<tag>/?[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>{_ATTRIBUTES})>|</?[a-zA-Z][^>]*+>|<[!?/][^>]*+>?|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
+#: The same where no tag is closed any more: nothing can be searched for in vain, at every "<", to the end of the page.
+_TAIL = re.compile(r"<[!?/].*+|(?P<text>[^<]++|<)(?P<tag>)(?P<rest>)", re.S)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _MAIN_ROLE = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
 _PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
@@ -139,7 +149,13 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[int, int]]:
     elements = [Element("", -1, "", False, False)]
     stack: list[tuple[str, int, int]] = []  # name, element, section
     link = -1  # the depth of the stack at which a link opened
-    for m in _TOKEN.finditer(page):
+    opened: Counter[str] = Counter()  # how often each name is on the stack
+
+    def cut(k: int) -> None:
+        opened.subtract([e[0] for e in stack[k:]])
+        del stack[k:]
+
+    for m in _tokens(page):
         inner, section = (stack[-1][1], stack[-1][2]) if stack else (0, -1)
         if m["text"] is not None:
             out.append(("text", m["text"], inner, section))
@@ -151,10 +167,8 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[int, int]]:
         name = m["tag"].lower()
         if name.startswith("/"):
             name = name[1:]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if opened[name] > 0:
+                cut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             if name == "a" or len(stack) < link:
                 link = -1
             out.append(("close", name, inner, section))
@@ -169,7 +183,8 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[int, int]]:
         elif found and name not in ("html", "body", "article", "main") and not leads:
             mark = "layout" if found <= LAYOUT else "closed"
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-            _close_open(stack, name)
+            if opened[name] > 0 and (k := _open_before(stack, name)) >= 0:
+                cut(k)
             inner, section = (stack[-1][1], stack[-1][2]) if stack else (0, -1)
             if len(stack) < link:
                 link = -1
@@ -183,6 +198,7 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[int, int]]:
             link = len(stack)
         if name not in VOID and (name in BLOCKS or name in SECTIONS or name in CELLS or mark) and not m["rest"].endswith("/"):
             stack.append((name, len(elements) - 1, own))
+            opened[name] += 1
     holds = wrappers(elements)
     skipped = [False] * len(elements)
     for k, e in enumerate(elements[1:], 1):
@@ -190,38 +206,82 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[int, int]]:
     return [(kind, value, skipped[e], s) for kind, value, e, s in out], around
 
 
-def _close_open(stack: list[tuple[str, int, int]], name: str) -> None:
-    """An element that the next one of its kind ends, if none but its own kind's containers lie between."""
+def _tokens(page: str) -> Iterator[re.Match]:
+    last, end = page.rfind(">") + 1, 0
+    for m in _TOKEN.finditer(page):
+        if m.start() >= last and m["text"] is None:  # a comment or the like that is not closed
+            return
+        if m.start() >= last:
+            break
+        yield m
+        end = m.end()
+    yield from _TAIL.finditer(page, end)
+
+
+def _open_before(stack: list[tuple[str, int, int]], name: str) -> int:
+    """The place of an element that the next one of its kind ends, if none but its own kind's containers lie between, else -1."""
     stops = {"li": ("ul", "ol", "menu"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("dl",), "dd": ("dl",)}.get(name, SECTIONS)
     for k in range(len(stack) - 1, -1, -1):
         if stack[k][0] == name:
-            del stack[k:]
-            return
+            return k
         if stack[k][0] in stops or stack[k][0] in SECTIONS or stack[k][0] in SKIPPED or stack[k][0] in ("ul", "ol", "table", "dl", "blockquote", "header"):
-            return
+            return -1
+    return -1
 
 
-def learn(pages: list[str]) -> dict[str, float]:
-    """Weights by token kind: ``word`` above zero, each tag below; from pages that mark their article."""
+def count_tokens(page: str) -> tuple[Counter, Counter]:
+    """How often each kind of token stands in the article of a page and outside: ``word`` or the name of a tag."""
     inside, outside = Counter(), Counter()
-    for page in pages:
-        depth = 0
-        for kind, value, skipped, _ in parse(page or "")[0]:
-            if kind == "open" and value in ("article", "main"):
-                depth += 1
-            count = inside if depth and not skipped else outside
-            if kind == "text":
-                count["word"] += len(value.split())
-            elif value not in ("article", "main", "html", "body", "head"):
-                count[value] += 1
-            if kind == "close" and value in ("article", "main"):
-                depth = max(0, depth - 1)
+    depth = 0
+    for kind, value, skipped, _ in parse(page or "")[0]:
+        if kind == "open" and value in ("article", "main"):
+            depth += 1
+        count = inside if depth and not skipped else outside
+        if kind == "text":
+            count["word"] += len(value.split())
+        elif value not in ("article", "main", "html", "body", "head"):
+            count[value] += 1
+        if kind == "close" and value in ("article", "main"):
+            depth = max(0, depth - 1)
+    return inside, outside
+
+
+def weights_of(inside: Counter, outside: Counter) -> dict[str, float]:
+    """Weights by kind of token: ``word`` above zero, each tag below."""
     n_in, n_out = sum(inside.values()) + 1, sum(outside.values()) + 1
     odds = {k: math.log((inside[k] + 0.5) / n_in) - math.log((outside[k] + 0.5) / n_out) for k in {*inside, *outside}}
     weights = {k: min(-0.05, max(-3.0, w)) for k, w in odds.items() if k != "word"}
     return {"word": max(0.5, min(2.0, odds.get("word", 1.0)))} | weights
 
 
+def learn(pages: list[str]) -> dict[str, float]:
+    """The weights from a few pages."""
+    total = (Counter(), Counter())
+    for page in pages:
+        for t, found in zip(total, count_tokens(page), strict=True):
+            t.update(found)
+    return weights_of(*total)
+
+
+def learn_from_table(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
+    """The weights, from the pages (html) that mark their article; of more than ``sample_pages`` those with the smallest hashes."""
+    marked = pages.where(F.lower("html").rlike("<(article|main)[ >]")).select("html", F.xxhash64("html").alias("order"))
+    least = [r[0] for r in marked.select("order").distinct().orderBy("order").limit(sample_pages).collect()]
+    chosen = marked.where(F.col("order") <= max(least, default=0)).dropDuplicates(["order"])  # equal pages count once
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside, outside = Counter(), Counter()
+        for batch in batches:
+            for page in batch["html"]:
+                for total, found in zip((inside, outside), count_tokens(page.as_py()), strict=True):
+                    total.update(found)
+        for place, found in (("inside", inside), ("outside", outside)):
+            yield pa.RecordBatch.from_pydict({"place": pa.array([place] * len(found), pa.string()), "token": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+
+    rows = chosen.select("html").mapInArrow(run, "place string, token string, n bigint").groupBy("place", "token").agg(F.sum("n").alias("n")).collect()
+    return weights_of(*[Counter({r["token"]: r["n"] for r in rows if r["place"] == p}) for p in ("inside", "outside")])
+
+
 def best_stretch(scores: list[float]) -> tuple[int, int]:
     """First and last + 1 index of the contiguous stretch with the largest total; the first of equals; (0, 0) if none is above zero."""
     best, at, total, start = 0.0, (0, 0), 0.0, 0
@@ -243,21 +303,25 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     if a == b:
         return ""
 
-    def chain(section: int) -> list[int]:
-        out = []
-        while section >= 0:
-            out.append(section)
-            section = around[section]
-        return out
-
-    shared: list[int] | None = None
-    for section in dict.fromkeys(tokens[i][3] for i in range(a, b) if words[i]):
-        up = chain(section)
-        shared = up if shared is None else [x for x in shared if x in up]
-    root = shared[0] if shared else -1
+    # The innermost sectioning element around all words of the stretch: of those that its tokens are in, and those that its sections open in, the least deep one.
+    depth = {-1: 0}
+    for section, outer in around.items():  # an outer section comes before those in it
+        depth[section] = depth[outer] + 1
+    held = [i for i in range(a, b) if words[i]]
+    root = tokens[held[0]][3]
+    for i in range(held[0], held[-1] + 1):
+        kind, _, _, section = tokens[i]
+        if i in around:
+            section = around[i]
+        elif kind != "text":
+            continue
+        if depth[section] < depth[root]:
+            root = section
     if root >= 0 and tokens[root][1] not in ("html", "body"):
-        holds = {s: root in chain(s) for s in around}
-        picked = [i for i, t in enumerate(tokens) if holds.get(t[3], False)]
+        inside: dict[int, bool] = {-1: False}
+        for section, outer in around.items():
+            inside[section] = section == root or inside[outer]
+        picked = [i for i, t in enumerate(tokens) if inside[t[3]]]
     else:
         picked = list(range(a, b))
     blocks, line = [], []
@@ -278,8 +342,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 def main_text(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """page_id, url and text (the main text, never null) of every page."""
     pages = pages.select("page_id", "url", "html")
-    labelled = [r[0] for r in pages.where(F.lower("html").rlike("<(article|main)[ >]")).select("html").limit(sample_pages).collect()]
-    weights = learn(labelled)
+    weights = learn_from_table(pages, sample_pages)
     id_type = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
