@@ -13,7 +13,10 @@ makes a row without a response.
 
 Defined cases: a null html is an empty payload, a null url an absent header; a page whose
 page_id, url and html repeat exactly is one capture; equal payloads under 100 bytes are all
-responses; an empty table makes no records; extra columns are ignored.
+responses; of equal payloads that with the smallest page_id is the response, and a null page_id
+is never a revisit; payloads may have any length (files are bounded by bytes, and a record too
+large for a file's bound has one of its own); an empty table makes no records; extra columns,
+also those named like the operator's own, are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from . import common as C
 
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 100
-RECORDS_PER_FILE = 6000
+#: Payload bytes up to which so many records go to a file, so that a file holds some 400 MB before compression at most, or one record.
+RECORDS_PER_FILE = ((1 << 16, 6000), (1 << 22, 90), (1 << 62, 1))
 #: Record types that stand for a capture. Fixed values.
 CAPTURES = ("response", "revisit", "resource")
 _DATE = "2026-01-01T00:00:00Z"
@@ -76,8 +80,13 @@ def write_archives(pages: DataFrame, path: str) -> None:
         _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", request), *common, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http; msgtype=request"))], get),
         _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", metadata), *common, ("WARC-Concurrent-To", request), ("Content-Type", F.lit("application/warc-fields"))], F.lit("fetchTimeMs: 0\r\n")),
     )
-    lines = p.select(F.explode(records).alias("value"))
-    lines.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    largest, above = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0, -1
+    for bound, n in RECORDS_PER_FILE:
+        some = p.where((F.octet_length("html") > above) & (F.octet_length("html") <= bound)) if largest > RECORDS_PER_FILE[0][0] else p
+        some.select(F.explode(records).alias("value")).write.mode("append").option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", n).text(path)
+        if largest <= bound:
+            break
+        above = bound
 
 
 # --- reading ------------------------------------------------------------------------------
