@@ -45,9 +45,10 @@ BASIS = "基础上"
 
 
 def _plain(alias: str) -> str:
-    for old, new in (("Ⅰ", "I"), ("Ⅱ", "II"), ("Ⅲ", "III"), ("Ⅳ", "IV")):
+    """A configured name in the form in which texts are matched (``T.normalize``)."""
+    for old, new in (("应急反应", "应急响应"), ("反应行动", "响应行动"), ("反应措施", "响应措施"), ("Ⅰ", "I"), ("Ⅱ", "II"), ("Ⅲ", "III"), ("Ⅳ", "IV")):
         alias = alias.replace(old, new)
-    return alias.upper()
+    return "".join(c for c in alias if c not in " 　:：；;（）()[]【】").upper()
 
 
 @dataclass(frozen=True)
@@ -132,7 +133,7 @@ def _marked(norm: Column, raw: Column, heading: Column, markers: tuple[str, ...]
 def described(blocks: DataFrame, tails: list[str], known: tuple[Level, ...] = LEVELS, markers: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """The blocks with what each says by itself and by the blocks around it: the levels it names, whether it is a condition, an activation, a heading and so on."""
     markers = markers or {}
-    conditions, measures = CONDITION_MARKERS + markers.get("activation_condition", ()), MEASURE_MARKERS + markers.get("response_measure", ())
+    conditions, measures = (own + tuple(map(_plain, markers.get(code, ()))) for own, code in ((CONDITION_MARKERS, "activation_condition"), (MEASURE_MARKERS, "response_measure")))
     raw, norm, heading = F.col("text"), F.col("norm"), F.col("heading_level") > 0
     b = X.category(blocks).withColumn("norm", T.normalize(raw))
     b = b.withColumn("keys", _keys([(v.key, names(norm, raw, v)) for v in known]))

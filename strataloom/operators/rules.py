@@ -40,8 +40,38 @@ LATIN = (
 )
 
 
-def rule_rows(groups=SEED) -> list[tuple]:
-    return [(t, code, name, alias, order, 10 * (k + 1), True) for t, code, name, order, aliases in groups for k, alias in enumerate(aliases)]
+# Rules added later, as (type, code, canonical name, group order, aliases with their orders).
+LATER = (
+    ("RESPONSE", "level_1", "一级响应", 10, (("Ⅰ级应急响应", 35), ("应急响应（Ⅰ级）", 60), ("Ⅰ级响应行动", 70), ("Ⅰ级响应的启动", 80), ("特别重大级应急响应", 90))),
+    ("RESPONSE", "level_2", "二级响应", 20, (("Ⅱ级应急响应", 35), ("应急响应（Ⅱ级）", 60), ("Ⅱ级响应行动", 70), ("Ⅱ级响应的启动", 80), ("重大级应急响应", 90))),
+    ("RESPONSE", "level_3", "三级响应", 30, (("Ⅲ级应急响应", 35), ("应急响应（Ⅲ级）", 60), ("Ⅲ级响应行动", 70), ("Ⅲ级响应的启动", 80), ("较大级应急响应", 90))),
+    ("RESPONSE", "level_4", "四级响应", 40, (("Ⅳ级应急响应", 35), ("应急响应（Ⅳ级）", 60), ("Ⅳ级响应行动", 70), ("Ⅳ级响应的启动", 80), ("一般级应急响应", 90))),
+    ("WARNING", "warning_level_1", "一级预警", 10, (("Ⅰ级预警响应", 40),)),
+    ("WARNING", "warning_level_2", "二级预警", 20, (("Ⅱ级预警响应", 40),)),
+    ("WARNING", "warning_level_3", "三级预警", 30, (("Ⅲ级预警响应", 40),)),
+    ("WARNING", "warning_level_4", "四级预警", 40, (("Ⅳ级预警响应", 40),)),
+    ("SECTION", "emergency_scope", "应急响应章节", 20, (("应急反应", 30), ("响应行动", 40), ("响应程序", 50), ("应急响应分级和启动条件", 60))),
+    ("SECTION", "action_group_scope", "行动组章节", 30, (("应急工作组", 30), ("现场工作组", 40))),
+    ("MARKER", "activation_condition", "启动条件标记", 10, (("响应的启动", 40), ("启动标准", 50), ("响应标准", 60), ("事件分级", 70), ("事故分级", 80), ("灾害分级", 90), ("险情与灾情分级", 100), ("灾情分级", 110), ("灾害损失情况", 120))),
+    ("MARKER", "response_measure", "响应措施标记", 20, (("响应行动", 40), ("响应程序", 50), ("反应行动", 60), ("反应措施", 70))),
+    ("TAIL", "response_tail", "响应结束标题", 10, (("响应结束", 70), ("应急响应终止", 80), ("保障措施", 90), ("恢复重建", 100))),
+)
+
+
+def rule_rows(groups=SEED, later=None) -> list[tuple]:
+    """The rows of rule groups; of the seed, with the rules added later."""
+    first = [(t, code, name, alias, order, 10 * (k + 1), True) for t, code, name, order, aliases in groups for k, alias in enumerate(aliases)]
+    later = later if later is not None else LATER if groups is SEED else ()
+    return first + [(t, code, name, alias, order, at, True) for t, code, name, order, aliases in later for alias, at in aliases]
+
+
+def aliases(*types: str) -> dict[str, tuple[str, ...]]:
+    """The aliases of the seed's rules of some types by code, in order."""
+    out: dict[str, list] = {}
+    for t, code, _, alias, _, at, _ in rule_rows():
+        if t in types:
+            out.setdefault(code, []).append((at, alias))
+    return {code: tuple(a for _, a in sorted(found)) for code, found in out.items()}
 
 
 def rules_table(spark: SparkSession, groups=SEED) -> DataFrame:

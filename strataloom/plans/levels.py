@@ -8,6 +8,7 @@ from ..fixtures import Fixture
 from ..functions import text as T
 from ..operators import levels as L
 from ..operators import response as R
+from ..operators import rules
 from .blocks import _sql_normalize
 from .register import Register
 
@@ -92,7 +93,9 @@ def classification_best_match(spark, sf_dir):
     return L.best_classification(L.bridges(blocks), L.classifications(blocks))
 
 
-TAILS = ["后期处置", "附则"]
+TAILS = list(rules.aliases("TAIL")["response_tail"])
+KNOWN = R.levels(rules.aliases("RESPONSE", "WARNING"))
+MARKERS = rules.aliases("MARKER")
 
 
 def _plan(spark):
@@ -102,20 +105,20 @@ def _plan(spark):
 @query()
 def level_window_classify(spark, sf_dir):
     """What every block of a level's window is; tested by golden cases."""
-    known = R.described(_plan(spark), TAILS)
-    anchors = R.mentions(known).where("role = 'ANCHOR'")
+    known = R.described(_plan(spark), TAILS, KNOWN, MARKERS)
+    anchors = R.mentions(known, KNOWN).where("role = 'ANCHOR'")
     return R.classified(R.windows(known, anchors)).select("doc_id", "key", "block_idx", "kind", "structured", "text")
 
 
 @query()
 def level_segments(spark, sf_dir):
     """Eight rows a document; tested by golden cases."""
-    return R.segments(_plan(spark), TAILS).withColumn("inherits", F.array_join("inherits", ","))
+    return R.segments(_plan(spark), TAILS, KNOWN, MARKERS).withColumn("inherits", F.array_join("inherits", ","))
 
 
 @query()
 def level_complaints(spark, sf_dir):
-    return R.complaints(R.segments(_plan(spark), TAILS))
+    return R.complaints(R.segments(_plan(spark), TAILS, KNOWN, MARKERS))
 
 
 MEASURES = Fixture(
