@@ -39,7 +39,7 @@ def clean(c: Column) -> Column:
     c = _digits(F.coalesce(c, F.lit("")))
     c = F.regexp_replace(F.translate(c, " ﻿", " "), r"[\t\n\x0B\f\r ]+", " ")
     c = F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    return _prefix(c, r"^[0-9lLI]+(?:\.[0-9lLI]+)+", "lLI", "111")
+    return let(c, lambda v: _prefix(v, r"^[0-9lLI]+(?:\.[0-9lLI]+)+", "lLI", "111"))
 
 
 def split_lines(c: Column) -> Column:

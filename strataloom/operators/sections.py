@@ -62,10 +62,10 @@ def section_ends(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def section_texts(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc_id, rule_code, n_blocks and content: the blocks between an anchor and its end, repeated lines once, joined by line ends, cut at MAX_FIELD; the anchor's own text where there are none."""
-    inner = blocks.select("doc_id", F.col("block_idx").alias("_i"), F.col("text").alias("_t"))
-    joined = anchors.select("doc_id", "rule_code", "block_idx", "end_idx", "text").join(inner, "doc_id", "left").withColumn("_in", (F.col("_i") > F.col("block_idx")) & (F.col("_i") < F.col("end_idx")))
-    parts = F.transform(F.sort_array(F.collect_list(F.when(F.col("_in"), F.struct("_i", "_t")))), lambda x: x["_t"])
-    out = joined.groupBy("doc_id", "rule_code", "text").agg(F.sum(F.col("_in").cast("bigint")).alias("n_blocks"), parts.alias("parts"))
+    inner = blocks.select(F.col("doc_id").alias("_doc"), F.col("block_idx").alias("_i"), F.col("text").alias("_t"))
+    joined = anchors.select("doc_id", "rule_code", "block_idx", "end_idx", "text").join(inner, F.expr("doc_id = _doc and _i > block_idx and _i < end_idx"), "left")
+    parts = F.transform(F.sort_array(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", "_t")))), lambda x: x["_t"])
+    out = joined.groupBy("doc_id", "rule_code", "text").agg(F.count("_i").alias("n_blocks"), parts.alias("parts"))
     content = F.when(F.size("parts") == 0, F.col("text")).otherwise(F.array_join(F.array_distinct("parts"), "\n"))
     return out.select("doc_id", "rule_code", "n_blocks", F.substring(content, 1, MAX_FIELD).alias("content"))
 

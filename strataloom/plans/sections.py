@@ -8,6 +8,7 @@ from ..fixtures import Fixture
 from ..functions.html import html_blocks
 from ..operators import rules as R
 from ..operators import sections as S
+from ..tables import written
 from .blocks import SQL_BLOCKS, _sql_normalize
 from .register import Register, table
 
@@ -105,7 +106,7 @@ def alias_candidates(spark, sf_dir):
 
 @query(f"SELECT doc_id, rule_code, matched_by, score, ambiguous, text AS title, block_idx, CAST(end_idx AS INTEGER) AS end_idx FROM {_SQL_ENDS}")
 def best_section(spark, sf_dir):
-    blocks = _blocks(spark, sf_dir)
+    blocks = written(_blocks(spark, sf_dir), "blocks")  # cut from the pages once for all its uses
     found = S.section_ends(S.best_candidates(S.candidates(blocks, _latin(spark))), blocks)
     return found.select("doc_id", "rule_code", "matched_by", "score", "ambiguous", F.col("text").alias("title"), "block_idx", "end_idx")
 
@@ -117,7 +118,7 @@ def best_section(spark, sf_dir):
       GROUP BY a.doc_id, a.rule_code)"""
 )
 def section_span(spark, sf_dir):
-    blocks = _blocks(spark, sf_dir)
+    blocks = written(_blocks(spark, sf_dir), "blocks")
     ends = S.section_ends(S.best_candidates(S.candidates(blocks, _latin(spark))), blocks)
     return S.section_texts(ends, blocks).select("doc_id", "rule_code", "n_blocks", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"))
 
@@ -157,4 +158,4 @@ def pages_seen(spark, sf_dir):
       WINDOW w AS (PARTITION BY doc_id, rule_code ORDER BY block_idx)) WHERE candidate <= 10"""
 )
 def explain_trace(spark, sf_dir):
-    return S.trace(_blocks(spark, sf_dir), _latin(spark))
+    return S.trace(written(_blocks(spark, sf_dir), "blocks"), _latin(spark))
