@@ -102,21 +102,27 @@ def jump(key, n):
     return b
 
 
-def viterbi(word, pieces, longest, first_byte, byte_cost):
-    best = [(0, [])]
-    for e in range(1, len(word) + 1):
+def viterbi(text, pieces, longest, first_byte, uncovered):
+    """Ids of the best path through the lattice of a whole text. pieces: (id, cost) by piece."""
+    cost, back = [0], [None]
+    for e in range(1, len(text) + 1):
         top = None
         for s in range(max(0, e - longest), e):
-            part = word[s:e]
+            part = text[s:e]
             if part in pieces:
-                i, cost = pieces[part]
-                new = (best[s][0] + cost, best[s][1] + [i])
+                i, c = pieces[part]
+                new = (cost[s] + c, s, [i])
             elif e - s == 1:
-                raw = part.encode()
-                new = (best[s][0] + byte_cost * len(raw), best[s][1] + [first_byte + b for b in raw])
+                new = (cost[s] + uncovered, s, [first_byte + b for b in part.encode()])
             else:
                 continue
             if top is None or new[0] < top[0]:
                 top = new
-        best.append(top)
-    return best[-1][1]
+        cost.append(top[0])
+        back.append(top[1:])
+    out, e = [], len(text)
+    while e:
+        s, ids = back[e]
+        out[:0] = [ids]
+        e = s
+    return [i for ids in out for i in ids]

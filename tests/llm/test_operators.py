@@ -1,7 +1,6 @@
 """Each operator against its plain version, on texts with every odd case."""
 
 import hashlib
-import math
 import random
 import struct
 import zlib
@@ -11,7 +10,7 @@ import pytest
 import public_tokenizers as P
 from pyspark.sql import functions as F
 
-from strataloom.llm import bitplanes, cascade, jaccard, jumphash, lattice, maincontent, runindex, secretscan, warc, winnow
+from strataloom.llm import bitplanes, cascade, jaccard, jumphash, maincontent, runindex, secretscan, warc, winnow
 
 from . import brute
 
@@ -166,20 +165,6 @@ def test_matching_statistics():
         assert index.run_length.sum() == len(spots)
 
 
-def test_lattice(docs, nothing):
-    path = P.path("piece_bpe_32k.model")
-    ordinary, first_byte, *_ = lattice.load_pieces(path)
-    pieces = {p: (i, round(1e6 * math.log1p(i))) for p, i in ordinary}
-    longest = max(map(len, pieces))
-    encoded = lattice.encode(docs, path)
-    for doc, (ids,) in by_id(encoded).items():
-        want = [i for w in lattice.words_of(TEXTS[doc]) for i in brute.viterbi(w, pieces, longest, first_byte, lattice.BYTE_COST)]
-        assert list(ids) == want
-    back = {r["doc_id"]: r["text"] for r in lattice.decode(encoded, path).collect()}
-    assert back == {k: t or "" for k, t in DOCS}
-    assert lattice.encode(nothing, path).count() == 0
-
-
 def test_main_text(spark):
     weights = maincontent.learn(["<nav><a>x</a><a>y</a></nav><article><h1>t</h1><p>some words here</p></article><footer><a>z</a></footer>"])
     page = (
