@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import small
 from . import layout as L
 
 # Shares of the larger height within which two lines are one row; pixels by which a wrapped line may begin
@@ -153,7 +154,7 @@ def extract(images: DataFrame, lines: DataFrame, fields: DataFrame) -> DataFrame
     asked = fields.join(labels, "template_code")
     plain = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), _plain), lambda s: s != "")
     asked = asked.withColumn("stops", F.array_except(F.array_union(plain(F.col("every")), plain(F.col("stop_labels"))), plain(F.col("labels"))))
-    rows = images.select("image_id", "template_code").join(image_lines(lines), "image_id", "left").join(F.broadcast(asked), "template_code")
+    rows = images.select("image_id", "template_code").join(image_lines(lines), "image_id", "left").join(small(asked), "template_code")
     rows = rows.withColumn("lines", F.coalesce("lines", F.array().cast(f"array<{LINE}>"))).withColumn("hit", first_label(F.col("lines"), F.col("labels")))
     line, stops, most, place = F.col("lines"), F.col("stops"), F.coalesce("max_lines", F.lit(0)), F.col("hit.place")
     anchor = F.get("lines", "hit.place")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import small
 
 # Gaps in pixels that end a value to the right, and how far left of an anchor's end a value may begin; the
 # gap that ends a value below: so many heights of its label, and pixels at least.
@@ -32,7 +33,7 @@ def label_hits(lines: DataFrame, labels: DataFrame) -> DataFrame:
     """For each image and field the first line in reading order that holds a label (labels in order within a line), and what follows the label in it."""
     ordered = reading_order(lines).withColumn("norm", T.normalize_field(F.col("text")))
     label = labels.select("field", "label_order", "label", T.normalize_field(F.col("label")).alias("_label"))
-    hits = ordered.join(F.broadcast(label), F.expr("contains(norm, _label)"))
+    hits = ordered.join(small(label), F.expr("contains(norm, _label)"))
     w = Window.partitionBy("image_id", "field").orderBy("pos", "label_order")
     best = hits.withColumn("_k", F.row_number().over(w)).where("_k = 1")
     rest = F.substring("norm", F.instr(F.col("norm"), F.col("_label")) + F.length("_label"), F.length("norm"))
@@ -46,7 +47,7 @@ def collect_right(anchors: DataFrame, lines: DataFrame, stops: DataFrame) -> Dat
     same_row = F.abs((F.col("y_min") + F.col("y_max")) / 2 - (F.col("_y_min") + F.col("_y_max")) / 2) <= height * 0.75
     near = anchors.join(other, (F.col("image_id") == F.col("_image")) & (F.col("line_idx") != F.col("_line")) & same_row & (F.col("_x_min") >= F.col("x_max") - OVERLAP))
     s = stops.select(F.col("field").alias("_field"), T.normalize_field(F.col("stop")).alias("_stop"))
-    near = near.join(F.broadcast(s), F.expr("field = _field and startswith(regexp_replace(_text, '[ :：]', ''), _stop)"), "left").groupBy("image_id", "field", "x_max", "inline", "_line", "_text", "confidence", "_x_min", "_x_max").agg(F.max(F.col("_stop").isNotNull()).alias("_ends"))
+    near = near.join(small(s), F.expr("field = _field and startswith(regexp_replace(_text, '[ :：]', ''), _stop)"), "left").groupBy("image_id", "field", "x_max", "inline", "_line", "_text", "confidence", "_x_min", "_x_max").agg(F.max(F.col("_stop").isNotNull()).alias("_ends"))
     w = Window.partitionBy("image_id", "field").orderBy("_x_min", "_line")
     edge = F.coalesce(F.max("_x_max").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("x_max"))
     near = near.withColumn("_break", (F.col("_ends") | (F.col("_x_min") - edge > RIGHT_GAP)).cast("int")).withColumn("_broken", F.sum("_break").over(w)).where("_broken = 0")
@@ -60,7 +61,7 @@ def collect_below(anchors: DataFrame, lines: DataFrame, labels: DataFrame) -> Da
     """(image_id, field, value): texts that begin lower than the anchor, in reading order, up to one that holds any label or a gap of more than ``line_gap``."""
     known = labels.select(T.normalize_field(F.col("label")).alias("_label")).distinct()
     other = lines.select(F.col("image_id").alias("_image"), F.col("line_idx").alias("_line"), F.col("text").alias("_text"), F.col("y_min").alias("_top"), F.col("y_max").alias("_bottom"), F.col("x_min").alias("_left"))
-    marked = other.join(F.broadcast(known), F.contains(T.normalize_field(F.col("_text")), F.col("_label")), "left").groupBy(*other.columns).agg(F.max(F.col("_label").isNotNull()).alias("_ends"))
+    marked = other.join(small(known), F.contains(T.normalize_field(F.col("_text")), F.col("_label")), "left").groupBy(*other.columns).agg(F.max(F.col("_label").isNotNull()).alias("_ends"))
     near = anchors.join(marked, (F.col("image_id") == F.col("_image")) & (F.col("_top") > F.col("y_min")) & (F.col("line_idx") != F.col("_line")))
     w = Window.partitionBy("image_id", "field").orderBy("_top", "_left", "_line")
     edge = F.greatest(F.coalesce(F.max("_bottom").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("y_max")), F.col("y_max"))

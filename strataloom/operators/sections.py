@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import small
 
 MAX_FIELD = 8000
 
@@ -23,7 +24,7 @@ def candidates(blocks: DataFrame, rules: DataFrame) -> DataFrame:
     first = Window.partitionBy("rule_code").orderBy("alias_order")
     rule = rule.withColumn("first_alias", F.first("alias").over(first))
     body = blocks.withColumn("norm", T.normalize(F.col("text")))
-    hits = body.join(F.broadcast(rule), F.expr("contains(norm, alias)"))
+    hits = body.join(small(rule), F.expr("contains(norm, alias)"))
     hits = hits.groupBy("doc_id", "block_idx", "rule_type", "rule_code").agg(
         F.min_by("alias", "alias_order").alias("alias"), F.first("first_alias").alias("first_alias"), F.first("text").alias("text"), F.first("norm").alias("norm"),
         F.first("heading_level").alias("heading_level"), F.first("is_table").alias("is_table"),
@@ -103,7 +104,7 @@ def trace(blocks: DataFrame, rules: DataFrame, most: int = 10, snippet: int = 20
     """How each rule fared in each document: candidates (at most ``most`` numbered by position), text cut to ``snippet``, and its disposition."""
     rule = rules.where("enabled").select("rule_code", "alias", "group_order", "alias_order", T.normalize_trace(F.col("alias")).alias("_alias"))
     body = blocks.select("doc_id", "block_idx", "text", "heading_level", T.normalize_trace(F.col("text")).alias("_norm"))
-    hits = body.join(F.broadcast(rule), F.expr("contains(_norm, _alias)")).groupBy("doc_id", "rule_code", "block_idx").agg(F.first("text").alias("text"), F.max("heading_level").alias("heading_level"))
+    hits = body.join(small(rule), F.expr("contains(_norm, _alias)")).groupBy("doc_id", "rule_code", "block_idx").agg(F.first("text").alias("text"), F.max("heading_level").alias("heading_level"))
     ranked = hits.withColumn("candidate", F.row_number().over(Window.partitionBy("doc_id", "rule_code").orderBy("block_idx")))
     disposition = F.when(F.max((F.col("heading_level") > 0).cast("int")).over(Window.partitionBy("doc_id", "rule_code")) == 1, "MATCHED").otherwise("FALLBACK")
     return ranked.withColumn("disposition", disposition).where(F.col("candidate") <= most).select("doc_id", "rule_code", "candidate", "block_idx", T.clip(F.col("text"), snippet + 1, "…").alias("snippet"), "disposition")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,3 +26,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """``df``, which should be configuration, with a broadcast hint if it has at most ``rows`` rows; beyond that Spark chooses the join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
