@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, cascade, jaccard, jumphash, lattice, maincontent, runindex, secretscan, warc, winnow
+from . import bitplanes, cascade, jaccard, jumphash, lattice, maincontent, merkle, runindex, secretscan, warc, winnow
 from .common import materialise, scratch_path
 
 
@@ -71,12 +71,25 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_ids(spark, path, documents.schema["doc_id"].dataType.simpleString(), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_run_index, op3_winnowing, op4_sentencepiece, op5_quality_cascade, op6_jump_hash, op7_secret_scan, op8_ngram_jaccard, op9_main_text, op10_bit_planes)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_run_index, op3_winnowing, op4_sentencepiece, op5_quality_cascade, op6_jump_hash, op7_secret_scan, op8_ngram_jaccard, op9_main_text, op10_bit_planes, op13_merkle_manifest)}
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERMS = f"regexp_extract_all({_ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
 
+_STEP = "list_reduce([xor({0}, {1}), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+
+
+def crc32_sql(number: str) -> str:
+    """CRC-32 of the decimal digits of a number, folded bit by bit."""
+    codes = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda d: CAST(ord(d) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {_STEP.format('c', 'b')}), 4294967295)"
+
+
 #: SQL where it can express a query; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_transactions": """SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN least_id < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN least_id < page_id THEN least_id END AS refers_to
@@ -102,4 +115,21 @@ ORACLE_SQL: dict[str, str] = {
       e AS (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
       r AS (SELECT doc_id, doc_id AS o FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.o = e.a)
       SELECT d.doc_id, coalesce(any_value(c.n), 0) AS n_shingles, min(r.o) AS component_id FROM d LEFT JOIN c USING (doc_id) JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op13_merkle_manifest": f"""WITH RECURSIVE f AS (SELECT doc_id, source, text, concat({", ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars"))}) AS head FROM documents),
+      d AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(t) || ':' || t, '-')) AS found
+        FROM (SELECT *, CASE WHEN {crc32_sql("doc_id")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS t FROM f)),
+      n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS i FROM d),
+      s AS (SELECT source, 0 AS lev, list(leaf ORDER BY i) AS l FROM n GROUP BY source
+        UNION ALL SELECT source, lev + 1, list_transform(range(0, (len(l) + 2) // 3), lambda k: sha256(array_to_string(list_slice(l, 3 * k + 1, 3 * k + 3), ''))) FROM s WHERE len(l) > 1),
+      top AS (SELECT source, l[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS si FROM s WHERE len(l) = 1),
+      u AS (SELECT 0 AS lev, list(subroot ORDER BY si) AS l FROM top
+        UNION ALL SELECT lev + 1, list_transform(range(0, (len(l) + 2) // 3), lambda k: sha256(array_to_string(list_slice(l, 3 * k + 1, 3 * k + 3), ''))) FROM u WHERE len(l) > 1),
+      steps AS (SELECT n.doc_id, n.i, s.lev, list_slice(l, 3 * ((i // power) // 3) + 1, i // power) AS lft, list_slice(l, i // power + 2, 3 * ((i // power) // 3) + 3) AS rgt
+        FROM (SELECT *, CAST(pow(3, lev) AS BIGINT) AS power FROM s WHERE len(l) > 1) s JOIN n ON n.source IS NOT DISTINCT FROM s.source
+        UNION ALL SELECT n.doc_id, n.i, 1000 + lev, list_slice(l, 3 * ((si // power) // 3) + 1, si // power), list_slice(l, si // power + 2, 3 * ((si // power) // 3) + 3)
+        FROM (SELECT *, CAST(pow(3, lev) AS BIGINT) AS power FROM u WHERE len(l) > 1) u, top JOIN n ON n.source IS NOT DISTINCT FROM top.source),
+      p AS (SELECT doc_id, list(struct_pack(a := array_to_string(lft, ''), b := array_to_string(rgt, '')) ORDER BY lev) AS path FROM steps GROUP BY doc_id),
+      o AS (SELECT n.doc_id, leaf, subroot, (SELECT l[1] FROM u WHERE len(l) = 1) AS root, coalesce(path, []) AS path, found FROM n JOIN top ON n.source IS NOT DISTINCT FROM top.source LEFT JOIN p USING (doc_id))
+      SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x.a || x.b), '')) AS proof_sha256,
+        list_reduce(list_prepend(found, list_transform(path, lambda x: x.a || '|' || x.b)), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) AS folded_root, folded_root = root AS verified FROM o""",
 }
