@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, cascade, jaccard, jumphash, lattice, maincontent, merkle, runindex, secretscan, warc, winnow
+from . import bitplanes, cascade, forest, jaccard, jumphash, lattice, maincontent, merkle, runindex, secretscan, trie, warc, winnow
 from .common import materialise, scratch_path
 
 
@@ -71,11 +71,20 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_ids(spark, path, documents.schema["doc_id"].dataType.simpleString(), with_ids=False)
 
 
+def op11_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = forest.valid(_read(spark, sf_dir, "embeddings"))
+    return forest.nearest(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(*trie.rebuilt(trie.turns_of(_read(spark, sf_dir, "conversations")))).drop("opens", "closes")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_check(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_run_index, op3_winnowing, op4_sentencepiece, op5_quality_cascade, op6_jump_hash, op7_secret_scan, op8_ngram_jaccard, op9_main_text, op10_bit_planes, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_run_index, op3_winnowing, op4_sentencepiece, op5_quality_cascade, op6_jump_hash, op7_secret_scan, op8_ngram_jaccard, op9_main_text, op10_bit_planes, op11_projection_forest, op12_prefix_trie, op13_merkle_manifest)}
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERMS = f"regexp_extract_all({_ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -115,6 +124,20 @@ ORACLE_SQL: dict[str, str] = {
       e AS (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
       r AS (SELECT doc_id, doc_id AS o FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.o = e.a)
       SELECT d.doc_id, coalesce(any_value(c.n), 0) AS n_shingles, min(r.o) AS component_id FROM d LEFT JOIN c USING (doc_id) JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op12_prefix_trie": f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+      n AS (SELECT conv_id, count(*) AS total FROM t GROUP BY conv_id),
+      c AS (SELECT n.conv_id, n.conv_id - n.conv_id % 5 AS p, {crc32_sql("n.conv_id")} % 9 AS h FROM n),
+      r AS (SELECT c.conv_id, i + 1 AS d, k, bytes FROM c JOIN t ON t.conv_id = c.p WHERE i < h
+        UNION ALL SELECT c.conv_id, i - h + least(h, coalesce(b.total, 0)) + 1, k, bytes FROM c JOIN t ON t.conv_id = c.conv_id LEFT JOIN n b ON b.conv_id = c.p WHERE i >= h),
+      m AS (SELECT conv_id, d, bytes, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d) AS node FROM r),
+      v AS (SELECT node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, left(node, length(node) - 64) AS parent, any_value(bytes) AS bytes FROM m GROUP BY node, d
+        UNION ALL SELECT '', 0, min(conv_id), count(*), NULL, 0 FROM n HAVING count(*) > 0),
+      ch AS (SELECT parent AS node, count(*) AS n FROM v GROUP BY parent),
+      x AS (SELECT v.*, coalesce(ch.n, 0) AS n_children FROM v LEFT JOIN ch USING (node)),
+      sub AS (SELECT a.node, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.bytes) AS saved FROM x a JOIN x b ON starts_with(b.node, a.node) GROUP BY a.node),
+      e AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT n.conv_id, coalesce(max_by(m.node, m.d), '') AS node FROM n LEFT JOIN m USING (conv_id) GROUP BY n.conv_id) GROUP BY node)
+      SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+      FROM x JOIN sub USING (node) LEFT JOIN v p ON p.node = x.parent LEFT JOIN e ON e.node = x.node""",
     "op13_merkle_manifest": f"""WITH RECURSIVE f AS (SELECT doc_id, source, text, concat({", ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars"))}) AS head FROM documents),
       d AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(t) || ':' || t, '-')) AS found
         FROM (SELECT *, CASE WHEN {crc32_sql("doc_id")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS t FROM f)),
