@@ -81,47 +81,6 @@ def best_classification(bridge: DataFrame, found: DataFrame) -> DataFrame:
     return joined.groupBy("doc_id", "block_idx", "subject", "ordinal").agg(best.alias("best")).select("doc_id", "block_idx", "subject", "ordinal", F.col("best.label").alias("label"), F.col("best.threshold").alias("threshold"), F.col("best.score").cast("int").alias("score"))
 
 
-def anchors(blocks: DataFrame) -> DataFrame:
-    """Blocks that open the window of a level: headings, or short lines, that name exactly one response level and are no overview."""
-    named = mentions(F.col("text"))
-    short = (F.col("heading_level") > 0) | (F.length("text") <= 16)
-    return blocks.withColumn("levels", named).where(short & (F.size("levels") == 1) & ~T.is_lifecycle(F.col("text"))).select("doc_id", F.col("block_idx").alias("anchor_idx"), F.col("levels")[0].alias("ordinal"), "heading_level")
-
-
-def windows(blocks: DataFrame, tails: list[str], most: int = 80) -> DataFrame:
-    """Blocks of every level's window with the part they play: CONDITION or MEASURE.
-
-    A window runs to the next anchor, a tail heading or ``most`` blocks. Within it the last
-    decision holds: markers decide, then what a block itself says; markers alone emit nothing."""
-    w = Window.partitionBy("doc_id").orderBy("block_idx")
-    a = anchors(blocks).select("doc_id", F.col("anchor_idx").alias("block_idx"), "ordinal", F.lit(True).alias("opens"))
-    norm = T.normalize(F.col("text"))
-    tail = F.lit(False)
-    for t in tails:
-        tail = tail | norm.contains(t)
-    b = blocks.join(a, ["doc_id", "block_idx"], "left").withColumn("closes", tail & F.col("opens").isNull())
-    b = b.withColumn("at", F.last(F.when(F.col("opens") | F.col("closes"), F.col("block_idx")), ignorenulls=True).over(w)).withColumn("level", F.last(F.when(F.col("opens"), F.col("ordinal")).when(F.col("closes"), F.lit(0)), ignorenulls=True).over(w))
-    b = b.where(f"level > 0 and opens is null and block_idx - at <= {most}")
-    marker = T.is_standalone_marker(F.col("text"))
-    says = F.when(marker & norm.contains("条件"), "CONDITION").when(marker, "MEASURE").when(T.is_activation(F.col("text")) | T.is_condition(F.col("text")), "CONDITION").when(T.is_action(F.col("text")), "MEASURE")
-    inside = Window.partitionBy("doc_id", "at").orderBy("block_idx")
-    kind = F.coalesce(F.when(~marker, F.when(T.is_condition(F.col("text")), F.lit("CONDITION"))), F.last(says, ignorenulls=True).over(inside), F.lit("MEASURE"))
-    return b.withColumn("kind", kind).where(~marker).select("doc_id", F.col("level").alias("ordinal"), "block_idx", "kind", "text")
-
-
-def segments(parts: DataFrame, bridged: DataFrame, docs: DataFrame) -> DataFrame:
-    """Exactly one row per document and emergency level: conditions (of its window, else of the best classification, else none), measures, status."""
-    joined = lambda kind: F.array_join(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("block_idx", "text")))), lambda x: x["text"])), "\n")
-    own = parts.groupBy("doc_id", "ordinal").agg(joined("CONDITION").alias("c"), joined("MEASURE").alias("m"))
-    fallback = bridged.where("threshold is not null and threshold <> ''").groupBy("doc_id", "ordinal").agg(F.min_by("threshold", "block_idx").alias("t"))
-    grid = docs.select("doc_id").distinct().crossJoin(F.broadcast(docs.sparkSession.createDataFrame([(v[0], v[2], v[3]) for v in LEVELS if v[1] == "EMERGENCY"], "level_key string, ordinal int, title string")))
-    out = grid.join(own, ["doc_id", "ordinal"], "left").join(fallback, ["doc_id", "ordinal"], "left")
-    cut = lambda c: F.substring(F.nullif(c, F.lit("")), 1, MAX_FIELD)
-    conditions, measures = F.coalesce(cut(F.col("c")), cut(F.col("t"))), cut(F.col("m"))
-    status = F.when(conditions.isNull() & measures.isNull(), "MISSING").when(conditions.isNull() | measures.isNull(), "PARTIAL").otherwise("EXTRACTED")
-    return out.select("doc_id", "level_key", "title", conditions.alias("conditions"), measures.alias("measures"), status.alias("status"))
-
-
 def inheritance(levels: DataFrame, marker: str = "基础上") -> DataFrame:
     """(doc_id, ordinal, source): levels whose measures build on those of another, named at most 20 characters before ``marker``."""
     hits = F.regexp_extract_all(T.normalize(F.col("measures")), F.lit(rf"({T.LEVEL_TOKEN})级(?:应急)?响应.{{0,20}}{marker}"), 1)
@@ -153,21 +112,75 @@ def common_measures(levels: DataFrame, common: DataFrame) -> DataFrame:
 
 # --- action groups ------------------------------------------------------------------------
 
-# How groups are named, listed, led and described.
-GROUP = r"(?:[（(]?\d+[）)]\s*)?([\p{IsHan}A-Za-z0-9]{2,24}?(?:工作组|保障组|指挥组|协调组|处置组|救援组|专家组|行动组|组))(?=[:：。\s]|$)"
+# How groups are named, listed, led, made up and described.
+GROUP = r"(?:[（(]?\d+[）)]\s*)?([\p{IsHan}A-Za-z0-9]{2,24}(?:工作组|保障组|指挥组|协调组|处置组|救援组|专家组|行动组|组))(?=[:：。\s]|$)"
 INLINE_GROUPS = "下设(.{2,120}?)等(?:专项)?工作组"
 NOT_GROUPS = ("各工作组", "工作组", "领导小组", "指挥部工作组")
-
-
-def action_groups(blocks: DataFrame) -> DataFrame:
-    """doc_id, group_key, name, lead, responsibility and pages of every group that a document names, one row for each."""
-    headed = blocks.select("doc_id", "block_idx", "page", "text", F.explode(F.regexp_extract_all("text", F.lit(GROUP), 1)).alias("name"))
-    listed = blocks.select("doc_id", "block_idx", "page", "text", F.explode(F.split(F.regexp_extract("text", INLINE_GROUPS, 1), "[、，,及和]")).alias("item")).where("item <> ''").select("doc_id", "block_idx", "page", "text", F.when(F.endswith("item", F.lit("组")), F.col("item")).otherwise(F.concat("item", F.lit("组"))).alias("name"))
-    named = headed.unionByName(listed).withColumn("name", F.trim(F.regexp_replace("name", r"^(?:[（(]?[一二三四五六七八九十0-9]+[）)]|\d+(?:\.\d+)+)[、.．]?", "")))
-    useful = (F.length("name") >= 3) & ~F.col("name").isin(*NOT_GROUPS) & ~F.col("name").rlike("[0-9一二三四五六七八九十]+个(?:专项)?工作组")
-    named = named.where(useful).withColumn("lead", F.nullif(F.regexp_extract("text", "由(.{1,100}?)(?:牵头|负责)", 1), F.lit(""))).withColumn("duty", F.nullif(F.regexp_extract("text", "(?s)^.*((?:主要)?负责.*)$", 1), F.lit("")))
-    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("block_idx", c)))), lambda x: x[c])
+GROUP_NUMBER = r"^(?:[（(]?[一二三四五六七八九十0-9]+[）)]|\d+(?:\.\d+)+)[、.．]?"
+TWO_GROUPS = "^(.+?组)[和及、](.+?组)$"
+COUNTED_GROUPS = "[0-9一二三四五六七八九十]+个(?:专项)?工作组|^个工作组|^设立工作组"
+LEADS, MEMBERS, DUTIES = ("牵头", "负责"), ("组成", "参加", "为成员"), ("主要负责", "负责")
+LEAD_OPENS, MEMBER_OPENS = "由(.{1,100}?)", "(?:联合|会同|成员包括|牵头[，,])(.{1,160}?)"
+DUTY_WORDS = "组织|承担|协调|指导|调配|搜救|保障|开展|监测|发布|维护|恢复|制定|实施|收集|汇总|处置|抢修|安置|供应"
+ONLY_UNITS = "^(由|牵头单位|成员单位).{0,200}(牵头|组成|参加|为成员)[。；;]?$"
+MOST_UNIT = 60
+
+
+def _units(text: Column, opens: str, marks: tuple[str, ...]) -> Column:
+    """The units named between an opening and one of the marks, in order, each once."""
+    spans = F.regexp_extract_all(text, F.lit(f"{opens}(?:{'|'.join(marks)})"), 1)
+    names = F.transform(F.flatten(F.transform(spans, lambda s: F.split(s, "[、，,及和]"))), lambda u: F.trim(F.regexp_replace(u, "^(由|联合|会同)", "")))
+    return F.array_distinct(F.filter(names, lambda u: (u != "") & (F.length(u) <= MOST_UNIT)))
+
+
+def _last_of(text: Column, marks: tuple[str, ...]) -> Column:
+    """Place (from 1) of the last of any mark in a text, 0 without any."""
+    back = F.reverse(text)
+    places = [F.when(F.instr(back, m[::-1]) > 0, F.length(text) - F.instr(back, m[::-1]) - len(m) + 2).otherwise(0) for m in marks]
+    return F.greatest(*places) if len(places) > 1 else places[0]
+
+
+def _duty(text: Column, name: Column, marks: tuple[str, ...]) -> Column:
+    """A group's duty: from the last mark on; without any what follows its name, if that tells of actions and not only of who belongs to it."""
+    at = _last_of(text, marks)
+    place = F.call_function("instr", text, name)
+    after = F.trim(F.regexp_replace(F.when(place > 0, F.substring(text, place + F.length(name), F.length(text))), r"^[\s:：。；;、，,]+", ""))
+    fallback = F.when(after.rlike(f"^.*(?:{DUTY_WORDS}).*$") & ~after.rlike(ONLY_UNITS), after)
+    return F.nullif(F.trim(F.when(at > 0, F.substring(text, at, F.length(text))).otherwise(fallback)), F.lit(""))
+
+
+def action_groups(blocks: DataFrame, markers: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """doc_id, group_key, name, leads, members, responsibility, raw and pages of every group that a document names, one row for each.
+
+    Groups are headed by their names, two of them joined by "and" as well, or listed in a sentence. A block that is
+    little more than the name is read with the next one. Units and duties keep the order of the blocks, each once.
+    markers: configured words by code (group_lead, group_member, group_responsibility); lines of contents name no group."""
+    given = markers or {}
+    leads, members = given.get("group_lead", LEADS), given.get("group_member", MEMBERS)
+    duties = tuple(dict.fromkeys([*given.get("group_responsibility", DUTIES), "负责"]))
+    order = Window.partitionBy("doc_id").orderBy("block_idx")
+    b = blocks.select("doc_id", "block_idx", "page", F.trim("text").alias("text"), F.lead("text").over(order).alias("next")).where(~T.is_contents(F.col("text"), F.col("page")))
+    clean = lambda c: F.trim(F.regexp_replace(c, GROUP_NUMBER, ""))
+
+    def split(name: Column) -> Column:
+        pair = lambda k: clean(F.regexp_extract(name, TWO_GROUPS, k))
+        return F.when(name.rlike(TWO_GROUPS), F.array(pair(1), pair(2))).otherwise(F.array(name))
+
+    headed = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(GROUP), 1), lambda n: split(clean(n))))
+    items = F.transform(F.filter(F.split(F.regexp_extract("text", INLINE_GROUPS, 1), "[、，,及和]"), lambda i: F.trim(i) != ""), clean)
+    listed = F.transform(items, lambda i: F.when(F.endswith(i, F.lit("组")), i).otherwise(F.concat(i, F.lit("组"))))
+    both = F.concat(F.transform(headed, lambda n: F.struct(n.alias("name"), F.lit(True).alias("headed"))), F.transform(listed, lambda n: F.struct(n.alias("name"), F.lit(False).alias("headed"))))
+    named = b.select("doc_id", "block_idx", "page", "text", "next", F.posexplode(both).alias("at", "group")).select("doc_id", "block_idx", "page", "text", "next", "at", "group.*")
+    named = named.where((F.length("name") >= 3) & ~F.col("name").isin(*NOT_GROUPS) & ~F.col("name").rlike(COUNTED_GROUPS))
+    with_next = F.col("headed") & (F.length("text") <= F.length("name") + 8) & F.col("next").isNotNull()
+    named = named.withColumn("detail", F.when(with_next, F.concat_ws("\n", "text", "next")).otherwise(F.col("text")))
+    detail = F.col("detail")
+    named = named.withColumn("duty", _duty(detail, F.col("name"), duties))
+    named = named.withColumn("leads", _units(detail, LEAD_OPENS, leads)).withColumn("members", _units(detail, MEMBER_OPENS, members))
+    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("block_idx", "at", c)))), lambda x: x[c])
+    merged = lambda c: F.array_join(F.array_distinct(F.flatten(ordered(c))), ",")
     return named.groupBy("doc_id", T.group_key(F.col("name")).alias("group_key")).agg(
-        F.min_by("name", "block_idx").alias("name"), F.array_join(F.array_distinct(ordered("lead")), ",").alias("leads"), F.array_join(F.array_distinct(ordered("duty")), "\n").alias("responsibility"),
-        F.array_join(F.array_distinct(ordered("page")).cast("array<string>"), ",").alias("pages"),
+        F.min_by("name", F.struct("block_idx", "at")).alias("name"), merged("leads").alias("leads"), merged("members").alias("members"),
+        F.array_join(F.array_distinct(ordered("duty")), "\n").alias("responsibility"), F.substring(F.array_join(F.array_distinct(F.flatten(F.transform(ordered("detail"), lambda d: F.split(d, "\n")))), "\n"), 1, MAX_FIELD).alias("raw"),
+        F.array_join(F.filter(F.array_distinct(ordered("page")), lambda p: p > 0).cast("array<string>"), ",").alias("pages"),
     )

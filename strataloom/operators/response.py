@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..tables import written
+from . import events as E
 from . import extras as X
 from . import levels as L
+from . import measures as M
 
 # The levels with their colours and the names that always hold, configured ones aside.
 WARNINGS = (("red", "红色", "一", "I"), ("orange", "橙色", "二", "II"), ("yellow", "黄色", "三", "III"), ("blue", "蓝色", "四", "IV"))
@@ -175,7 +177,9 @@ def mentions(known: DataFrame, of: tuple[Level, ...] = LEVELS) -> DataFrame:
     fits = F.when(F.col("category") == "WARNING", _compatible("WARNING")).otherwise(_compatible("EMERGENCY"))
     asked = F.when((F.col("category") == "WARNING") & (F.size("head_keys") > 0), F.col("head_keys")).otherwise(F.col("asks"))
     rows = known.where(~T.is_contents(F.col("text"), F.col("page")) & ~T.is_diagram(F.col("text")) & ~F.col("continued"))
-    rows = rows.withColumn("key", F.explode("keys")).join(F.broadcast(dim), "key").where(fits).where((F.size(asked) == 0) | F.array_contains(asked, F.col("key")))
+    # a block that maps several events to levels is read sentence by sentence, as bridges
+    mapped = F.col("norm").rlike(E.DESCRIBED) & (F.size(E.described_bridges(F.col("text"), tuple(v for v in of if v.category == "EMERGENCY"), names)) > 1)
+    rows = rows.withColumn("mapped", mapped).withColumn("key", F.explode("keys")).join(F.broadcast(dim), "key").where("NOT mapped OR category = 'WARNING'").drop("mapped").where(fits).where((F.size(asked) == 0) | F.array_contains(asked, F.col("key")))
     several = F.size(F.filter("keys", lambda k: F.startswith(k, F.lit("warning_")) == (F.col("category") == "WARNING"))) > 1
     direct = F.col("explicit") & (T.is_direct_definition(F.col("text")) | (F.coalesce(F.col("context"), F.lit("")) == "CONDITION") | several) & ~F.array_contains("near_keys", F.col("key")) & ~F.col("lifecycle")
     role = F.when(direct, "EXPLICIT").when(_primary(of), "ANCHOR")
@@ -293,41 +297,47 @@ def classified(rows: DataFrame) -> DataFrame:
     return rows.withColumn("parts", parts).select("doc_id", "key", "ordinal", "category", "start", "block_idx", "page", F.explode("parts").alias("part")).select("doc_id", "key", "ordinal", "category", "start", "block_idx", "page", "part.*")
 
 
-def evidence(known: DataFrame, named: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(doc_id, key, tier, start, block_idx, page, text): all that may be a level's condition or measure, by how sure it is. Tiers of conditions go from 1 to 8, of measures from 11 to 12."""
+def evidence(known: DataFrame, named: DataFrame, of: tuple[Level, ...] = LEVELS, markers: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(doc_id, key, tier, start, block_idx, page, text): all that may be a level's condition or measure, by how sure it is. Tiers of conditions go from 1 to 8, of measures from 11 to 12.
+
+    Grades of events (8) only add to levels for which there is other evidence."""
     parts = classified(windows(known, named.where("role = 'ANCHOR'")))
     shown = T.is_overview(F.col("text"))
     tier = F.when(F.col("kind") == "CONDITION", F.when(F.col("structured"), F.when(shown, 6).otherwise(1)).otherwise(F.when(shown, 7).otherwise(2))).otherwise(F.when(F.col("structured"), 11).otherwise(12))
     rows = parts.select("doc_id", "key", tier.alias("tier"), "start", "block_idx", "page", "text")
     explicit = named.where("role = 'EXPLICIT'").select("doc_id", "key", F.lit(1).alias("tier"), F.col("block_idx").alias("start"), "block_idx", "page", "text")
-    bridged = L.best_classification(L.bridges(blocks), L.classifications(blocks))
-    from_bridge = bridged.select("doc_id", F.concat(F.lit("level_"), "ordinal").alias("key"), F.when(F.coalesce("threshold", F.lit("")) != "", 3).otherwise(5).alias("tier"), F.col("block_idx").alias("start"), "block_idx", F.lit(None).cast("int").alias("page"), F.coalesce(F.nullif("threshold", F.lit("")), "subject").alias("text"))
-    return rows.unionByName(explicit).unionByName(from_bridge)
+    said = tuple(map(_plain, (markers or {}).get("activation_condition", ())))
+    other = E.conditions(known, of, names, _compatible("EMERGENCY"), said)
+    found = rows.unionByName(explicit).unionByName(other)
+    # an anchor is evidence even if its window holds nothing
+    anchored = named.where("role = 'ANCHOR'").select("doc_id", "key", F.lit(99).alias("tier"), F.col("block_idx").alias("start"), "block_idx", "page", F.lit("").alias("text"))
+    sure = F.min(F.when(F.col("tier") != 8, F.col("tier"))).over(Window.partitionBy("doc_id", "key"))
+    return found.unionByName(anchored).withColumn("sure", sure).where("sure IS NOT NULL AND tier <> 99").drop("sure")
 
 
 def segments(blocks: DataFrame, tails: list[str], known: tuple[Level, ...] = LEVELS, markers: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Eight rows a document, four warning and four response levels: key, category, title, color, conditions and direct measures (each of the surest tier there is), measures with those inherited, the levels they come from, status."""
     b = written(described(blocks, tails, known, markers), "described")
-    found = written(evidence(b, written(mentions(b, known), "mentions"), blocks), "evidence")
+    found = written(evidence(b, written(mentions(b, known), "mentions"), known, markers), "evidence")
     kind = F.when(F.col("tier") < 10, "c").otherwise("m")
+    # the surest tier of each kind; conditions of windows and explicit ones are of the same
     best = F.min("tier").over(Window.partitionBy("doc_id", "key", kind))
     kept = found.where("text <> ''").withColumn("kind", kind).withColumn("best", best).where("tier = best")
     lines = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("start", "block_idx", "text")))), lambda x: x["text"])
-    joined = lambda k: F.substring(F.array_join(F.array_distinct(lines(k)), "\n"), 1, L.MAX_FIELD)
-    text = kept.groupBy("doc_id", "key").agg(joined("c").alias("c"), joined("m").alias("m")).withColumns({x: F.when(F.col(x) != "", F.col(x)) for x in ("c", "m")})
+    text = kept.groupBy("doc_id", "key").agg(M.paragraphs(lines("c")).alias("c"), M.paragraphs(lines("m")).alias("m")).withColumns({x: F.when(F.col(x) != "", F.col(x)) for x in ("c", "m")})
     every = F.array(*[F.struct(F.lit(v.key).alias("key"), F.lit(v.category).alias("category"), F.lit(v.ordinal).alias("ordinal"), F.lit(v.title).alias("title"), F.lit(v.color).cast("string").alias("color")) for v in known])
     rows = blocks.select("doc_id").distinct().select("doc_id", F.explode(every).alias("level")).select("doc_id", "level.*").join(text, ["doc_id", "key"], "left").withColumnsRenamed({"c": "conditions", "m": "measures"})
     # What a level builds on: other levels of its category that it names shortly before the marker.
     plain = T.normalize(F.col("measures"))
     sources = _keys([(v.key, (F.col("key") != v.key) & (F.col("category") == v.category) & plain.rlike(f"(?:{'|'.join(map(_quoted, v.aliases))}).{{0,20}}{BASIS}")) for v in known])
     rows = rows.withColumn("inherits", F.when(F.col("measures").isNull(), F.array().cast("array<string>")).otherwise(sources))
-    group = F.struct("doc_id", "category")
-    plan = rows.select(group.alias("doc_id"), "ordinal", "conditions", "measures")
-    links = rows.select(group.alias("doc_id"), "ordinal", F.explode("inherits").alias("source")).withColumn("source", F.substring("source", -1, 1).cast("int"))
-    effective = L.effective_measures(plan, links).select("doc_id.doc_id", "doc_id.category", "ordinal", "effective")
-    rows = rows.join(effective, ["doc_id", "category", "ordinal"], "left").withColumn("effective", F.substring("effective", 1, L.MAX_FIELD))
+    responses = tuple(a for v in known if v.category == "EMERGENCY" for a in v.aliases)
+    common = M.common_texts(M.common_blocks(b, responses, {c: _compatible(c) for c in ("WARNING", "EMERGENCY")}))
+    rows = M.spread_common(rows, common).withColumn("sources", F.transform("inherits", lambda k: F.substring(k, -1, 1).cast("int")))
+    rows = written(rows, "levels")
+    rows = rows.join(M.effective(rows), ["doc_id", "category", "ordinal"], "left")
     status = F.when(F.col("conditions").isNull() & F.col("effective").isNull(), "MISSING").when(F.col("conditions").isNull() | F.col("effective").isNull(), "PARTIAL").otherwise("EXTRACTED")
-    return rows.select("doc_id", "key", "category", "ordinal", "title", "color", "conditions", "measures", "effective", "inherits", status.alias("status"))
+    return rows.select("doc_id", "key", "category", "ordinal", "title", "color", "conditions", "measures", "common", "effective", "inherits", status.alias("status"))
 
 
 def complaints(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from strataloom.operators import levels, sections
+from strataloom.operators import levels, response, sections
 from strataloom.sources import documents
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -71,10 +71,9 @@ def test_pages_come_from_a_plugged_reader(spark):
 def test_levels_of_a_document(spark):
     texts = ["1 总则", "一级响应", "启动条件", "发生特别重大事故", "响应措施", "组织开展救援", "二级响应", "预计达到橙色标准", "后期处置", "总结评估"]
     blocks = spark.createDataFrame([(1, k, t, 1, 2 if t in ("一级响应", "二级响应", "后期处置") else 0, False) for k, t in enumerate(texts)], "doc_id long, block_idx int, text string, page int, heading_level int, is_table boolean")
-    parts = levels.windows(blocks, ["后期处置"])
-    none = levels.best_classification(levels.bridges(blocks), levels.classifications(blocks))
-    got = {r["level_key"]: (r["conditions"], r["measures"], r["status"]) for r in levels.segments(parts, none, blocks).collect()}
-    assert got == {"level_1": ("发生特别重大事故", "组织开展救援", "EXTRACTED"), "level_2": ("预计达到橙色标准", None, "PARTIAL"), "level_3": (None, None, "MISSING"), "level_4": (None, None, "MISSING")}
+    rows = response.segments(blocks, ["后期处置"]).where("category = 'EMERGENCY'")
+    got = {r["key"]: (r["conditions"], r["measures"], r["status"]) for r in rows.collect()}
+    assert got == {"level_1": ("启动条件\n发生特别重大事故", "组织开展救援", "EXTRACTED"), "level_2": (None, "预计达到橙色标准", "PARTIAL"), "level_3": (None, None, "MISSING"), "level_4": (None, None, "MISSING")}
 
 
 def test_groups_merge_by_name(spark):
@@ -87,8 +86,8 @@ def test_groups_merge_by_name(spark):
 
 def test_empty_tables(spark):
     blocks = spark.createDataFrame([], "doc_id long, block_idx int, text string, page int, heading_level int, is_table boolean")
-    assert sections.nearest_heading(blocks).count() == 0 and levels.windows(blocks, []).count() == 0
-    assert levels.action_groups(blocks).count() == 0
+    assert sections.nearest_heading(blocks).count() == 0
+    assert levels.action_groups(blocks).count() == 0 and response.segments(blocks, []).count() == 0
 
 
 def test_field_extraction_of_nothing(spark):
