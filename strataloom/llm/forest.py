@@ -5,7 +5,8 @@ The trees are fitted on a bounded sample and index every row. How many leaves a
 against brute force, so it follows the data: a few leaves where vectors cluster, most of them where they have no
 structure at all (then nothing but reading on finds neighbours). Equal vectors are one entry with the smallest ids that
 any answer can need, so a vector that a third of all rows share is one entry. Rows and queries of a leaf meet in chunks
-of bounded size. What a query's nearest sampled vectors score is a lower bound that leaves need not report below."""
+of bounded size. Every query is also scored against a few of the sampled vectors: what the nearest of these score is a
+lower bound below which leaves need not report, and they complete the answer where leaves report too few."""
 
 from __future__ import annotations
 
@@ -25,6 +26,8 @@ SAMPLE_ROWS, SAMPLE_BYTES = 16_384, 16 << 20
 TREES = 8
 #: Rows that a leaf should hold, sampled rows that it must be fitted on, and rows or queries of a leaf that meet in one chunk.
 LEAF_ROWS, LEAF_SAMPLE, CHUNK_ROWS = 1024, 32, 8192
+#: Sampled vectors that give each query its lower bound, at most, and which part of the sample at most.
+BOUND_ROWS, BOUND_PART = 2048, 8
 #: Sampled queries that measure how many leaves to open, and the recall they have to reach.
 PROBES, TARGET = 128, 0.985
 KEY = ["h1", "h2"]
@@ -43,6 +46,7 @@ class Tree:
 class Forest:
     trees: list[Tree]
     sample: np.ndarray  # unit vectors
+    bounds: np.ndarray  # rows of the sample that bound queries
     opened: int  # leaves that a search opens
     leaves: list[int] = field(default_factory=list)
 
@@ -118,7 +122,8 @@ def fit(sample: np.ndarray, rows: int, k: int, seed: int = 11) -> Forest:
     rng = np.random.default_rng(seed)
     least = max(LEAF_SAMPLE, LEAF_ROWS * len(sample) // max(rows, 1)) // 2
     grown = [_grow(sample, least, rng) for _ in range(TREES)]
-    forest = Forest([t for t, _ in grown], sample, 0, [n for _, n in grown])
+    bounds = np.sort(rng.permutation(len(sample))[: min(BOUND_ROWS, len(sample) // BOUND_PART)])
+    forest = Forest([t for t, _ in grown], sample, bounds, 0, [n for _, n in grown])
     probes = np.sort(rng.choice(len(sample), min(PROBES, len(sample)), replace=False)) if len(sample) else np.zeros(0, np.int64)
     cells = [leaf_of(t, sample) for t in forest.trees]
     total, needed = sum(forest.leaves), []
@@ -179,6 +184,8 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def best_pairs(queries: np.ndarray, vectors: np.ndarray, floor: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, vector and exact cosine of each pair that is among the query's ``most`` best (ties included) and not below its floor."""
+    if not len(vectors):
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
     rough = unit(queries) @ unit(vectors).T
     least = floor - 1e-9
     if len(vectors) > most:
@@ -203,7 +210,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     # rows of a leaf are estimated from the sample, queries of a leaf are counted
     sizes = np.concatenate([np.bincount(leaf_of(t, sample), minlength=m) for t, m in zip(forest.trees, forest.leaves, strict=True)]) * share
     row_chunks = np.maximum(1, np.ceil(sizes / CHUNK_ROWS)).astype(np.int64)
-    shared = spark.sparkContext.broadcast((forest, sample_ids))
+    forest.sample = sample[forest.bounds]
+    shared = spark.sparkContext.broadcast((forest, [sample_ids[i] for i in forest.bounds.tolist()]))
     kind = entries.schema["embedding"].dataType.simpleString()
     id_kind = rows.schema["vec_id"].dataType.simpleString()
 
@@ -213,7 +221,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             vectors = _matrix(batch.column("embedding"), forest.dim)
             for low in range(0, len(vectors), 256):
                 part = vectors[low : low + 256]
-                q, v, score = best_pairs(part, forest.sample, np.full(len(part), -np.inf), k + 1)
+                q, v, score = best_pairs(part, forest.sample, np.full(len(part), -np.inf), k + 1)  # nothing, if nothing bounds
                 known, floor = [[] for _ in part], np.full(len(part), -np.inf)
                 for i in range(len(part)):
                     mine = np.flatnonzero(q == i)
@@ -246,7 +254,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = not left.num_rows or not right.num_rows
         dim = shared.value[0].dim
-        q, v, found = (np.zeros(0, np.int64),) * 3 if empty else best_pairs(_matrix(left["embedding"], dim), _matrix(right["embedding"], dim), left["floor"].to_numpy(), k + 1)
+        q, v, found = best_pairs(*(np.zeros((0, dim)),) * 2, np.zeros(0), k + 1) if empty else best_pairs(_matrix(left["embedding"], dim), _matrix(right["embedding"], dim), left["floor"].to_numpy(), k + 1)
         a, b = left.select(["h1", "h2"]).take(pa.array(q)), right.select(["ids"]).take(pa.array(v))
         return pa.table({"h1": a["h1"], "h2": a["h2"], "score": pa.array(found, pa.float64()), "ids": b["ids"]})
 
