@@ -139,12 +139,13 @@ def manifest(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     Leaves of a group stand in the order of the named columns (nulls first), rows that tie by leaf; groups stand in
     the order of their names, null first, bytes compared. A null group is a group. Repeated rows are leaves of
     their own. An empty table has no leaf, no root and no row."""
-    names = [c for c in rows.columns]
-    table = rows.withColumn("tree", F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("-"))).select(*names, "tree")
-    table = in_order(materialise(table, "leaves"), [group, *order, "leaf"], "ordered-leaves")
+    keys = {f"o{i}": c for i, c in enumerate(order)}
+    tree = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("-")).alias("tree")
+    table = rows.select(F.struct(*rows.columns).alias("own"), tree, F.col(group).alias("group"), *[F.col(c).alias(k) for k, c in keys.items()], "leaf")
+    table = in_order(materialise(table, "leaves"), ["group", *keys, "leaf"], "ordered-leaves")
     leaves = materialise(numbered(table, ["tree"], "leaves"), "numbered-leaves")
     trees = build(leaves.withColumn("digest", F.col("leaf")), "groups")
-    named = leaves.where("index = 0").select("tree", F.col(group).alias("name"))
+    named = leaves.where("index = 0").select("tree", F.col("group").alias("name"))
     roots = materialise(trees.roots().join(named, "tree").withColumnRenamed("tree", "of"), "subroots")
     ranked = numbered(in_order(roots.withColumn("tree", F.lit("root")), ["name"], "ordered-subroots"), ["tree"], "subroots")
     ranked = materialise(ranked, "numbered-subroots")
@@ -154,7 +155,7 @@ def manifest(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     start = ranked.limit(1).select(F.lit("root").alias("tree"), F.lit(first["depth"] if first else 0).alias("depth"), F.array().cast(_PATH).alias("path"))
     carried = ranked.select("tree", "index", "total", F.struct(F.col("of"), F.col("depth"), F.col("digest")).alias("group"))
     tops = paths(above, start, "root", carried).select(F.col("group.of").alias("tree"), F.col("group.depth").alias("depth"), "path", F.col("group.digest").alias("subroot"))
-    own = leaves.select("tree", "index", "total", F.struct(*names).alias("own"))
+    own = leaves.select("tree", "index", "total", "own")
     out = paths(trees, materialise(tops, "tops"), "groups", own)
     return out.select("own.*", "subroot", root, "path")
 
