@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import Fixture
+from ..fixtures import Pattern
 from ..functions import html, text as T
 from ..operators import intake
 from .register import Register, table
@@ -12,12 +12,12 @@ from .register import Register, table
 REGISTER = Register()
 query = REGISTER.query
 
-LINES = Fixture(
+LINES = Pattern(
     "id long, page int, line string",
     [
-        (1, 1, "１．２　总则"), (2, 1, "l.2 概述"), (3, 1, "第一章 总则"), (4, 1, "一、编制目的"), (5, 1, "1.2.3 适用范围"), (6, 1, "2 组织指挥体系"),
-        (7, 1, "目录"), (8, 1, "总则........3"), (9, 2, "附则 12"), (10, 9, "附则 12"), (11, 1, "应急响应流程图"), (12, 1, "普通正文，没有编号。"),
-        (13, 1, "发生重大事故时，启动二级应急响应"), (14, 1, "预计达到红色标准"), (15, 1, "组织开展救援，发生险情"), (16, 1, "响应终止"), (17, 1, "结束后评估"),
+        (1, 1, "１．２　总则"), (2, 1, "l.2 概述"), (3, 1, "第一章 总则"), (4, 1, "一、编制目的 ◇"), (5, 1, "1.2.3 适用范围 ◇"), (6, 1, "2 组织指挥体系"),
+        (7, 1, "目录"), (8, 1, "总则◇........3"), (9, 2, "附则 12"), (10, 9, "附则 12"), (11, 1, "应急响应流程图"), (12, 1, "普通正文，没有编号，◇。"),
+        (13, 1, "发生◇重大事故时，启动二级应急响应"), (14, 1, "预计达到红色标准"), (15, 1, "组织开展◇救援，发生险情"), (16, 1, "响应终止"), (17, 1, "结束后评估"),
         (18, 1, "响应分为Ⅰ级响应、Ⅱ级响应"), (19, 1, "响应措施："), (20, 1, "启动条件"), (21, 1, "视情调整为三级"), (22, 1, " \t "), (23, 1, None),
         (24, 1, "出现下列情况之一时，启动一级响应：死亡三十人以上"), (25, 1, "应急反应（Ⅳ级）"), (26, 1, "1.1.1.1.1.1 深层标题"), (27, 1, "I.3 读错的编号"),
     ],
@@ -47,17 +47,17 @@ def _sql_normalize(column: str) -> str:
 
 @query(_sql_clean("line", LINES.sql(), "id"))
 def text_clean(spark, sf_dir):
-    return LINES.frame(spark).select("id", T.clean(F.col("line")).alias("c"))
+    return LINES.frame(spark, sf_dir).select("id", T.clean(F.col("line")).alias("c"))
 
 
 @query(f"SELECT id, {_sql_normalize('line')} AS norm FROM {LINES.sql()}")
 def text_normalize(spark, sf_dir):
-    return LINES.frame(spark).select("id", T.normalize(F.col("line")).alias("norm"))
+    return LINES.frame(spark, sf_dir).select("id", T.normalize(F.col("line")).alias("norm"))
 
 
 @query(rf"SELECT id, regexp_replace(coalesce(line, ''), '[\s　:：]', '', 'g') AS field_form, lower(regexp_replace(coalesce(line, ''), '\s+', '', 'g')) AS trace_form FROM {LINES.sql()}")
 def text_normalize_variants(spark, sf_dir):
-    return LINES.frame(spark).select("id", T.normalize_field(F.col("line")).alias("field_form"), T.normalize_trace(F.col("line")).alias("trace_form"))
+    return LINES.frame(spark, sf_dir).select("id", T.normalize_field(F.col("line")).alias("field_form"), T.normalize_trace(F.col("line")).alias("trace_form"))
 
 
 @query(
@@ -69,7 +69,7 @@ def text_normalize_variants(spark, sf_dir):
     FROM {_sql_clean("line", LINES.sql(), "id")}"""
 )
 def heading_infer(spark, sf_dir):
-    return LINES.frame(spark).select("id", T.heading_level(F.col("line")).alias("level"))
+    return LINES.frame(spark, sf_dir).select("id", T.heading_level(F.col("line")).alias("level"))
 
 
 @query(
@@ -79,7 +79,7 @@ def heading_infer(spark, sf_dir):
 )
 def line_filters(spark, sf_dir):
     c = F.col("line")
-    return LINES.frame(spark).where("line is not null").select("id", T.is_contents(c, F.col("page")).alias("is_toc"), T.is_diagram(c).alias("is_diagram"), T.is_lifecycle(c).alias("is_lifecycle"))
+    return LINES.frame(spark, sf_dir).where("line is not null").select("id", T.is_contents(c, F.col("page")).alias("is_toc"), T.is_diagram(c).alias("is_diagram"), T.is_lifecycle(c).alias("is_lifecycle"))
 
 
 _TRIGGER, _VERBS = T.TRIGGER_WORDS, T.ACTION_VERBS
@@ -98,7 +98,7 @@ _TRIGGER, _VERBS = T.TRIGGER_WORDS, T.ACTION_VERBS
 def line_roles(spark, sf_dir):
     c = F.col("line")
     roles = {"is_condition": T.is_condition, "is_activation": T.is_activation, "is_definition": T.is_direct_definition, "is_overview": T.is_overview, "is_action": T.is_action, "is_adjustment": T.is_adjustment, "is_marker": T.is_standalone_marker}
-    return LINES.frame(spark).where("line is not null").select("id", *[f(c).alias(n) for n, f in roles.items()])
+    return LINES.frame(spark, sf_dir).where("line is not null").select("id", *[f(c).alias(n) for n, f in roles.items()])
 
 
 @query(
@@ -149,7 +149,7 @@ def flowchart_suppression(spark, sf_dir):
     return intake.drop_after_mark(blocks, F.lower("text").contains("the")).select("doc_id", "block_idx")
 
 
-FILES = Fixture(
+FILES = Pattern(
     "path string, head string, entries string",
     [
         ("a.pdf", "%PDF-1.7", None), ("fake.pdf", "plain text", None), ("real.bin", "%PDF-1.4 x", None), ("w.docx", "PK", "[Content_Types].xml word/document.xml"), ("z.zip", "PK", "a.txt"),
@@ -164,12 +164,12 @@ FILES = Fixture(
       WHEN lower(head) LIKE '%mime-version:%' OR lower(head) LIKE '%content-type: multipart/related%' THEN 'MHTML' ELSE 'UNSUPPORTED_DOCUMENT_TYPE' END AS kind FROM {FILES.sql()}"""
 )
 def file_sniff(spark, sf_dir):
-    return FILES.frame(spark).select("path", intake.sniff(F.col("head").cast("binary"), F.col("entries")).alias("kind"))
+    return FILES.frame(spark, sf_dir).select("path", intake.sniff(F.col("head").cast("binary"), F.col("entries")).alias("kind"))
 
 
-URLS = Fixture(
+URLS = Pattern(
     "url string",
-    [("http://docs.example.com/a/b%20c.pdf?x=1",), ("https://files.example.org:8443/x.docx",), ("ftp://docs.example.com/a",), ("http://user@docs.example.com/a",), ("https://docs.example.com.evil.net/a",), ("https://sub.files.example.org/q/",), ("not a url",)],
+    [("http://docs.example.com/◇/b%20c.pdf?x=1",), ("https://files.example.org:8443/x.docx",), ("ftp://docs.example.com/a",), ("http://user@docs.example.com/a",), ("https://docs.example.com.evil.net/a",), ("https://sub.files.example.org/q/",), ("not a url",)],
 )
 
 
@@ -181,10 +181,10 @@ URLS = Fixture(
 )
 def url_safety(spark, sf_dir):
     c = F.col("url")
-    return URLS.frame(spark).select("url", intake.url_verdict(c, ["docs.example.com", "*.files.example.org"], [80, 443]).alias("verdict"), intake.url_file_name(c).alias("file_name"))
+    return URLS.frame(spark, sf_dir).select("url", intake.url_verdict(c, ["docs.example.com", "*.files.example.org"], [80, 443]).alias("verdict"), intake.url_file_name(c).alias("file_name"))
 
 
-ADDRESSES = Fixture("ip string", [(x,) for x in ("127.0.0.1", "10.1.2.3", "172.16.0.9", "172.32.0.1", "192.168.1.1", "169.254.169.254", "100.64.0.1", "0.0.0.0", "224.0.0.1", "8.8.8.8", "198.18.0.5", "203.0.114.1", "255.255.255.255", "::1", "::", "0:0:0:0:0:0:0:1", "1::", "fe80::1", "febf::2", "fec0::1", "fc00::1", "fdff:1::2", "ff02::1", "2001:db8::1", "::ffff:10.0.0.1", "::ffff:8.8.8.8")])
+ADDRESSES = Pattern("ip string", keys=(), rows=[(x,) for x in ("127.0.0.◆", "10.◆.2.3", "172.16.0.9", "172.◆.0.1", "192.168.1.1", "169.254.169.254", "100.◆.0.1", "0.0.0.0", "224.0.0.1", "◆.8.8.8", "198.18.0.5", "203.0.114.1", "255.255.255.255", "::1", "::", "0:0:0:0:0:0:0:1", "1::", "fe80::◆", "febf::2", "fec0::1", "fc00::1", "fdff:1::2", "ff02::1", "2001:db8::1", "::ffff:10.0.0.1", "::ffff:8.8.8.8")])
 
 
 @query(
@@ -194,7 +194,7 @@ ADDRESSES = Fixture("ip string", [(x,) for x in ("127.0.0.1", "10.1.2.3", "172.1
       FROM (SELECT ip, regexp_replace(ip, '^::ffff:([0-9]+[.])', '\\1') AS p FROM {ADDRESSES.sql()}))"""
 )
 def ip_blocked(spark, sf_dir):
-    return ADDRESSES.frame(spark).select("ip", intake.ip_blocked(F.col("ip")).alias("blocked"))
+    return ADDRESSES.frame(spark, sf_dir).select("ip", intake.ip_blocked(F.col("ip")).alias("blocked"))
 
 
 @query(

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import Fixture
+from ..fixtures import Pattern
 from ..functions.html import html_blocks
 from ..operators import extras as X
-from .blocks import SQL_BLOCKS
+from .blocks import SQL_BLOCKS, _sql_normalize
 from .register import Register, table
 
 REGISTER = Register()
 query = REGISTER.query
 
-PRIMARY = Fixture("image_id long, text string, confidence double, failed boolean", [(1, "good", 0.9, False), (2, "weak", 0.4, False), (3, " ", 0.9, False), (4, None, None, True), (5, "weak", 0.2, False)])
-BACKUP = Fixture("image_id long, text string", [(1, "b1"), (2, "b2"), (3, "b3"), (4, "b4")])
+PRIMARY = Pattern("image_id long, text string, confidence double, failed boolean", [(1, "good ◇", 0.9, False), (2, "weak", 0.4, False), (3, " ", 0.9, False), (4, None, None, True), (5, "weak", 0.2, False)])
+BACKUP = Pattern("image_id long, text string", [(1, "b1"), (2, "b2 ◇"), (3, "b3"), (4, "b4")])
 
 
 @query(
@@ -22,7 +22,7 @@ BACKUP = Fixture("image_id long, text string", [(1, "b1"), (2, "b2"), (3, "b3"),
       SELECT p.image_id, p.text AS p, q.text AS b, failed OR trim(coalesce(p.text, '')) = '' OR coalesce(confidence, 0) < 0.55 AS w FROM {PRIMARY.sql()} p LEFT JOIN {BACKUP.sql()} q USING (image_id))"""
 )
 def engine_fallback(spark, sf_dir):
-    return X.engine_choice(PRIMARY.frame(spark), BACKUP.frame(spark))
+    return X.engine_choice(PRIMARY.frame(spark, sf_dir), BACKUP.frame(spark, sf_dir))
 
 
 @query("SELECT user_id AS batch_id, count(*) AS total, count(*) FILTER (WHERE value >= 1) AS succeeded, count(*) FILTER (WHERE value < 1 OR value IS NULL) AS failed FROM events GROUP BY user_id")
@@ -31,16 +31,16 @@ def batch_isolation(spark, sf_dir):
     return X.batch_totals(items)
 
 
-CONFIDENCES = Fixture("image_id long, confidence double", [(1, 0.5), (1, None), (1, 1.0), (2, None)])
+CONFIDENCES = Pattern("image_id long, confidence double", [(1, 0.5), (1, None), (1, 1.0), (2, None)])
 
 
 @query(f"SELECT image_id, round(avg(confidence), 6) AS confidence, coalesce(round(avg(confidence), 6), 0.0) AS or_zero FROM {CONFIDENCES.sql()} GROUP BY image_id")
 def confidence_avg(spark, sf_dir):
-    return X.mean_confidence(CONFIDENCES.frame(spark))
+    return X.mean_confidence(CONFIDENCES.frame(spark, sf_dir))
 
 
-OWN = Fixture("image_id long, value string", [(1, "(苏)WH安许证字[2019]1号"), (2, "模糊"), (3, None), (4, None)])
-AROUND = Fixture("image_id long, line_idx int, text string", [(1, 0, "(浙)AB安许证字[2020]2号"), (2, 0, "标题"), (2, 1, "编号(浙)AB安许证字[2020]2号"), (3, 0, "(皖)安许证"), (3, 1, "字[2021]"), (3, 2, "33号"), (4, 0, "无")])
+OWN = Pattern("image_id long, value string", [(1, "(苏)WH安许证字[2019]◆号"), (2, "模糊"), (3, None), (4, None)])
+AROUND = Pattern("image_id long, line_idx int, text string", [(1, 0, "(浙)AB安许证字[2020]2号"), (2, 0, "标题"), (2, 1, "编号(浙)AB安许证字[2020]2号"), (3, 0, "(皖)安许证"), (3, 1, "字[2021]"), (3, 2, "33号"), (4, 0, "无")])
 _LIC = "[（(〔\\[]?[一-龥A-Za-z]{1,4}[）)〕\\]]?[A-Z]{0,4}安[许許午][証证][字学]?[（(〔\\[]?\\d{4}[）)〕\\]]?[A-Za-z0-9-]{1,12}[号號]"
 
 
@@ -49,21 +49,23 @@ _LIC = "[（(〔\\[]?[一-龥A-Za-z]{1,4}[）)〕\\]]?[A-Z]{0,4}安[许許午][
       SELECT image_id, arg_min(f, line_idx) FILTER (WHERE f IS NOT NULL) AS single, string_agg(text, '' ORDER BY line_idx) AS whole FROM (SELECT *, nullif(regexp_extract(text, '{_LIC}'), '') AS f FROM {AROUND.sql()}) GROUP BY image_id) a USING (image_id)"""
 )
 def license_ladder(spark, sf_dir):
-    return X.licence_ladder(OWN.frame(spark), AROUND.frame(spark))
+    return X.licence_ladder(OWN.frame(spark, sf_dir), AROUND.frame(spark, sf_dir))
 
 
-CATEGORIES = Fixture(
+CATEGORIES = Pattern(
     "doc_id long, block_idx int, heading_level int, text string",
-    [(1, 0, 1, "3 预警"), (1, 1, 0, "发布条件"), (1, 2, 0, "红色标准"), (1, 3, 1, "4 应急响应"), (1, 4, 0, "一级"), (1, 5, 0, "预警与应急响应衔接"), (1, 6, 0, "后续"), (1, 7, 2, "其他"), (1, 8, 0, "正文"), (2, 0, 0, "预警信息"), (2, 1, 0, "应急响应启动"), (2, 2, 0, "甲"), (3, 0, 0, "无关")],
+    [(1, 0, 1, "3 预警"), (1, 1, 0, "发布条件"), (1, 2, 0, "红色标准"), (1, 3, 1, "4 应急响应"), (1, 4, 0, "一级"), (1, 5, 0, "预警与应急响应衔接"), (1, 6, 0, "后续"), (1, 7, 2, "其他"), (1, 8, 0, "正文"), (2, 0, 0, "◇预警信息"), (2, 1, 0, "应急响应启动"), (2, 2, 0, "甲"), (3, 0, 0, "无关")],
 )
 
 
 @query(
-    """SELECT * FROM (VALUES (1, 0, 'WARNING'), (1, 1, 'WARNING'), (1, 2, 'WARNING'), (1, 3, 'EMERGENCY'), (1, 4, 'EMERGENCY'), (1, 5, 'WARNING'), (1, 6, 'EMERGENCY'), (1, 7, 'EMERGENCY'), (1, 8, NULL),
-      (2, 0, 'WARNING'), (2, 1, 'EMERGENCY'), (2, 2, 'WARNING'), (3, 0, NULL)) AS v(doc_id, block_idx, nearest)"""
+    f"""WITH t AS (SELECT *, contains(n, '预警') AS warn, regexp_matches(n, '应急响应|应急反应|响应行动|反应行动') AS act FROM (SELECT *, {_sql_normalize("text")} AS n FROM {CATEGORIES.sql()})),
+      w AS (SELECT *, list({{'i': block_idx, 'h': heading_level, 'w': warn, 'a': act}}) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS seen FROM t),
+      s AS (SELECT *, coalesce(list_max(list_transform(list_filter(seen, lambda x: ((x.w OR x.a) AND (x.h > 0 OR x.i = block_idx)) OR (x.i < block_idx AND x.h BETWEEN 1 AND 2)), lambda x: x.i)), -1) AS stop FROM w)
+    SELECT doc_id, block_idx, list_filter(list_transform(list_filter(seen, lambda x: x.i >= stop), lambda x: CASE WHEN x.w AND (x.h > 0 OR x.i = block_idx OR NOT x.a) THEN 'WARNING' WHEN x.a THEN 'EMERGENCY' END), lambda v: v IS NOT NULL)[1] AS nearest FROM s"""
 )
 def category_context(spark, sf_dir):
-    return X.category(CATEGORIES.frame(spark)).select("doc_id", "block_idx", "nearest")
+    return X.category(CATEGORIES.frame(spark, sf_dir)).select("doc_id", "block_idx", "nearest")
 
 
 @query(f"SELECT doc_id, 'k' || (doc_id % 4) AS level_key, CAST(doc_id % 3 + 1 AS VARCHAR) || CASE WHEN doc_id % 3 + 1 <> 2 THEN ',2' ELSE '' END AS pages FROM (SELECT DISTINCT doc_id FROM {SQL_BLOCKS}) WHERE doc_id % 2 = 0")
@@ -79,17 +81,17 @@ def active_first_order(spark, sf_dir):
     return X.active_first(samples).select("sample_id", "place")
 
 
-HEADERS = Fixture("id long, header string", [(1, 'attachment; filename="a b.pdf"'), (2, "attachment; filename*=UTF-8''x%20y.docx; filename=z"), (3, "inline"), (4, "attachment; filename=plain.doc")])
+HEADERS = Pattern("id long, header string", [(1, 'attachment; filename="a ◇.pdf"'), (2, "attachment; filename*=UTF-8''x%20y.docx; filename=z"), (3, "inline"), (4, "attachment; filename=plain.doc")])
 
 
 @query(f"SELECT id, coalesce(nullif(replace(regexp_extract(header, '(?i)filename\\*=(?:UTF-8'''')?\"?([^\";]+)', 1), '%20', ' '), ''), nullif(regexp_extract(header, '(?i)filename=\"?([^\";]+)', 1), '')) AS name FROM {HEADERS.sql()}")
 def disposition_name(spark, sf_dir):
-    return HEADERS.frame(spark).select("id", X.disposition_name(F.col("header")).alias("name"))
+    return HEADERS.frame(spark, sf_dir).select("id", X.disposition_name(F.col("header")).alias("name"))
 
 
-TABLES = Fixture(
+TABLES = Pattern(
     "table_id long, row int, column int, text string",
-    [(1, 0, 0, "a"), (1, 1, 0, "b"), (2, 0, 0, "a"), (2, 0, 1, "b\nc\nd"), (3, 0, 0, "x" * 120), (3, 0, 1, "y"), (4, 0, 0, "a\n \nb"), (5, 0, 0, "a\n\n"), (6, 0, 0, "a"), (6, 1, 0, "b\nc"), (7, 0, 0, None)],
+    [(1, 0, 0, "a"), (1, 1, 0, "b"), (2, 0, 0, "a"), (2, 0, 1, "b\n◇\nd"), (3, 0, 0, "x" * 120), (3, 0, 1, "y"), (4, 0, 0, "a\n \nb"), (5, 0, 0, "a\n\n"), (6, 0, 0, "a"), (6, 1, 0, "b\nc"), (7, 0, 0, None)],
 )
 
 
@@ -99,11 +101,14 @@ TABLES = Fixture(
     + ") GROUP BY table_id"
 )
 def layout_tables(spark, sf_dir):
-    return X.layout_table(TABLES.frame(spark))
+    return X.layout_table(TABLES.frame(spark, sf_dir))
 
 
-@query("SELECT code, CASE WHEN code LIKE '%\\_NOT\\_FOUND' ESCAPE '\\' THEN 404 WHEN code LIKE '%TOO_LARGE' THEN 413 WHEN code LIKE 'UNSUPPORTED%' THEN 415 ELSE 400 END AS status FROM (SELECT unnest(['TASK_NOT_FOUND', 'FILE_TOO_LARGE', 'UNSUPPORTED_IMAGE_TYPE', 'EMPTY_FILE']) AS code)")
+CODES = Pattern("code string", [("◇_NOT_FOUND",), ("FILE_TOO_LARGE",), ("UNSUPPORTED_◇",), ("EMPTY_◇",), ("DOCUMENT_TOO_LARGE",)], of="events", keys=())
+
+
+@query(f"SELECT code, CASE WHEN ends_with(code, '_NOT_FOUND') THEN 404 WHEN code LIKE '%TOO_LARGE' THEN 413 WHEN code LIKE 'UNSUPPORTED%' THEN 415 ELSE 400 END AS status FROM {CODES.sql()}")
 def error_statuses(spark, sf_dir):
-    codes = spark.createDataFrame([("TASK_NOT_FOUND",), ("FILE_TOO_LARGE",), ("UNSUPPORTED_IMAGE_TYPE",), ("EMPTY_FILE",)], "code string")
+    codes = CODES.frame(spark, sf_dir)
     body = X.error_body(F.col("code"), F.lit("/x"), F.lit("t"))
     return codes.select("code", F.get_json_object(body, "$.status").cast("int").alias("status"))

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import Fixture
+from ..fixtures import Fixture, Pattern
 from ..operators import layout as L
 from .register import Register
 
 REGISTER = Register()
 query = REGISTER.query
 
-LINES = Fixture(
+LINES = Pattern(
     "image_id long, line_idx int, text string, confidence double, x_min double, y_min double, x_max double, y_max double",
     [
-        (1, 0, "企业名称：", 0.95, 100.0, 100.0, 220.0, 130.0), (1, 1, "某某化工", 0.9, 230.0, 102.0, 400.0, 131.0), (1, 2, "有限公", 0.7, 410.0, 99.0, 520.0, 129.0), (1, 3, "印章", 0.5, 900.0, 101.0, 960.0, 130.0),
+        (1, 0, "企业名称：", 0.95, 100.0, 100.0, 220.0, 130.0), (1, 1, "某某化工◇", 0.9, 230.0, 102.0, 400.0, 131.0), (1, 2, "有限公", 0.7, 410.0, 99.0, 520.0, 129.0), (1, 3, "印章", 0.5, 900.0, 101.0, 960.0, 130.0),
         (1, 4, "有效期：2020年1月2日", 0.92, 100.0, 200.0, 420.0, 230.0), (1, 5, "至2023年1月1日", 0.88, 430.0, 203.0, 700.0, 232.0), (1, 6, "许可范围", 0.9, 100.0, 300.0, 220.0, 330.0), (1, 7, "甲醇", 0.6, 110.0, 345.0, 200.0, 370.0), (1, 8, "乙醇", 0.8, 110.0, 380.0, 200.0, 405.0), (1, 9, "远处", 0.8, 110.0, 490.0, 200.0, 730.0),
-        (2, 0, "乙公司", 0.99, 300.0, 50.0, 400.0, 80.0), (2, 1, "企业名称", 0.99, 100.0, 50.0, 220.0, 80.0), (2, 2, "有效期", 0.9, 405.0, 52.0, 500.0, 81.0), (2, 3, None, None, None, None, None, None),
+        (2, 0, "◇公司", 0.99, 300.0, 50.0, 400.0, 80.0), (2, 1, "企业名称", 0.99, 100.0, 50.0, 220.0, 80.0), (2, 2, "有效期", 0.9, 405.0, 52.0, 500.0, 81.0), (2, 3, None, None, None, None, None, None),
     ],
 )
 LABELS = Fixture("field string, label_order int, label string", [("name", 0, "单位名称"), ("name", 1, "企业名称"), ("period", 0, "有效期"), ("scope", 0, "许可范围")])
@@ -30,12 +30,12 @@ _HITS = f"""(SELECT * FROM (SELECT l.*, field, label, substr({_NORM.format("text
 
 @query(f"SELECT image_id, line_idx, CAST(pos AS INTEGER) AS pos FROM {_ORDERED}")
 def ocr_reading_order(spark, sf_dir):
-    return L.reading_order(LINES.frame(spark)).select("image_id", "line_idx", "pos")
+    return L.reading_order(LINES.frame(spark, sf_dir)).select("image_id", "line_idx", "pos")
 
 
 @query(f"SELECT image_id, field, line_idx, label, inline FROM {_HITS}")
 def label_hit(spark, sf_dir):
-    return L.label_hits(LINES.frame(spark), LABELS.frame(spark)).select("image_id", "field", "line_idx", "label", "inline")
+    return L.label_hits(LINES.frame(spark, sf_dir), LABELS.frame(spark)).select("image_id", "field", "line_idx", "label", "inline")
 
 
 @query(
@@ -47,7 +47,7 @@ def label_hit(spark, sf_dir):
     WHERE broken = 0 GROUP BY image_id, field, inline"""
 )
 def collect_right(spark, sf_dir):
-    lines = LINES.frame(spark)
+    lines = LINES.frame(spark, sf_dir)
     return L.collect_right(L.label_hits(lines, LABELS.frame(spark)), lines, STOPS.frame(spark))
 
 
@@ -59,24 +59,24 @@ def collect_right(spark, sf_dir):
         FROM {_HITS} h JOIN {LINES.sql()} o ON o.image_id = h.image_id AND o.line_idx <> h.line_idx AND o.y_min > h.y_min)) WHERE broken = 0 GROUP BY image_id, field"""
 )
 def collect_below(spark, sf_dir):
-    lines = LINES.frame(spark)
+    lines = LINES.frame(spark, sf_dir)
     return L.collect_below(L.label_hits(lines, LABELS.frame(spark)), lines, LABELS.frame(spark))
 
 
-VALUES = Fixture(
+VALUES = Pattern(
     "id long, value string, confidence double, pattern string, least double",
-    [(1, None, 0.9, None, 0.8), (2, "  ", 0.9, None, 0.8), (3, "12a", 0.9, "\\d+", 0.8), (4, "123", 0.7, "\\d+", 0.8), (5, "123", None, "\\d+", 0.8), (6, "123", 0.9, "\\d+", 0.8), (7, "x", 0.8, None, 0.8)],
+    [(1, None, 0.9, None, 0.8), (2, "  ", 0.9, None, 0.8), (3, "◆a", 0.9, "\\d+", 0.8), (4, "◆", 0.7, "\\d+", 0.8), (5, "123", None, "\\d+", 0.8), (6, "123", 0.9, "\\d+", 0.8), (7, "x", 0.8, None, 0.8)],
 )
 
 
 @query(f"SELECT id, CASE WHEN trim(coalesce(value, '')) = '' THEN 'MISSING' WHEN pattern IS NOT NULL AND NOT regexp_full_match(value, pattern) THEN 'INVALID' WHEN confidence IS NULL OR confidence < least THEN 'LOW_CONFIDENCE' ELSE 'EXTRACTED' END AS status FROM {VALUES.sql()}")
 def field_status(spark, sf_dir):
-    return VALUES.frame(spark).select("id", L.field_status(F.col("value"), F.col("confidence"), F.col("pattern"), F.col("least")).alias("status"))
+    return VALUES.frame(spark, sf_dir).select("id", L.field_status(F.col("value"), F.col("confidence"), F.col("pattern"), F.col("least")).alias("status"))
 
 
-CERTIFICATES = Fixture(
+CERTIFICATES = Pattern(
     "id long, value string",
-    [(1, "20201月2日至2023年12月31日"), (2, "2020年1月2日至2023年1月1日"), (3, "2020年第2月3日"), (4, "无日期"), (5, "(苏)WH安许证字[2019]1234号 其他"), (6, "编号 粤 A 安 许 证 字 2020-77号"), (7, "某某化工有限公许可范围甲醇"), (8, "乙有限公")],
+    [(1, "20201月2日至2023年12月31日"), (2, "2020年1月2日至2023年1月1日"), (3, "2020年第2月3日"), (4, "无日期"), (5, "(苏)WH安许证字[2019]1234号 其他"), (6, "编号 粤 A 安 许 证 字 2020-77号"), (7, "某某◇化工有限公许可范围甲醇"), (8, "乙有限公")],
 )
 _REPAIR = "CASE WHEN value LIKE '%月%' AND value LIKE '%日%' THEN regexp_replace(regexp_replace(regexp_replace(replace(value, '第2', '02'), '(\\d{4})(\\d{1,2}月)', '\\1年\\2', 'g'), '年(\\d月)', '年0\\1', 'g'), '月(\\d日)', '月0\\1', 'g') ELSE value END"
 
@@ -86,7 +86,7 @@ _REPAIR = "CASE WHEN value LIKE '%月%' AND value LIKE '%日%' THEN regexp_repla
 )
 def date_repair(spark, sf_dir):
     c = F.col("value")
-    return CERTIFICATES.frame(spark).select("id", L.repair_date(c).alias("repaired"), L.date_range(c).alias("period"))
+    return CERTIFICATES.frame(spark, sf_dir).select("id", L.repair_date(c).alias("repaired"), L.date_range(c).alias("period"))
 
 
 @query(
@@ -95,24 +95,24 @@ def date_repair(spark, sf_dir):
 )
 def license_number(spark, sf_dir):
     c = F.col("value")
-    return CERTIFICATES.frame(spark).select("id", L.licence_number(c).alias("licence"), L.company_name(c).alias("company"))
+    return CERTIFICATES.frame(spark, sf_dir).select("id", L.licence_number(c).alias("licence"), L.company_name(c).alias("company"))
 
 
-PASSES = Fixture(
+PASSES = Pattern(
     "image_id long, pass_no int, line_idx int, text string, confidence double",
-    [(1, 1, 0, "总则 一", 0.9), (1, 1, 1, "目的", 0.8), (1, 2, 0, "总则一", 0.7), (1, 2, 1, "范围", 0.6), (2, 1, 0, "a", 0.4), (2, 2, 0, "应急响应 程序", 0.9), (2, 2, 1, "a", 0.9), (3, 1, 0, "没有置信度的一行文字", None)],
+    [(1, 1, 0, "总则 ◇ 一", 0.9), (1, 1, 1, "目的", 0.8), (1, 2, 0, "总则一", 0.7), (1, 2, 1, "范围", 0.6), (2, 1, 0, "a", 0.4), (2, 2, 0, "应急响应 程序", 0.9), (2, 2, 1, "a", 0.9), (3, 1, 0, "没有置信度的一行文字", None)],
 )
 _QUALITY = f"(SELECT image_id, pass_no, count(*) AS n_lines, CAST(sum(length(regexp_replace(text, '\\s+', '', 'g'))) AS BIGINT) AS n_chars, round(avg(confidence), 6) AS confidence, CAST(count(*) * 20 + sum(length(regexp_replace(text, '\\s+', '', 'g'))) AS BIGINT) AS score FROM {PASSES.sql()} GROUP BY image_id, pass_no)"
 
 
 @query(f"SELECT * FROM {_QUALITY}")
 def quality_score(spark, sf_dir):
-    return L.quality(PASSES.frame(spark))
+    return L.quality(PASSES.frame(spark, sf_dir))
 
 
 @query(f"SELECT image_id FROM {_QUALITY} WHERE pass_no = 1 AND (n_chars < 8 OR confidence IS NULL OR confidence < 0.75)")
 def second_pass_needed(spark, sf_dir):
-    return L.needs_second_pass(L.quality(PASSES.frame(spark)))
+    return L.needs_second_pass(L.quality(PASSES.frame(spark, sf_dir)))
 
 
 @query(
@@ -121,15 +121,15 @@ def second_pass_needed(spark, sf_dir):
         SELECT p.*, CASE WHEN p.pass_no = b.best THEN 0 ELSE 1 END AS second FROM {PASSES.sql()} p JOIN (SELECT image_id, pass_no AS best FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, pass_no) AS r FROM {_QUALITY}) WHERE r = 1) b USING (image_id))) WHERE k = 1"""
 )
 def two_pass_merge(spark, sf_dir):
-    return L.merge_passes(PASSES.frame(spark))
+    return L.merge_passes(PASSES.frame(spark, sf_dir))
 
 
-ANGLES = Fixture("image_id long, angle double", [(1, 2.0), (1, 3.0), (1, 40.0), (1, 1.0), (1, 5.0), (2, 0.2), (3, 50.0)])
+ANGLES = Pattern("image_id long, angle double", [(1, 2.0), (1, 3.0), (1, 40.0), (1, 1.0), (1, 5.0), (2, 0.2), (3, 50.0)])
 
 
 @query(f"SELECT image_id, CASE WHEN n = 0 THEN 0.0 WHEN abs(a[n // 2 + 1]) > 0.3 THEN -a[n // 2 + 1] ELSE 0.0 END AS rotate FROM (SELECT image_id, coalesce(list(angle ORDER BY angle) FILTER (WHERE abs(angle) <= 12), []) AS a, count(*) FILTER (WHERE abs(angle) <= 12) AS n FROM {ANGLES.sql()} GROUP BY image_id)")
 def deskew_median(spark, sf_dir):
-    return L.median_angle(ANGLES.frame(spark))
+    return L.median_angle(ANGLES.frame(spark, sf_dir))
 
 
 @query(
@@ -137,4 +137,4 @@ def deskew_median(spark, sf_dir):
     WINDOW w AS (PARTITION BY image_id ORDER BY x_min, line_idx)"""
 )
 def sideways_columns(spark, sf_dir):
-    return L.column_edges(LINES.frame(spark).where("y_min < 140"), F.lit(1000.0))
+    return L.column_edges(LINES.frame(spark, sf_dir).where("y_min < 140"), F.lit(1000.0))

@@ -4,24 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import Fixture
+from ..fixtures import Pattern
 from ..operators import manage as M
 from .register import Register, table
 
 REGISTER = Register()
 query = REGISTER.query
 
-BEFORE = '{"title": "a", "n": 1, "actionGroups": [{"key": "rescue", "responsibilities": "x", "pages": [1, 2]}, {"key": "old", "name": "o"}], "same": {"k": true}, "gone": {"p": {"q": 1}}}'
-AFTER = '{"title": "a", "n": 2, "actionGroups": [{"key": "rescue", "responsibilities": "y", "pages": [1, 2]}, {"key": "new", "name": "n"}], "same": {"k": true}, "list": [1, 2]}'
+BEFORE = Pattern("result_id long, result string", [(1, '{"title": "a", "n": ◆, "actionGroups": [{"key": "rescue", "responsibilities": "x ◇", "pages": [1, 2]}, {"key": "old", "name": "o"}], "same": {"k": "◇"}, "gone": {"p": {"q": 1}}}')], thin=False)
+AFTER = Pattern("result_id long, result string", [(1, '{"title": "a", "n": "◇", "actionGroups": [{"key": "rescue", "responsibilities": "y ◇", "pages": [1, 2]}, {"key": "new", "name": "n"}], "same": {"k": "◇"}, "list": [1, ◆]}')], thin=False)
+CHANGES = Pattern(
+    "id long, path string, change_type string, before string, after string",
+    [
+        (1, "n", "MODIFIED", "◆", '"◇"'), (1, "actionGroups.rescue.responsibilities", "MODIFIED", '"x ◇"', '"y ◇"'), (1, "actionGroups.old", "REMOVED", None, None), (1, "actionGroups.new", "ADDED", None, None),
+        (1, "gone", "REMOVED", None, None), (1, "list", "ADDED", None, "[1,◆]"),
+    ], thin=False,
+)
 
 
-@query(
-    """SELECT * FROM (VALUES ('n', 'MODIFIED', '1', '2'), ('actionGroups.rescue.responsibilities', 'MODIFIED', '"x"', '"y"'), ('actionGroups.old', 'REMOVED', NULL, NULL), ('actionGroups.new', 'ADDED', NULL, NULL),
-    ('gone', 'REMOVED', NULL, NULL), ('list', 'ADDED', NULL, '[1,2]')) AS v(path, change_type, before, after)"""
-)
+@query(f"SELECT * FROM {CHANGES.sql()}")
 def json_keyed_diff(spark, sf_dir):
-    frame = lambda text: spark.createDataFrame([(1, text)], "result_id long, result string")
-    return M.difference(frame(BEFORE), frame(AFTER)).drop("id")
+    return M.difference(BEFORE.frame(spark, sf_dir), AFTER.frame(spark, sf_dir))
 
 
 @query("SELECT doc_id, length(text) > 2000 AS cut, CASE WHEN length(text) > 2000 THEN substr(text, 1, 1997) || '...' ELSE text END AS shown FROM documents")
@@ -84,9 +87,9 @@ def catalog_upsert(spark, sf_dir):
     return M.upsert(catalog, changes).select("plan_id", "plan_name")
 
 
-IDS = Fixture("v string", [("plan-1",), ("a" * 65,), ("bad id",), ("x/y:z@w",), ("",)])
+IDS = Pattern("v string", keys=(), rows=[("plan-◇",), ("a" * 65,), ("bad ◇",), ("x/y:z@w",), ("",)])
 
 
 @query(f"SELECT v, regexp_full_match(v, '[A-Za-z0-9._-]{{1,64}}') AS valid, CASE WHEN regexp_full_match(v, '[A-Za-z0-9._:@/-]{{1,128}}') THEN v ELSE '-' END AS audited FROM {IDS.sql()}")
 def request_checks(spark, sf_dir):
-    return IDS.frame(spark).select("v", M.valid_plan_id(F.col("v")).alias("valid"), M.audit_value(F.col("v")).alias("audited"))
+    return IDS.frame(spark, sf_dir).select("v", M.valid_plan_id(F.col("v")).alias("valid"), M.audit_value(F.col("v")).alias("audited"))

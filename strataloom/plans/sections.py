@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import Fixture
+from ..fixtures import Fixture, Pattern
 from ..functions.html import html_blocks
 from ..operators import rules as R
 from ..operators import sections as S
@@ -27,61 +27,78 @@ def _latin(spark):
     return R.rules_table(spark, R.LATIN)
 
 
-@query(f"SELECT rule_type, rule_code, count(*) AS n, min(alias_order) AS first_order FROM {SEED.sql()} WHERE enabled GROUP BY ALL")
+def part_rules(spark, sf_dir):
+    """A rule set as large as a shipped table: parts are aliases, their brands rules."""
+    kinds = F.array(*[F.lit(t) for t in R.RULE_TYPES])
+    name = F.when(F.col("p_partkey") % 11 == 0, F.col("p_type")).otherwise(F.col("p_brand"))
+    return table(spark, sf_dir, "part").select(F.get(kinds, F.col("p_size") % 6).alias("rule_type"), F.col("p_brand").alias("rule_code"), name.alias("canonical_name"), F.col("p_name").alias("alias"), F.col("p_size").cast("int").alias("group_order"), F.col("p_partkey").cast("int").alias("alias_order"), (F.col("p_size") % 7 != 0).alias("enabled"))
+
+
+PART_RULES = f"(SELECT ({list(R.RULE_TYPES)})[p_size % 6 + 1] AS rule_type, p_brand AS rule_code, CASE WHEN p_partkey % 11 = 0 THEN p_type ELSE p_brand END AS canonical_name, p_name AS alias, CAST(p_size AS INTEGER) AS group_order, CAST(p_partkey AS INTEGER) AS alias_order, p_size % 7 <> 0 AS enabled FROM part)"
+
+
+@query(f"SELECT rule_type, rule_code, count(*) AS n, min(alias_order) AS first_order FROM {PART_RULES} WHERE enabled GROUP BY ALL")
 def rule_seed_counts(spark, sf_dir):
-    return R.rules_table(spark).where("enabled").groupBy("rule_type", "rule_code").agg(F.count("*").alias("n"), F.min("alias_order").alias("first_order"))
+    return part_rules(spark, sf_dir).where("enabled").groupBy("rule_type", "rule_code").agg(F.count("*").alias("n"), F.min("alias_order").alias("first_order"))
 
 
 @query(
     f"""SELECT substr(sha256(string_agg(rule_type || '|' || rule_code || '|' || canonical_name || '|' || alias, chr(10) ORDER BY rule_type, group_order, rule_code, alias_order)), 1, 24) AS version, count(*) AS n_rules
-    FROM {SEED.sql()} WHERE enabled"""
+    FROM {PART_RULES} WHERE enabled"""
 )
 def rule_snapshot_hash(spark, sf_dir):
-    return R.version(R.rules_table(spark))
+    return R.version(part_rules(spark, sf_dir))
 
 
 @query(
     f"""SELECT rule_type, rule_code, min(group_order) AS group_order, min(canonical_name) AS canonical_name, string_agg(alias, ',' ORDER BY alias_order) AS aliases, count(DISTINCT canonical_name) = 1 AS one_name
-    FROM {SEED.sql()} WHERE enabled GROUP BY rule_type, rule_code"""
+    FROM {PART_RULES} WHERE enabled GROUP BY rule_type, rule_code"""
 )
 def rule_snapshot(spark, sf_dir):
-    return R.snapshot(R.rules_table(spark))
+    return R.snapshot(part_rules(spark, sf_dir))
 
 
-BAD_RULES = Fixture(
-    "rule_index int, " + R.RULE_SCHEMA,
-    [(0, "COMMAND", "c", "C", "指挥", 10, 10, True), (1, "RESPONSE", "r", "R", "响应", 10, 10, True), (2, "RESPONSE", "r", "R", "响应", 10, 20, True), (3, "OTHER", "o", "O", "其他", 10, 10, True), (4, "TAIL", "t", " ", "附则", 10, 10, True), (5, "TAIL", "t", "T", "附件", 10, 20, False)],
-)
+def bad_rules(spark, sf_dir):
+    """The rules of parts with faults: types that do not exist, blank names, aliases that repeat."""
+    rules = part_rules(spark, sf_dir).withColumn("rule_index", F.col("alias_order"))
+    rules = rules.withColumn("rule_type", F.when(F.col("group_order") % 9 == 0, "OTHER").otherwise(F.col("rule_type"))).withColumn("canonical_name", F.when(F.col("group_order") % 13 == 0, " ").otherwise(F.col("canonical_name")))
+    return rules.withColumn("alias", F.substring("alias", 1, 6)).where("rule_type <> 'TAIL' OR NOT enabled")
+
+
+BAD_RULES = f"(SELECT rule_type, rule_code, canonical_name, substr(alias, 1, 6) AS alias, group_order, alias_order, enabled, alias_order AS rule_index FROM (SELECT CASE WHEN group_order % 9 = 0 THEN 'OTHER' ELSE rule_type END AS rule_type, rule_code, CASE WHEN group_order % 13 = 0 THEN ' ' ELSE canonical_name END AS canonical_name, alias, group_order, alias_order, enabled FROM {PART_RULES}) WHERE rule_type <> 'TAIL' OR NOT enabled)"
 
 
 @query(
-    f"""WITH r AS {BAD_RULES.sql()}, m AS (SELECT *, trim(coalesce(rule_type, '')) = '' OR trim(coalesce(rule_code, '')) = '' OR trim(coalesce(canonical_name, '')) = '' OR trim(coalesce(alias, '')) = '' AS bad FROM r)
+    f"""WITH r AS {BAD_RULES}, m AS (SELECT *, trim(coalesce(rule_type, '')) = '' OR trim(coalesce(rule_code, '')) = '' OR trim(coalesce(canonical_name, '')) = '' OR trim(coalesce(alias, '')) = '' AS bad FROM r)
     SELECT CAST(rule_index AS BIGINT) AS rule_index, 'FIELD_MISSING' AS problem FROM m WHERE bad
     UNION ALL SELECT rule_index, 'TYPE_UNSUPPORTED' FROM m WHERE NOT bad AND rule_type NOT IN ('COMMAND', 'RESPONSE', 'WARNING', 'SECTION', 'MARKER', 'TAIL')
     UNION ALL SELECT rule_index, 'ALIAS_REPEATED' FROM (SELECT *, row_number() OVER (PARTITION BY rule_type, rule_code, alias ORDER BY rule_index) AS k FROM m WHERE NOT bad) WHERE k > 1
     UNION ALL SELECT -1, 'GROUP_REQUIRED' WHERE (SELECT count(DISTINCT rule_type) FROM m WHERE NOT bad AND enabled AND rule_type IN ('COMMAND', 'RESPONSE', 'TAIL')) < 3"""
 )
 def rule_validate(spark, sf_dir):
-    return R.violations(BAD_RULES.frame(spark))
+    return R.violations(bad_rules(spark, sf_dir))
 
 
-REVISIONS = Fixture(
-    "code string, revision_id string, revision_number int, status string",
-    [("a", "a1", 1, "ARCHIVED"), ("a", "a2", 2, "PUBLISHED"), ("a", "a3", 3, "DRAFT"), ("b", "b1", 1, "PUBLISHED"), ("b", "b2", 2, "DRAFT"), ("c", "c1", 1, "DRAFT")],
+REVISIONS = Pattern(
+    "code string, revision_id string, revision_number int, status string", of="customer", keys=("code", "revision_id"),
+    rows=[("a", "a1", 1, "ARCHIVED"), ("a", "a2", 2, "PUBLISHED"), ("a", "a3", 3, "DRAFT"), ("b", "b1", 1, "PUBLISHED"), ("b", "b2", 2, "DRAFT"), ("c", "c1", 1, "DRAFT")],
 )
 
 
-@query(f"SELECT code, revision_id, CASE WHEN revision_id = 'a3' THEN 'PUBLISHED' WHEN code = 'a' AND status = 'PUBLISHED' THEN 'ARCHIVED' ELSE status END AS status FROM {REVISIONS.sql()}")
+_AFTER = "CASE WHEN code IN (SELECT code FROM r WHERE revision_id = '{0}' AND status = 'DRAFT') AND revision_id = '{0}' THEN 'PUBLISHED' WHEN code IN (SELECT code FROM r WHERE revision_id = '{0}' AND status = 'DRAFT') AND status = 'PUBLISHED' THEN 'ARCHIVED' ELSE status END AS status"
+
+
+@query(f"WITH r AS {REVISIONS.sql()} SELECT code, revision_id, {_AFTER.format('a3-6')} FROM r")
 def revision_publish(spark, sf_dir):
-    return R.publish(REVISIONS.frame(spark), "a3").select("code", "revision_id", "status")
+    return R.publish(REVISIONS.frame(spark, sf_dir), "a3-6").select("code", "revision_id", "status")
 
 
 @query(
-    f"""SELECT code, revision_id, revision_number, CASE WHEN code = 'a' AND status = 'PUBLISHED' THEN 'ARCHIVED' ELSE status END AS status FROM {REVISIONS.sql()}
-    UNION ALL SELECT 'a', 'a4', 4, 'PUBLISHED'"""
+    f"""WITH o AS {REVISIONS.sql()}, r AS (SELECT * FROM o UNION ALL SELECT code, 'new', (SELECT max(revision_number) + 1 FROM o x WHERE x.code = o.code), 'DRAFT' FROM o WHERE revision_id = 'a1-6')
+    SELECT code, revision_id, CAST(revision_number AS INTEGER) AS revision_number, {_AFTER.format("new")} FROM r"""
 )
 def revision_rollback(spark, sf_dir):
-    return R.rollback(REVISIONS.frame(spark), "a1", "a4").select("code", "revision_id", "revision_number", "status")
+    return R.rollback(REVISIONS.frame(spark, sf_dir), "a1-6", "new").select("code", "revision_id", "revision_number", "status")
 
 
 _SQL_CANDIDATES = f"""(SELECT doc_id, block_idx, rule_code, alias, text, heading_level, matched_by,

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import Fixture
+from ..fixtures import Pattern
 from ..operators import rules as R
 from ..operators import shapes as S
 from ..tables import written
 from .blocks import SQL_BLOCKS
 from .register import Register, table
-from .sections import SEED, _blocks
+from .sections import PART_RULES, SEED, _blocks, part_rules
 
 REGISTER = Register()
 query = REGISTER.query
@@ -48,7 +48,7 @@ def look_ahead(spark, sf_dir):
     return rows.drop("heading_level")
 
 
-ANCHORS = Fixture(
+ANCHORS = Pattern(
     "image_id long, level int, line_idx int, text string, x_min double, y_min double, x_max double, y_max double",
     [
         *[(1, k, k, f"{k}级", 100.0, 900.0 - 200 * k, 120.0, 960.0 - 200 * k) for k in (1, 2, 3, 4)], (1, 1, 9, "1级 响应", 0.0, 0.0, 500.0, 20.0), (1, 2, 8, "2级", 0.0, 0.0, 500.0, 20.0),
@@ -56,13 +56,13 @@ ANCHORS = Fixture(
         *[(4, k, k, f"{k}级", 100.0 * k, 200.0 * k, 100.0 * k + 20, 200.0 * k + 60) for k in (1, 2, 3, 4)], *[(5, k, k, f"{k}级", 700.0, 200.0 * k, 800.0, 200.0 * k + 60) for k in (1, 2, 3, 4)], *[(6, k, k, f"{k}级", 650.0, 200.0 * k, 670.0, 200.0 * k + 60) for k in (1, 2, 3, 4)],
     ],
 )
-PAGES = Fixture("image_id long, width double, height double", [(k, 800.0, 1000.0) for k in range(1, 8)])
+PAGES = Pattern("image_id long, width double, height double", [(k, 800.0, 1000.0) for k in range(1, 8)])
 _SHORTEST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, level ORDER BY length(regexp_replace(text, '\\s+', '', 'g')), line_idx) AS k FROM {ANCHORS.sql()}) WHERE k = 1)"
 
 
 @query(f"SELECT image_id, level, line_idx, text FROM {_SHORTEST}")
 def shortest_anchor(spark, sf_dir):
-    return S.level_anchors(ANCHORS.frame(spark)).select("image_id", "level", "line_idx", "text")
+    return S.level_anchors(ANCHORS.frame(spark, sf_dir)).select("image_id", "level", "line_idx", "text")
 
 
 @query(
@@ -72,12 +72,12 @@ def shortest_anchor(spark, sf_dir):
     SELECT p.image_id, coalesce(is_table, FALSE) AS is_table, clockwise FROM {PAGES.sql()} p LEFT JOIN t ON t.image_id = p.image_id"""
 )
 def sideways_table(spark, sf_dir):
-    return S.sideways(S.level_anchors(ANCHORS.frame(spark)), PAGES.frame(spark))
+    return S.sideways(S.level_anchors(ANCHORS.frame(spark, sf_dir)), PAGES.frame(spark, sf_dir))
 
 
-@query(f"SELECT rule_type, rule_code, alias, enabled, CAST(row_number() OVER (PARTITION BY rule_type ORDER BY group_order, rule_code, alias_order, alias) AS INTEGER) AS place FROM {SEED.sql()}")
+@query(f"SELECT rule_type, rule_code, alias, enabled, CAST(row_number() OVER (PARTITION BY rule_type ORDER BY group_order, rule_code, alias_order, alias) AS INTEGER) AS place FROM {PART_RULES}")
 def rule_definitions(spark, sf_dir):
-    return S.numbered_rules(R.rules_table(spark)).select("rule_type", "rule_code", "alias", "enabled", "place")
+    return S.numbered_rules(part_rules(spark, sf_dir)).select("rule_type", "rule_code", "alias", "enabled", "place")
 
 
 @query(
@@ -111,14 +111,14 @@ def pdf_clean(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(S.pdf_clean(F.col("text")).cast("binary"), 256).alias("clean_sha256"))
 
 
-HEADS = Fixture("id long, text string", [(k, t) for k, t in enumerate(("第一章 总则", "一、目的", "1 范围", "1.1 目的", "1.2.3、方法", "2.机构", "正文。", "", None, "第3章", "1" * 90, "十、附则", "3．全角", "1.1.1.1.1 深"))])
+HEADS = Pattern("id long, text string", [(k, t) for k, t in enumerate(("第一章 ◇总则", "一、目的", "1 范围◇", "1.1 目的", "1.2.3、方法", "2.机构", "正文。", "", None, "第3章", "1" * 90, "十、附则", "3．全角", "1.1.1.1.1 深"))])
 
 
 @query(
     f"SELECT id, CASE WHEN trim(coalesce(text, '')) = '' OR length(text) > 80 THEN 0 WHEN regexp_matches(text, '^第[一二三四五六七八九十]+[章节篇]') THEN 1 WHEN regexp_matches(text, '^([一二三四五六七八九十]+[、.]|\\d+(?:\\.\\d+){{0,3}}[、.\\s]).{{1,80}}$') THEN CASE WHEN regexp_matches(text, '^\\d+\\.\\d+') THEN 2 ELSE 1 END ELSE 0 END AS level FROM {HEADS.sql()}"
 )
 def pdf_headings(spark, sf_dir):
-    return HEADS.frame(spark).select("id", S.pdf_heading_level(F.col("text")).alias("level"))
+    return HEADS.frame(spark, sf_dir).select("id", S.pdf_heading_level(F.col("text")).alias("level"))
 
 
 @query("SELECT 'lineitem' AS stage, count(*) AS n_rows, round(sum(l_quantity), 2) AS quantity, count(*) FILTER (WHERE l_returnflag = 'R') AS returned FROM lineitem")
