@@ -180,3 +180,37 @@ def clip(c: Column, most: int, tail: str = "") -> Column:
 def or_default(c: Column, default: Column) -> Column:
     """``default`` for null and blank."""
     return F.coalesce(F.nullif(F.trim(c), F.lit("")), default)
+
+
+def fits_alias(norm: Column, alias: Column) -> Column:
+    """Whether a normal text holds a normal name: names of Roman levels only between other signs, that of the second severity not inside the first's."""
+    roman = alias.rlike("^(?:I{1,3}|IV)级(?:应急)?响应$")
+    inside = (alias == SEVERITIES[1] + "响应") & F.contains(norm, F.lit(SEVERITIES[0] + "响应"))
+    alone = F.regexp_like(norm, F.concat(F.lit("(^|[^IV])"), alias, F.lit("($|[^IV])")))
+    return ~inside & F.when(roman, alone).otherwise(F.contains(norm, alias))
+
+
+def segment_heading_level(c: Column, responses: tuple[str, ...], tails: tuple[str, ...]) -> Column:
+    """The level that a line has as a heading where nothing marks it as one: 3 for a bare name of a response level, 2 for a tail, 1 to 3 by its numbering, else 0."""
+
+    def level(n: Column) -> Column:
+        tail = F.lit(False)
+        for t in tails:
+            tail = tail | n.contains(t)
+        return (
+            F.when((F.trim(F.coalesce(c, F.lit(""))) == "") | (F.length(c) > 80), 0)
+            .when((F.length(n) <= 16) & n.isin(*responses), 3)
+            .when(tail, 2)
+            .when(c.rlike(rf"^第[{CJK_NUMERALS}0-9]+[章节篇条]"), 1)
+            .when(c.rlike("^[一二三四五六七八九十]+[、.]"), 2)
+            .when(c.rlike(r"^\d+(?:\.\d+){0,3}[、.\s]"), F.when(c.contains("."), 3).otherwise(2))
+            .otherwise(0)
+        )
+
+    return let(normalize(c), level)
+
+
+def is_page_note(c: Column) -> Column:
+    """A note of a table's page: on what "above" and "below" include, or one that says it is a note."""
+    v = F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""), F.lit("应急"), F.lit(""))
+    return v.rlike("^注[：:]") | (v.contains("以上") & v.contains("包括本数")) | (v.contains("以下") & v.contains("不包括本数"))

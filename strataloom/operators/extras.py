@@ -89,7 +89,18 @@ def disposition_name(header: Column) -> Column:
     return F.coalesce(F.nullif(F.url_decode(star), F.lit("")), F.nullif(plain, F.lit("")))
 
 
-def error_body(code: Column, path: Column, at: Column) -> Column:
-    """One record for every failure: time, status, code and path, as JSON."""
-    status = F.when(code.endswith("_NOT_FOUND"), 404).when(code.isin("FILE_TOO_LARGE", "DOCUMENT_TOO_LARGE"), 413).when(code.startswith("UNSUPPORTED"), 415).when(code.isNull(), 200).otherwise(400)
-    return F.to_json(F.struct(at.alias("time"), status.alias("status"), code.alias("code"), path.alias("path")))
+# The phrases of statuses.
+REASONS = {200: "OK", 400: "Bad Request", 404: "Not Found", 409: "Conflict", 413: "Payload Too Large", 415: "Unsupported Media Type", 500: "Internal Server Error"}
+MESSAGES = {"FILE_TOO_LARGE": "上传文件大小超过限制。", "INVALID_REQUEST": "请求参数不完整。", "INTERNAL_ERROR": "服务处理失败。"}
+
+
+def error_body(code: Column, path: Column, at: Column, message: Column | None = None) -> Column:
+    """One record for every failure: time, status and its phrase, code, message and path, as JSON. Without a message that of the code, if it has one."""
+    status = (
+        F.when(code.isNull(), 200).when(code.endswith("_NOT_FOUND"), 404).when(code.endswith("_ALREADY_EXISTS"), 409)
+        .when(code.isin("FILE_TOO_LARGE", "DOCUMENT_TOO_LARGE"), 413).when(code.startswith("UNSUPPORTED"), 415).when(code == "INTERNAL_ERROR", 500).otherwise(400)
+    )
+    words = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
+    told = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])[code]
+    said = F.coalesce(message, told) if message is not None else told
+    return F.to_json(F.struct(at.alias("time"), status.alias("status"), words[status].alias("error"), code.alias("code"), said.alias("message"), path.alias("path")))

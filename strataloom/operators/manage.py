@@ -110,3 +110,25 @@ def valid_plan_id(c: Column) -> Column:
 def audit_value(c: Column) -> Column:
     """A header's value for the audit log: a dash if it is absent, too long or holds other characters."""
     return F.when(c.rlike(r"^[A-Za-z0-9._:@/-]{1,128}$"), c).otherwise("-")
+
+
+def valid_template_code(c: Column) -> Column:
+    return c.rlike("^[A-Za-z0-9_-]{1,64}$")
+
+
+def valid_url(c: Column) -> Column:
+    """An address of the web, with a host."""
+    return c.rlike(r"^(?i:https?)://[^\s/?#]+\S*$")
+
+
+def created(catalog: DataFrame, requests: DataFrame) -> DataFrame:
+    """What became of requests (plan_id, request_id, name, code, category, department, version) for new entries: CREATED with the entry's
+    values, blank ones replaced, INVALID_REQUEST without a valid plan_id or a name, PLAN_ALREADY_EXISTS where the catalogue or an earlier request has the plan."""
+    valid = valid_plan_id(F.coalesce("plan_id", F.lit(""))) & (F.trim(F.coalesce("name", F.lit(""))) != "")
+    there = catalog.select("plan_id", F.lit(True).alias("_there")).distinct()
+    first = F.min(F.when(valid, F.col("request_id"))).over(Window.partitionBy("plan_id"))
+    rows = requests.withColumn("_valid", valid).withColumn("_first", first).join(there, "plan_id", "left")
+    outcome = F.when(~F.col("_valid"), "INVALID_REQUEST").when(F.col("_there") | (F.col("request_id") != F.col("_first")), "PLAN_ALREADY_EXISTS").otherwise("CREATED")
+    values = {"plan_code": T.or_default(F.col("code"), F.col("plan_id")), "plan_name": F.trim("name"), "category": T.or_default(F.col("category"), F.lit("未分类")), "responsible_department": T.or_default(F.col("department"), F.lit("未配置")), "version_label": T.or_default(F.col("version"), F.lit("未标注"))}
+    rows = rows.withColumn("outcome", outcome)
+    return rows.select("plan_id", "request_id", "outcome", *[F.when(F.col("outcome") == "CREATED", v).alias(k) for k, v in values.items()])

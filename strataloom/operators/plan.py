@@ -21,8 +21,7 @@ def _holds(norm: Column, aliases: list[str]) -> Column:
     """Whether a normal text holds a name; that of the second severity does not count inside the first's."""
     found = F.lit(False)
     for alias in aliases:
-        hit = F.contains(norm, T.normalize(F.lit(alias)))
-        found = found | (hit & ~F.contains(norm, F.lit("特别重大响应")) if alias == "重大响应" else hit)
+        found = found | T.fits_alias(norm, T.normalize(F.lit(alias)))
     return found
 
 

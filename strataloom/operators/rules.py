@@ -78,10 +78,6 @@ def rules_table(spark: SparkSession, groups=SEED) -> DataFrame:
     return spark.createDataFrame(rule_rows(groups), RULE_SCHEMA)
 
 
-def active(rules: DataFrame) -> DataFrame:
-    return rules.where("enabled").orderBy("rule_type", "group_order", "rule_code", "alias_order")
-
-
 def version(rules: DataFrame) -> DataFrame:
     """One row: version, the first 24 hex digits of the SHA-256 of the active rules in order, and how many there are. A rule set is configuration of bounded size."""
     line = F.concat_ws("|", "rule_type", "rule_code", "canonical_name", "alias")
@@ -131,3 +127,17 @@ def rollback(revisions: DataFrame, revision_id: str, new_id: str) -> DataFrame:
     top = revisions.groupBy("code").agg((F.max("revision_number") + 1).alias("_next"))
     copy = revisions.where(F.col("revision_id") == revision_id).join(top, "code").select(*[(F.lit(new_id) if c == "revision_id" else F.lit("DRAFT") if c == "status" else F.col("_next") if c == "revision_number" else F.col(c)).alias(c) for c in revisions.columns])
     return publish(revisions.unionByName(copy), new_id)
+
+
+def snapshot_problems(rules: DataFrame) -> DataFrame:
+    """(problem, subject): why the active rules make no snapshot. COMMAND_CODES: more than one command code; CODE_NAMES: a code with several names;
+    NAME_CODES: a name of levels under several codes; GROUP_REQUIRED: no rule of a type that must be there."""
+    on = rules.where("enabled")
+    commands = on.where("rule_type = 'COMMAND'").select("rule_code").distinct()
+    several = commands.agg(F.count("*").alias("n")).where("n > 1").select(F.lit("COMMAND_CODES").alias("problem"), F.lit(None).cast("string").alias("subject"))
+    grouped = on.where("rule_type IN ('RESPONSE', 'WARNING', 'SECTION', 'MARKER')")
+    named = grouped.groupBy("rule_type", "rule_code").agg(F.count_distinct("canonical_name").alias("n")).where("n > 1").select(F.lit("CODE_NAMES").alias("problem"), F.concat_ws("/", "rule_type", "rule_code").alias("subject"))
+    coded = grouped.where("rule_type IN ('RESPONSE', 'WARNING')").groupBy("rule_type", "canonical_name").agg(F.count_distinct("rule_code").alias("n")).where("n > 1").select(F.lit("NAME_CODES").alias("problem"), F.concat_ws("/", "rule_type", "canonical_name").alias("subject"))
+    there = on.agg(*[F.coalesce(F.bool_or(F.col("rule_type") == t), F.lit(False)).alias(t) for t in ("COMMAND", "RESPONSE", "TAIL")])
+    lacking = F.filter(F.array(*[F.when(~F.col(t), F.lit(t)) for t in ("COMMAND", "RESPONSE", "TAIL")]), lambda t: t.isNotNull())
+    return several.unionByName(named).unionByName(coded).unionByName(there.select(F.lit("GROUP_REQUIRED").alias("problem"), F.explode(lacking).alias("subject")))

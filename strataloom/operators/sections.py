@@ -24,7 +24,7 @@ def candidates(blocks: DataFrame, rules: DataFrame) -> DataFrame:
     first = Window.partitionBy("rule_code").orderBy("alias_order")
     rule = rule.withColumn("first_alias", F.first("alias").over(first))
     body = blocks.withColumn("norm", T.normalize(F.col("text")))
-    hits = body.join(small(rule), F.expr("contains(norm, alias)"))
+    hits = body.join(small(rule), F.expr("contains(norm, alias)")).where(T.fits_alias(F.col("norm"), F.col("alias")))
     hits = hits.groupBy("doc_id", "block_idx", "rule_type", "rule_code").agg(
         F.min_by("alias", "alias_order").alias("alias"), F.first("first_alias").alias("first_alias"), F.first("text").alias("text"), F.first("norm").alias("norm"),
         F.first("heading_level").alias("heading_level"), F.first("is_table").alias("is_table"),

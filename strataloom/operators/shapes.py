@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import threading
-import time
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -102,32 +98,3 @@ def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Ob
     """The rows, and figures that are gathered while they are first computed: ``observation.get`` waits for that."""
     seen = Observation(name)
     return df.observe(seen, *[m.alias(k) for k, m in metrics.items()]), seen
-
-
-class Snapshot:
-    """A value of the driver that is loaded again after ``ttl`` seconds, by one caller at a time; when loading fails the old one is served for another ``ttl``."""
-
-    def __init__(self, load: Callable[[], object], ttl: float = 60.0, clock: Callable[[], float] = time.monotonic):
-        self.load, self.ttl, self.clock = load, ttl, clock
-        self.held: tuple[object, float] | None = None
-        self.lock = threading.Lock()
-
-    def get(self) -> object:
-        held = self.held
-        if held and self.clock() < held[1]:
-            return held[0]
-        with self.lock:
-            held = self.held
-            if held and self.clock() < held[1]:
-                return held[0]
-            try:
-                value = self.load()
-            except Exception:
-                if held is None:
-                    raise
-                value = held[0]
-            self.held = (value, self.clock() + self.ttl)
-            return value
-
-    def invalidate(self) -> None:
-        self.held = None

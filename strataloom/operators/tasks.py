@@ -109,3 +109,34 @@ def progress(stage: Column, done: Column, status: Column) -> Column:
     base = F.coalesce(_lookup(STAGE_PROGRESS, stage), F.lit(0))
     within = F.when(stage == "OCR", F.floor(done * 49)).otherwise(0)
     return F.when(status == "COMPLETED", 100).otherwise(F.least(F.lit(99), F.greatest(F.lit(0), base + within))).cast("int")
+
+
+#: Days for which the source files of ended tasks are kept: until a completed one need not be run again, until a failed one is looked at.
+SOURCE_DAYS = {"COMPLETED": 90, "FAILED": 7, "CANCELLED": 0}
+
+
+def sources_due(states: DataFrame, now: Column) -> DataFrame:
+    """Ended tasks whose source files (``source_path``) can go: those of cancelled tasks at once, of others when their days are over."""
+    days = _lookup(SOURCE_DAYS, F.col("status"))
+    age = F.timestamp_diff("SECOND", F.col("updated_at"), now)
+    return states.where(F.col("source_path").isNotNull() & days.isNotNull() & ((F.col("status") == "CANCELLED") | (age > days * 86_400)))
+
+
+def active(states: DataFrame) -> DataFrame:
+    """The active task of each plan: queued or running, the latest of several."""
+    w = Window.partitionBy("plan_id").orderBy(F.col("created_at").desc(), F.col("task_id").desc())
+    return states.where(F.col("status").isin("QUEUED", "RUNNING")).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def next_queued(states: DataFrame, by: str) -> DataFrame:
+    """The task that has been queued longest, for each value of a column (a worker takes it first)."""
+    w = Window.partitionBy(by).orderBy("created_at", "task_id")
+    return states.where("status = 'QUEUED'").withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def backfilled(rows: DataFrame) -> DataFrame:
+    """Tasks of an older schema with stage, progress_percent and attempt, as their status has them, where any of the three is missing."""
+    lacks = F.col("stage").isNull() | F.col("progress_percent").isNull() | F.col("attempt").isNull()
+    stage = F.when(F.col("status").isin("COMPLETED", "FAILED", "CANCELLED"), F.col("status")).otherwise("QUEUED")
+    done = F.when(F.col("status") == "COMPLETED", 100).otherwise(0)
+    return rows.withColumns({"stage": F.when(lacks, stage).otherwise(F.col("stage")), "progress_percent": F.when(lacks, done).otherwise(F.col("progress_percent")), "attempt": F.coalesce("attempt", F.lit(0))})

@@ -11,7 +11,6 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
-from email import message_from_bytes
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -21,10 +20,10 @@ from pyspark.sql import functions as F
 from ..functions import html
 from ..functions import text as T
 from ..operators import intake
+from . import mime
 
 # Limits on files, and the namespace of word-processing documents.
 MAX_BYTES = 50 * 1024 * 1024
-MAX_PARTS = 128
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 RAW = "doc_id {0}, kind string, idx int, page int, text string, style string, cells array<string>, error_code string"
@@ -78,24 +77,15 @@ def _style(p: ElementTree.Element, names: dict[str, str]) -> str:
 
 
 def mhtml_text(content: bytes) -> tuple[str, str]:
-    """(kind, text) of the first HTML part of an archive, else of the first plain part."""
-    message = message_from_bytes(content)
+    """(kind, text) of the first HTML part of an archive, else of the first plain part; ValueError without any or beyond the limits of ``mime``."""
     plain = None
-    for k, part in enumerate(message.walk()):
-        if k > MAX_PARTS:
-            raise ValueError("too many parts")
-        kind = part.get_content_type()
-        if kind not in ("text/html", "text/plain"):
-            continue
-        raw = part.get_payload(decode=True) or b""
-        try:
-            text = raw.decode(part.get_content_charset() or "utf-8", "replace")
-        except LookupError:
-            text = raw.decode("utf-8", "replace")
+    for _, kind, text in mime.parts(iter(content.splitlines(keepends=True))):
         if kind == "text/html":
             return "html", text
-        plain = plain if plain is not None else text
-    return "plain", plain or ""
+        plain = text if plain is None else plain
+    if plain is None:
+        raise ValueError("no text")
+    return "plain", plain
 
 
 def decode_files(docs: DataFrame, pdf_pages: Callable[[bytes], list[str]] | None = None, ocr: Callable[[bytes], list[str]] | None = None) -> DataFrame:

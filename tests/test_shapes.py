@@ -1,32 +1,6 @@
-"""The snapshot of the driver, and rules in full."""
-
-import pytest
+"""Rules in full."""
 
 from strataloom.operators import rules
-from strataloom.operators.shapes import Snapshot
-
-
-def test_snapshot_is_kept_refreshed_and_served_stale():
-    now, answers = [0.0], iter([1, 2, RuntimeError("down"), 3])
-
-    def load():
-        value = next(answers)
-        if isinstance(value, Exception):
-            raise value
-        return value
-
-    held = Snapshot(load, 60, lambda: now[0])
-    assert held.get() == held.get() == 1
-    now[0] = 61
-    assert held.get() == 2
-    now[0] = 122
-    assert held.get() == 2  # loading failed; the old value serves on
-    now[0] = 150
-    assert held.get() == 2
-    held.invalidate()
-    assert held.get() == 3
-    with pytest.raises(StopIteration):
-        Snapshot(load).get()
 
 
 def test_all_seed_rules_are_there():

@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from strataloom.fixtures import Fixture
 from strataloom.operators import tasks
-from strataloom.plans.tasks import LOG
+from strataloom.plans.tasks import LOG as PATTERN
 from strataloom.streaming import tasks as streaming
 
+LOG = Fixture(PATTERN.schema, PATTERN.rows)
+
 
 def test_fold_equals_batch(spark):
     rows = [{"event": r[2], "token": r[3], "ts": r[4], "event_id": r[1], "task": r[0]} for r in LOG.rows]
