@@ -23,8 +23,10 @@ operator's own, are kept by ``redact`` and else ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -208,6 +210,12 @@ class Automaton:
     accepts: np.ndarray
     restarts: np.ndarray  # bytes that lead to state 0 from every state
 
+    @cached_property
+    def lists(self) -> tuple[list[int], list[int], list[int], list[bool]]:
+        """moves, accepts and classes as lists, for plain steps, and which states nothing leads out of."""
+        stuck = (self.moves.reshape(-1, self.n_classes) == np.arange(len(self.accepts))[:, None]).all(axis=1)
+        return self.moves.tolist(), self.accepts.tolist(), self.classes.tolist(), stuck.tolist()
+
 
 def _parsed(rule: Rule, nfa: Nfa) -> tuple[int, int]:
     """The first and last state of a rule's pattern."""
@@ -326,7 +334,7 @@ def scan_slice(auto: Automaton, data: np.ndarray, off: np.ndarray) -> tuple[np.n
     for t in range(int(length[0])):
         m = live_at[t]
         if m < 4:  # a few very long pieces: plain steps cost less than array calls
-            moves, accepts = auto.moves.tolist(), auto.accepts.tolist()
+            moves, accepts, _, _ = auto.lists
             for i in range(m):
                 s, bits = int(state[i]), 0
                 for c in code[begin[i] + t : begin[i] + length[i]].tolist():
@@ -345,7 +353,7 @@ def scan_slice(auto: Automaton, data: np.ndarray, off: np.ndarray) -> tuple[np.n
 
 def _accepted(auto: Automaton, piece: bytes) -> list[tuple[int, int]]:
     """(end, accepted rules) at every position of a piece where some rule accepts."""
-    moves, accepts, kinds = auto.moves.tolist(), auto.accepts.tolist(), auto.classes.tolist()
+    moves, accepts, kinds, _ = auto.lists
     state, out = 0, []
     for i, b in enumerate(piece):
         state = moves[state * auto.n_classes + kinds[b]]
@@ -356,12 +364,13 @@ def _accepted(auto: Automaton, piece: bytes) -> list[tuple[int, int]]:
 
 def _start(auto: Automaton, piece: bytes, end: int, least: int) -> int:
     """The leftmost start, from ``least`` on, of a match that ends at ``end``."""
+    moves, accepts, kinds, stuck = auto.lists
     state, best = 0, -1
     for i in range(end - 1, least - 1, -1):
-        state = int(auto.moves[state * auto.n_classes + int(auto.classes[piece[i]])])
-        if auto.accepts[state]:
+        state = moves[state * auto.n_classes + kinds[piece[i]]]
+        if accepts[state]:
             best = i
-        elif auto.moves[state * auto.n_classes : (state + 1) * auto.n_classes].tolist() == [state] * auto.n_classes:
+        elif stuck[state]:
             break  # nothing leads on
     return best
 
@@ -370,6 +379,7 @@ def _spans(compiled: Compiled, rules, piece: bytes) -> list[tuple[int, int, int]
     """(start, rule, end) within a piece: leftmost, as long as the body runs, without overlaps."""
     out, done = [], [0] * len(rules)
     raw = np.frombuffer(piece, np.uint8)
+    outside: dict[int, list[int]] = {}  # by rule, the bytes of the piece that end its body
     for end, bits in _accepted(compiled.forward, piece):
         for k, rule in enumerate(rules):
             if not bits >> k & 1 or end <= done[k]:
@@ -380,8 +390,9 @@ def _spans(compiled: Compiled, rules, piece: bytes) -> list[tuple[int, int, int]
             value = start if rule.whole else end - rule.sure
             stop = end
             if rule.body:
-                after = np.flatnonzero(~compiled.body[k][raw[end:]])
-                stop = end + int(after[0]) if len(after) else len(piece)
+                if k not in outside:
+                    outside[k] = [*np.flatnonzero(~compiled.body[k][raw]).tolist(), len(piece)]
+                stop = outside[k][bisect_left(outside[k], end)]
             done[k] = stop
             if stop - value >= rule.least:
                 out.append((start, k, stop))
