@@ -28,7 +28,7 @@ kept by ``drop_near_copies`` and else ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +97,7 @@ def _describe(keyed: DataFrame) -> DataFrame:
                 edge = np.concatenate([[0], np.cumsum(n)])
                 sums = []
                 for salt in (1, 2):
-                    total = np.concatenate([[0], np.cumsum(C.mix(value + np.uint64(salt)), dtype=np.uint64)]).astype(np.uint64)
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mix(value + np.uint64(salt)), dtype=np.uint64)])
                     sums.append((total[edge[1:]] - total[edge[:-1]]).view(np.int64))
                 part = ((value & np.uint64(0xFFFFFFFF)) * np.uint64(PARTS) >> np.uint64(32)).astype(np.int64)
                 parts = np.bincount(row * PARTS + part, minlength=rows * PARTS).astype("<u4").reshape(rows, PARTS)
@@ -255,15 +255,41 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         labels = new.select("key", "label")
 
 
-def _keyed(documents: DataFrame, name: str = "key") -> DataFrame:
+def _keyed(documents: DataFrame, name: str = "key", clashes: Sequence[DataFrame] = ()) -> DataFrame:
     """The documents with a number by which rows are told apart, a function of doc_id and text. Whole ids that are not negative come in their own order (originals
-    mostly before copies, so that the smallest member of a group links with most) with a hash of the text in the last bits; all others are hashes, after them."""
+    mostly before copies, so that the smallest member of a group links with most) with a hash of the text in the last bits; all others are hashes, after them.
+
+    ``clashes``: numbers that turned out to stand for several texts, a table for each time; rows that have one get another hash."""
+
+    def other(hashed: Column) -> Column:
+        return hashed.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+
     hashed = F.xxhash64("doc_id", "text")
-    key = hashed.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    key = other(hashed)
     if documents.schema["doc_id"].dataType.typeName() in ("long", "integer", "short", "byte"):
         own = F.shiftleft(F.col("doc_id").cast("bigint"), ID_SHIFT).bitwiseOR(hashed.bitwiseAND(F.lit((1 << ID_SHIFT) - 1)))
         key = F.when(F.col("doc_id").between(0, (1 << (62 - ID_SHIFT)) - 1), own).otherwise(key)
-    return documents.withColumn(name, key)
+    keyed = documents.withColumn(name, key)
+    for seed, clash in enumerate(clashes, 1):
+        hit = f"{name}_clash"
+        marked = keyed.join(C.checked_broadcast(clash.select(F.col("key").alias(name), F.lit(True).alias(hit))), name, "left")
+        keyed = marked.withColumn(name, F.when(F.col(hit), other(F.xxhash64(F.lit(seed), "doc_id", "text"))).otherwise(F.col(name))).drop(hit)
+    return keyed
+
+
+def _told_apart(documents: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Keyed and described documents, whose keys stand for one set of shingles each, and the clashes that this took: where many texts share an id, two of them
+    may share the bits that hold a hash of the text."""
+    clashes: list[DataFrame] = []
+    while True:
+        keyed = _keyed(documents, clashes=clashes)
+        described = C.materialise(_describe(keyed), "described")
+        own = F.struct("n", "high", "low")
+        twice = described.where("part < 0").groupBy("key").agg(F.min(own).alias("least"), F.max(own).alias("most")).where("least <> most").select("key")
+        twice = C.materialise(twice, "clashes")
+        if twice.isEmpty():
+            return keyed, described, clashes
+        clashes.append(twice)
 
 
 def _ahead(n: Column, i: Column, m: Column, j: Column) -> Column:
@@ -272,11 +298,10 @@ def _ahead(n: Column, i: Column, m: Column, j: Column) -> Column:
     return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT) & _may_link(n, m, 1 + F.least(n - i - 1, m - j - 1))
 
 
-def _labelled(documents: DataFrame) -> DataFrame:
-    """(key, doc_id, n, label) of every row; rows whose texts link, directly or over others, share a label; it is null for rows that link with none."""
+def _labelled(documents: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, doc_id, n, label) of every row, and the clashes of keys; rows whose texts link, directly or over others, share a label; it is null for rows that link with none."""
     spark = documents.sparkSession
-    keyed = _keyed(C.only(documents, "doc_id", "text"))
-    described = C.materialise(_describe(keyed), "described")
+    keyed, described, clashes = _told_apart(C.only(documents, "doc_id", "text"))
     rank = spark.sparkContext.broadcast(_rarity(described))
 
     docs = described.where("part < 0").drop("part")
@@ -325,12 +350,12 @@ def _labelled(documents: DataFrame) -> DataFrame:
         labels = components(links.union(more).union(labels.where("key <> label").toDF("a", "b")))
     found = docs.select("key", "doc_id", "n").join(member, "key", "left").withColumn("class", F.coalesce("class", F.when(F.col("n") > 0, F.col("key"))))
     found = found.join(labels.toDF("class", "label"), "class", "left").join(copied.select("class", F.lit(True).alias("copied")), "class", "left")
-    return C.materialise(found.select("key", "doc_id", "n", F.coalesce("label", F.when(F.col("copied"), F.col("class"))).alias("label")), "labelled")
+    return C.materialise(found.select("key", "doc_id", "n", F.coalesce("label", F.when(F.col("copied"), F.col("class"))).alias("label")), "labelled"), clashes
 
 
 def classes(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    found = _labelled(documents)
+    found, _ = _labelled(documents)
     least = found.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     both = found.join(least, "label", "left")
     return both.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
@@ -338,7 +363,7 @@ def classes(documents: DataFrame) -> DataFrame:
 
 def drop_near_copies(documents: DataFrame) -> DataFrame:
     """Of each class of linked documents the row with the smallest doc_id (null last); rows without words all stay."""
-    found = _labelled(documents)
+    found, clashes = _labelled(documents)
     linked = found.where("label is not null")
     stays = linked.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("stays"))
     gone = C.materialise(linked.join(stays, "label").where(F.col("key") != F.col("stays.key")).select("key").distinct(), "copies")
@@ -346,7 +371,7 @@ def drop_near_copies(documents: DataFrame) -> DataFrame:
     name = "key_of_row"
     while name in documents.columns:
         name += "_"
-    keyed = _keyed(documents, name)
+    keyed = _keyed(documents, name, clashes)
     kept = keyed.join(C.checked_broadcast(gone.toDF(name)), name, "left_anti")
     if not again.isEmpty():
         again = C.checked_broadcast(again.toDF(name))
