@@ -7,6 +7,7 @@ import pytest
 
 from strataloom.operators import fields as X
 from strataloom.operators import templates
+from strataloom.fixtures import Fixture
 from strataloom.plans import fields as P
 
 PLAIN = re.compile(r"[\s:：]")
@@ -128,7 +129,7 @@ def ordered(rows):
 
 
 def compare(spark, images, rows):
-    asked = templates.effective(P.REVISIONS.frame(spark), templates.configured(spark))
+    asked = templates.effective(P.TEMPLATES.frame(spark), templates.configured(spark))
     by_code = {}
     for f in asked.collect():
         by_code.setdefault(f["template_code"], []).append(f.asDict())
@@ -161,7 +162,10 @@ def test_random_images(spark, seed):
 
 
 def test_fallbacks_and_repairs(spark):
-    rows = {(r["image_id"], r["field"]): (r["value"], r["status"]) for r in P.field_extract(spark, "").collect()}
+    plain_rows = lambda rows: [tuple(v.replace("◇", "") if isinstance(v, str) else v for v in r) for r in rows]
+    images, lines = (Fixture(x.schema, plain_rows(x.rows)).frame(spark) for x in (P.IMAGES, P.LINES))
+    found = X.finish(X.extract(images, lines, templates.effective(P.TEMPLATES.frame(spark), templates.configured(spark))))
+    rows = {(r["image_id"], r["field"]): (r["value"], r["status"]) for r in found.collect()}
     assert rows[1, "enterpriseName"][0] == "某某化工有限公司" and rows[1, "validPeriod"][0] == "2020年01月02日至2023年01月01日"
     assert rows[1, "issueDate"] == ("2020年02月03日", "EXTRACTED") and rows[1, "licenseNumber"][0] == "(苏)WH安许证字[2019]1234号"
     assert rows[2, "enterpriseName"][0] == "无标签公司" and rows[2, "licenseNumber"][0] == "(浙)AB安许证字[2020]2号"

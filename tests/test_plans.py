@@ -5,7 +5,7 @@ import pytest
 from strataloom.operators import levels as L
 from strataloom.operators import measures as M
 from strataloom.operators import plan as P
-from strataloom.operators import rules
+from strataloom.operators import rules, traces
 
 from .test_response import levels, rows
 
@@ -111,3 +111,21 @@ def test_results_of_a_plan(spark):
     assert {r["key"]: r["status"] for r in got.levels.collect() if r["category"] == "EMERGENCY"} == {"level_1": "EXTRACTED", "level_2": "PARTIAL", "level_3": "MISSING", "level_4": "MISSING"}
     assert {(r["name"], r["leads"]) for r in got.groups.collect()} == {("现场工作组", "医院"), ("医疗组", "医院")}
     assert {r["rule_code"] for r in got.sections.collect()} == {"level_1", "level_2"}
+
+
+def test_traces_are_tied_to_results(spark):
+    plan = [("指挥体系........3", 0, 1), ("应急响应", 1), ("一级响应", 2), "启动条件", "出现特别重大事件。", "响应措施", "成立指挥部组织救援。", ("后期处置", 1), "善后。"] + ["响应措施之一。"] * 14
+    frame = spark.createDataFrame([*rules.rule_rows(), ("TAIL", "off", "Off", "善后", 99, 1, False)], rules.RULE_SCHEMA)
+    blocks = rows(spark, plan)
+    got = traces.of_plan(blocks, frame)
+    by = {(r["rule_code"], r["alias"]): r for r in got.collect()}
+    assert len(by) == 107 and sorted(r["place"] for r in by.values()) == list(range(107))
+    assert by["level_1", "一级响应"]["status"] == "MATCHED" and by["level_1", "一级响应"]["selected"] == "一级响应" and by["level_1", "I级响应"]["selected"] is None
+    assert by["level_2", "二级响应"]["status"] == "MISSING" and by["off", "善后"]["status"] == "DISABLED" and by["command_system", "指挥体系"]["status"] == "MISSING"
+    assert (by["emergency_scope", "应急响应"]["status"], by["emergency_scope", "应急响应"]["matched_by"]) == ("MATCHED", "SECTION_SCOPE")
+    assert (by["warning_scope", "预警响应"]["status"], by["warning_scope", "预警响应"]["matched_by"]) == ("FALLBACK", "FULL_DOCUMENT")
+    marker = by["response_measure", "响应措施"]
+    assert marker["status"] == "MATCHED" and len(marker["candidates"]) == 10 and [c["block_idx"] for c in marker["candidates"]][:2] == [5, 9]
+    assert by["response_tail", "后期处置"]["candidates"][0]["disposition"] == "HEADING"
+    total = traces.summary(got, blocks).first()
+    assert (total["n_rules"], total["n_blocks"]) == (107, 23) and total["matched"] + total["fallback"] + total["missing"] == 106
