@@ -53,12 +53,13 @@ def best_candidates(found: DataFrame) -> DataFrame:
 def section_ends(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     """Anchors with ``end_idx``: the first later block whose heading level is at most the anchor's (its own, or 2), else the end of the document."""
     depth = F.when(F.col("heading_level") > 0, F.col("heading_level")).when(F.col("inferred") > 0, F.col("inferred")).otherwise(2)
-    a = anchors.withColumn("_depth", depth)
-    heads = blocks.where("heading_level > 0").select(F.col("doc_id").alias("_doc"), F.col("block_idx").alias("_at"), F.col("heading_level").alias("_level"))
-    size = blocks.groupBy("doc_id").agg((F.max("block_idx") + 1).alias("_size"))
-    ends = a.join(heads, F.expr("doc_id = _doc and _at > block_idx and _level <= _depth"), "left")
-    keys = a.columns
-    return ends.groupBy(*keys).agg(F.min("_at").alias("_at")).join(size, "doc_id").withColumn("end_idx", F.coalesce("_at", "_size")).drop("_at", "_size", "_depth")
+    # read backwards, the heading seen last at each depth is the next one
+    after = Window.partitionBy("doc_id").orderBy(F.col("block_idx").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    heads = F.array(*[F.last(F.when(F.col("heading_level").between(1, k), F.col("block_idx")), ignorenulls=True).over(after) for k in range(1, 7)])
+    size = F.max("block_idx").over(Window.partitionBy("doc_id")) + 1
+    ahead = blocks.select("doc_id", "block_idx", heads.alias("_heads"), size.alias("_size"))
+    ends = anchors.withColumn("_depth", F.least(depth, F.lit(6))).join(ahead, ["doc_id", "block_idx"])
+    return ends.withColumn("end_idx", F.coalesce(F.get("_heads", F.col("_depth") - 1), "_size")).select(*anchors.columns, "end_idx")
 
 
 def section_texts(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
