@@ -36,7 +36,7 @@ def test_stages(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 def test_clean_labelled_documents_stay(spark):
