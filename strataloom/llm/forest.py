@@ -258,10 +258,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         a, b = left.select(["h1", "h2"]).take(pa.array(q)), right.select(["ids"]).take(pa.array(v))
         return pa.table({"h1": a["h1"], "h2": a["h2"], "score": pa.array(found, pa.float64()), "ids": b["ids"]})
 
-    chunks = F.array(*[F.lit(int(c)) for c in query_chunks]), F.array(*[F.lit(int(c)) for c in row_chunks])
-    left = asked.select(*KEY, "embedding", "floor", F.explode("cells").alias("cell"))
-    left = left.withColumn("query_chunk", F.pmod("h2", F.element_at(chunks[0], (F.col("cell") + 1).cast("int"))).cast("bigint"))
-    left = left.withColumn("row_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.element_at(chunks[1], (F.col("cell") + 1).cast("int")) - 1).cast("bigint"))))
+    sizes = [(c, int(query_chunks[c]), int(row_chunks[c])) for c in range(int(bases[-1]))]  # a row for each leaf of the forest
+    chunks = F.broadcast(spark.createDataFrame(sizes, "cell bigint, query_chunks bigint, row_chunks bigint"))
+    left = asked.select(*KEY, "embedding", "floor", F.explode("cells").alias("cell")).join(chunks, "cell")
+    left = left.withColumn("query_chunk", F.pmod("h2", "query_chunks")).withColumn("row_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("row_chunks") - 1))).drop("query_chunks", "row_chunks")
     right = entries.mapInArrow(place, f"cell bigint, row_chunk bigint, query_chunk bigint, ids array<{id_kind}>, embedding {kind}")
     meet = ["cell", "row_chunk", "query_chunk"]
     hits = left.groupBy(*meet).cogroup(right.groupBy(*meet)).applyInArrow(score, f"h1 bigint, h2 bigint, score double, ids array<{id_kind}>")
