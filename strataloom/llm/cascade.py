@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is a rejection test over features of a text. Its cost (seconds a document for the
-features that no earlier rule has computed) and selectivity (share rejected) are measured on
-a bounded sample; rules then run by falling rejection per cost, and a document that one rule
+Each rule is a rejection test over features of a text. Its cost (seconds a document, its
+features computed for it alone) and selectivity (share rejected) are measured on a bounded
+sample of the first rows that are not too long; rules then run by falling rejection per cost, and a document that one rule
 rejects is not shown to the later ones. The order changes the work, never the verdict: a
 document is kept if no rule rejects it.
 
