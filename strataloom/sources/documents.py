@@ -136,8 +136,8 @@ def decode_files(docs: DataFrame, pdf_pages: Callable[[bytes], list[str]] | None
     return typed.select("doc_id", "content").mapInArrow(run, RAW.format(id_type))
 
 
-def blocks(raw: DataFrame) -> DataFrame:
-    """Blocks of raw rows: HTML by its line elements, everything else by its lines."""
+def blocks(raw: DataFrame, infer: bool = True) -> DataFrame:
+    """Blocks of raw rows: HTML by its line elements, everything else by its lines. infer: whether numbering makes headings in HTML too, beside its own marks."""
     lines = (
         F.when(F.col("kind") == "html", html.html_lines(F.col("text"), True))
         .when(F.size("cells") > 0, F.array(T.clean(F.col("text"))))
@@ -147,7 +147,7 @@ def blocks(raw: DataFrame) -> DataFrame:
     tag = F.regexp_extract("line", r"^([1-6])\t", 1)
     text = F.regexp_replace("line", r"^[1-6]\t", "")
     rows = rows.withColumn("tag", tag).withColumn("line", text)
-    level = F.when(F.size("cells") > 0, 0).when(F.col("tag") != "", F.col("tag").cast("int")).otherwise(T.style_level(F.col("style"), F.col("line")))
+    level = F.when(F.size("cells") > 0, 0).when(F.col("tag") != "", F.col("tag").cast("int")).when((F.col("kind") == "html") & (not infer), 0).otherwise(T.style_level(F.col("style"), F.col("line")))
     at = F.row_number().over(_by_document())
     return rows.select("doc_id", (at - 1).alias("block_idx"), F.col("line").alias("text"), "page", level.alias("heading_level"), (F.size("cells") > 0).alias("is_table"), "cells")
 
