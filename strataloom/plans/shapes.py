@@ -32,7 +32,8 @@ def char_confidence(spark, sf_dir):
     "SELECT vec_id, list_min(x) AS x_min, list_min(y) AS y_min, list_max(x) AS x_max, list_max(y) AS y_max FROM (SELECT vec_id, list_transform(embedding[1:4], lambda v: CAST(round(v * 1000) AS INTEGER)) AS x, list_transform(embedding[5:8], lambda v: CAST(round(v * 1000) AS INTEGER)) AS y FROM embeddings)"
 )
 def box_bounds(spark, sf_dir):
-    whole = lambda v: F.round(v.cast("double") * 1000).cast("int")
+    at = lambda v: (v * F.lit(1000).cast("float")).cast("double")  # in single precision, as the components are; halves go away from zero
+    whole = lambda v: (F.signum(at(v)) * F.floor(F.abs(at(v)) + 0.5)).cast("int")
     points = F.zip_with(F.slice("embedding", 1, 4), F.slice("embedding", 5, 4), lambda x, y: F.struct(whole(x).alias("x"), whole(y).alias("y")))
     return table(spark, sf_dir, "embeddings").select("vec_id", S.bounds(points).alias("b")).select("vec_id", "b.*")
 

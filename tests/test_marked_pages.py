@@ -24,7 +24,7 @@ def tables(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["alias_candidates", "best_section", "section_span", "mime_blocks"])
+@pytest.mark.parametrize("name", ["alias_candidates", "best_section", "section_span", "mime_blocks", "box_bounds"])
 def test_equal(spark, tables, name):
     con = duckdb.connect()
     for t in ("pages", "embeddings"):
