@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..tables import small
+from ..tables import large, small
 
 # How wide apart a sideways table's columns stand at least, together and one by one, and how far its heads may be out of line, as shares of the page.
 SPREAD, GAP, OUT_OF_LINE = 0.45, 0.08, 0.12
@@ -67,7 +67,7 @@ def rule_outcomes(rules: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, rule_code and disposition of each level rule in each document: MISSING, FALLBACK or MATCHED by the result with its key. found: doc_id, key, status, matched_by."""
     codes = rules.where("enabled and rule_type in ('RESPONSE', 'WARNING')").select("rule_code").distinct()
     grid = found.select("doc_id").distinct().join(small(codes))
-    rows = grid.join(found.withColumnRenamed("key", "rule_code"), ["doc_id", "rule_code"], "left")
+    rows = grid.join(large(found.withColumnRenamed("key", "rule_code")), ["doc_id", "rule_code"], "left")
     missing = F.coalesce(F.col("status"), F.lit("MISSING")) == "MISSING"
     return rows.select("doc_id", "rule_code", F.when(missing, "MISSING").when(F.col("matched_by") == "CONTEXT_FALLBACK", "FALLBACK").otherwise("MATCHED").alias("disposition"))
 

@@ -8,7 +8,9 @@ from strataloom.operators import events as E
 from strataloom.operators import extras as X
 from strataloom.operators import measures as M
 from strataloom.operators import response as R
+from strataloom.operators import shapes
 from strataloom.plans import levels as P
+from strataloom.plans import results as Q
 from strataloom.tables import written
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +49,12 @@ def test_no_section_is_broadcast(known):
     assert "Broadcast" not in plan(M.common_blocks(known, responses, {c: R._compatible(c) for c in ("WARNING", "EMERGENCY")}))
 
 
+def test_no_outcome_is_broadcast(spark):
+    found = written(spark.createDataFrame([(1, "level_1", "MISSING", "HEADING")], "doc_id long, key string, status string, matched_by string"), "found")
+    shown = plan(shapes.rule_outcomes(Q.rules.rules_table(spark), found))
+    assert "SortMergeJoin" in shown and "BroadcastHashJoin" not in shown
+
+
 def _nearest(blocks, i, back=20):
     """The category of block i, by the lists of blocks that ``category`` does without."""
     seen = blocks[max(0, i - back) : i + 1]
