@@ -8,6 +8,7 @@ from strataloom.operators import events as E
 from strataloom.operators import extras as X
 from strataloom.operators import measures as M
 from strataloom.operators import response as R
+from strataloom.operators import sections as S
 from strataloom.operators import shapes
 from strataloom.plans import levels as P
 from strataloom.plans import results as Q
@@ -55,6 +56,12 @@ def test_no_outcome_is_broadcast(spark):
     assert "SortMergeJoin" in shown and "BroadcastHashJoin" not in shown
 
 
+def test_no_chapter_is_broadcast(spark, known):
+    found = written(S.candidates(known, Q.rules.rules_table(spark).where("rule_type = 'RESPONSE'")), "candidates")
+    ends = S.section_ends(S.best_candidates(found), known)
+    assert "Broadcast" not in plan(S.section_texts(ends, known))
+
+
 def _nearest(blocks, i, back=20):
     """The category of block i, by the lists of blocks that ``category`` does without."""
     seen = blocks[max(0, i - back) : i + 1]
