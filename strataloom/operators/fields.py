@@ -56,17 +56,18 @@ def same_row(a: Column, b: Column) -> Column:
 def first_label(lines: Column, labels: Column) -> Column:
     """(place, label, inline) of the first line that holds a label, labels in order within a line; null if none does."""
 
-    def at(line: Column, place: Column) -> Column:
-        norm = _plain(line["text"])
-        found = F.filter(F.transform(labels, lambda l: F.struct(F.instr(norm, _plain(l)).alias("at"), l.alias("label"))), lambda h: (h["at"] > 0) & (_plain(h["label"]) != ""))
-        return F.transform(found, lambda h: F.struct(place.alias("place"), h["label"].alias("label"), F.substring(norm, h["at"] + F.length(_plain(h["label"])), F.length(norm)).alias("inline")))
+    plain = F.filter(F.transform(labels, lambda l: F.struct(_plain(l).alias("plain"), l.alias("label"))), lambda l: l["plain"] != "")
 
-    return F.get(F.flatten(F.transform(lines, at)), F.lit(0))
+    def within(norm: Column, place: Column, known: Column) -> Column:
+        found = F.filter(F.transform(known, lambda l: F.struct(F.instr(norm, l["plain"]).alias("at"), l.alias("of"))), lambda h: h["at"] > 0)
+        return F.transform(found, lambda h: F.struct(place.alias("place"), h["of"]["label"].alias("label"), F.substring(norm, h["at"] + F.length(h["of"]["plain"]), F.length(norm)).alias("inline")))
+
+    return T.let(plain, lambda known: F.get(F.flatten(F.transform(lines, lambda line, place: T.let(_plain(line["text"]), lambda norm: within(norm, place, known)))), F.lit(0)))
 
 
 def _first_stop(text: Column, stops: Column) -> Column:
     """How many characters, separators aside, stand before the first stop label; null without one."""
-    return F.array_min(F.filter(F.transform(stops, lambda s: F.instr(_plain(text), s) - 1), lambda i: i >= 0))
+    return T.let(_plain(text), lambda norm: F.array_min(F.filter(F.transform(stops, lambda s: F.instr(norm, s) - 1), lambda i: i >= 0)))
 
 
 def prefix(text: Column, n: Column) -> Column:
@@ -83,14 +84,17 @@ def _add(state: Column, line: Column, stops: Column, most: Column, edge: Column)
     values = state["values"]
     rows = F.aggregate(values, F.array().cast(f"array<{LINE}>"), lambda held, v: F.when(F.exists(held, lambda r: same_row(r, v)), held).otherwise(F.concat(held, F.array(v))))
     full = (most > 0) & (F.size(values) > 0) & ~F.exists(values, lambda v: same_row(v, line)) & (F.size(rows) >= most)
-    stop = _first_stop(line["text"], stops)
-    text = F.trim(F.when(stop.isNull(), line["text"]).otherwise(prefix(line["text"], stop)))
-    kept = F.struct(text.alias("text"), *[line[c].alias(c) for c in ("confidence", "x_min", "y_min", "x_max", "y_max")])
-    return F.when(full, _state(values, F.lit(True), state["edge"])).otherwise(_state(F.when(text != "", F.concat(values, F.array(kept))).otherwise(values), stop.isNotNull(), edge))
+
+    def taken(cut: Column) -> Column:
+        kept = F.struct(cut["text"].alias("text"), *[line[c].alias(c) for c in ("confidence", "x_min", "y_min", "x_max", "y_max")])
+        return _state(F.when(cut["text"] != "", F.concat(values, F.array(kept))).otherwise(values), cut["stop"].isNotNull(), edge)
+
+    cut = T.let(_first_stop(line["text"], stops), lambda stop: F.struct(stop.alias("stop"), F.trim(F.when(stop.isNull(), line["text"]).otherwise(prefix(line["text"], stop))).alias("text")))
+    return F.when(full, _state(values, F.lit(True), state["edge"])).otherwise(T.let(cut, taken))
 
 
 def _known(line: Column, stops: Column) -> Column:
-    return F.exists(stops, lambda s: _plain(line["text"]).contains(s))
+    return T.let(_plain(line["text"]), lambda norm: F.exists(stops, lambda s: norm.contains(s)))
 
 
 def _right(state: Column, lines: Column, anchor: Column, place: Column, stops: Column, most: Column) -> Column:
@@ -197,7 +201,7 @@ def _unlabelled_name(lines: Column) -> Column:
         top, low = F.get(lines, ends["top"]), F.get(lines, ends["low"])
         inside = F.filter(
             lines,
-            lambda v: (v["y_min"] > top["y_max"]) & (v["y_max"] < low["y_min"] + _height(low)) & (v["x_min"] < low["x_max"] + NAME_RIGHT) & ~F.exists(labels(NOT_NAMES), lambda s: _plain(v["text"]).contains(s)),
+            lambda v: (v["y_min"] > top["y_max"]) & (v["y_max"] < low["y_min"] + _height(low)) & (v["x_min"] < low["x_max"] + NAME_RIGHT) & ~_known(v, labels(NOT_NAMES)),
         )
         return F.when(ends["top"].isNotNull() & ends["low"].isNotNull() & (F.size(inside) > 0), inside)
 
