@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataloom.functions import text as T
 from strataloom.operators import events as E
 from strataloom.operators import levels as L
+from strataloom.operators import response as R
 from strataloom.plans import results as Q
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +45,14 @@ def test_words_leave_what_patterns_find(spark):
     ]
     row = df.agg(*[F.count_if(p).alias(f"p{i}") for i, (_, p) in enumerate(pairs)], *[F.count_if(p & ~w).alias(f"lost{i}") for i, (w, p) in enumerate(pairs)]).first()
     assert [row[f"lost{i}"] for i in range(len(pairs))] == [0] * len(pairs) and all(row[f"p{i}"] > 0 for i in range(len(pairs)))
+
+
+def test_words_leave_the_names_of_levels(spark):
+    pick = random.Random(13)
+    of = R.levels({v.key: (f"甲{v.ordinal}", f"{v.title}乙") for v in R.LEVELS})
+    words = ["一级", "二级", "3级", "IV级", "II级", "I级", "III级", "I", "V", "特别重大", "重大", "较大", "一般", "级", "响应", "应急响应", "反应", "预警", "红色", "蓝色预警", "行动", "的启动", "丙", "\n", *[a for v in of for a in v.aliases]]
+    df = spark.createDataFrame([("".join(pick.choice(words) for _ in range(pick.randint(1, 5))),) for _ in range(4000)], "norm string")
+    found = [(E.holds(F.col("norm"), R._name_words(v)), F.col("norm").rlike(R._name_pattern(v))) for v in of]
+    row = df.agg(*[F.count_if(p).alias(f"p{i}") for i, (_, p) in enumerate(found)], *[F.count_if(p & ~w).alias(f"lost{i}") for i, (w, p) in enumerate(found)], *[F.count_if(~w).alias(f"spared{i}") for i, (w, _) in enumerate(found)]).first()
+    assert [row[f"lost{i}"] for i in range(len(of))] == [0] * len(of)
+    assert all(row[f"p{i}"] > 0 and row[f"spared{i}"] > 0 for i in range(len(of)))
